@@ -231,6 +231,44 @@ ANALYTIC = {
 }
 
 
+# Columns that leave a query as text (dates) or double (money), where not (date, price).
+_NONE: tuple[str, ...] = ()
+_DATE = ("date",)
+EDGE = {
+    **dict.fromkeys(
+        [
+            "latest_availability", "latest_by_update_time", "compact_equivalence",
+            "decode_availability_events", "event_latest", "sample_days", "range_upsert",
+            "insert_if_absent", "demo_availability", "stream_latest_availability", "stream_restart",
+        ],
+        _DATE,
+    ),
+    **dict.fromkeys(["stay_totals", "stay_totals_stored", "stay_totals_by_hotel"], ("total_price",)),
+    "change_receipts": ("first_day", "last_day"),
+    **dict.fromkeys(
+        [
+            "latest_variants", "decode_variant_events", "event_quarantine", "quarantine_log",
+            "quarantine_counts", "corrupt_messages", "stay_summary", "hotel_placement_counts",
+            "placement_list", "hotel_detail", "table_counts", "reconciliation", "variant_profile",
+            "variants_by_adults", "search_by_adults_available", "normalized_ages", "rejected_changes",
+            "unknown_placement_changes", "rekey_backfill", "rekey_first_placements", "demo_variants",
+            "json_lines_load", "variant_sync", "repair_counts", "stream_variants", "stream_quarantine",
+        ],
+        _NONE,
+    ),
+}
+MONEY = ("price", "total_price")
+
+
+def _at_edge(sql: str, *columns: str) -> str:
+    if not columns:
+        return sql
+    casts = ", ".join(
+        f"CAST({c} AS {'DOUBLE' if c in MONEY else 'VARCHAR'}) AS {c}" for c in columns
+    )
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
     availability = "SELECT placement_id, date, available, epoch_ms(updated_at) AS updated_ms FROM availability"
     price = "SELECT placement_id, date, price, currency, epoch_ms(updated_at) AS updated_ms FROM prices"
@@ -350,10 +388,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "hotel_detail": _with(
             HOTELS + "," + PLACEMENTS + "," + VARIANTS,
-            """SELECT h.hotel_id, h.name AS hotel_name, p.placement_id, p.name AS placement_name,
-                      v.adults, v.children_ages,
-                      v.adults || ' взр.' || CASE WHEN v.children_ages = '' THEN ''
-                          ELSE ', дети ' || replace(v.children_ages, ',', ', ') END AS label
+            """SELECT h.hotel_id, h.name AS hotel_name, COALESCE(p.placement_id, -1) AS placement_id,
+                      COALESCE(p.name, '') AS placement_name,
+                      COALESCE(v.adults, CAST(0 AS SMALLINT)) AS adults,
+                      COALESCE(v.children_ages, '') AS children_ages,
+                      COALESCE(v.adults || ' взр.' || CASE WHEN v.children_ages = '' THEN ''
+                          ELSE ', дети ' || replace(v.children_ages, ',', ', ') END, '') AS label
                FROM hotels h LEFT JOIN placements p ON p.hotel_id = h.hotel_id
                LEFT JOIN variants v ON v.placement_id = p.placement_id""",
         ),
@@ -381,7 +421,9 @@ def oracle_sql() -> dict[str, str]:
                 }
             )
             + ")",
-            """SELECT entity, s.cnt AS source_cnt, a.cnt AS analytic_cnt, s.cnt - a.cnt AS diff
+            """SELECT entity, COALESCE(CAST(s.cnt AS VARCHAR), '—') AS source_cnt,
+                      COALESCE(CAST(a.cnt AS VARCHAR), '—') AS analytic_cnt,
+                      COALESCE(CAST(s.cnt - a.cnt AS VARCHAR), '—') AS diff
                FROM source_counts s FULL JOIN analytic_counts a USING (entity)""",
         ),
         "variant_profile": _with(
@@ -487,4 +529,4 @@ def oracle_sql() -> dict[str, str]:
     queries["search_refresh_stored"] = queries["search_refresh"]
     queries["search_two_feeds"] = queries["search_incremental"]
     queries["stay_totals_stored"] = queries["stay_totals"]
-    return queries
+    return {name: _at_edge(sql, *EDGE.get(name, ("date", "price"))) for name, sql in queries.items()}

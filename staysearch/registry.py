@@ -34,9 +34,23 @@ STAY_AT = stays.Stay(FROM, TO, adults=2, children_ages=[5, 10], placement_id=PLA
 SEARCH_COLUMNS = [*SEARCH_KEY, "available", "price", "currency", "updated_ms"]
 
 
+def at_edge(df: DataFrame) -> DataFrame:
+    """Response typing: dates as Y-m-d text, money as double."""
+    return df.select(
+        *[
+            F.col(name).cast("string").alias(name)
+            if kind == "date"
+            else F.col(name).cast("double").alias(name)
+            if kind.startswith("decimal")
+            else F.col(name)
+            for name, kind in df.dtypes
+        ]
+    )
+
+
 def register(build: Callable[[Inventory], DataFrame]) -> Callable[[Inventory], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(Inventory(spark, sf_dir))
+        return at_edge(build(Inventory(spark, sf_dir)))
 
     QUERIES[build.__name__] = run
     return build
@@ -82,7 +96,8 @@ def _numbered(log: DataFrame) -> DataFrame:
 
 
 def _store(inv: Inventory, label: str) -> Store:
-    return Store(inv.spark, work_dir(inv.spark, label))
+    # The driver tables are small and span years.
+    return Store(inv.spark, work_dir(inv.spark, label), period="year")
 
 
 def _loaded(inv: Inventory, label: str) -> Store:
@@ -332,7 +347,9 @@ def placement_list(inv: Inventory) -> DataFrame:
 
 @register
 def hotel_detail(inv: Inventory) -> DataFrame:
-    return hp.hotel_detail(inv.hotels, inv.placements, inv.variants)
+    rows = hp.hotel_detail(inv.hotels, inv.placements, inv.variants)
+    blank = {"placement_id": -1, "placement_name": "", "adults": 0, "children_ages": "", "label": ""}
+    return rows.fillna(blank)
 
 
 @register
@@ -364,7 +381,7 @@ def reconciliation(inv: Inventory) -> DataFrame:
         "availability": inv.availability_log.select(*DAY_KEY).distinct(),
         "prices_by_day": inv.price_log.select(*DAY_KEY).distinct(),
     }
-    return reports.reconciliation(
+    counts = reports.reconciliation(
         source,
         {
             "placement_variants": analytic["placement_variants"],
@@ -373,6 +390,8 @@ def reconciliation(inv: Inventory) -> DataFrame:
             "search_by_variant": analytic["search_by_variant"],
         },
     )
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("—")).alias(c) for c in counts.columns[1:]]
+    return counts.select("entity", *shown)
 
 
 @register
@@ -615,6 +634,6 @@ def stream_search(inv: Inventory) -> DataFrame:
         f"{store.root}/checkpoint",
         "search",
         available_now=True,
-        compact_every=2,
+        compact_every=3,
     ).awaitTermination()
     return store.search.latest().select(*SEARCH_KEY, "available", "price", "currency")

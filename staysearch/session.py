@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,11 @@ def local_session(cores: int | str = 8, app: str = "staysearch", **extra: str) -
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="staysearch-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under the session's ``spark.checkpoint.dir``.
 
@@ -36,6 +42,5 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="staysearch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -3,8 +3,8 @@
 Layout under the table's folder::
 
     delta=<id>/    one append; writing the same id again replaces it
-    base=<n>/      collapsed rows, in month= and bucket= folders
-    commit=<n>/    one JSON row: which base holds each month, which deltas are folded in
+    base=<n>/      collapsed rows, in period= and bucket= folders
+    commit=<n>/    one JSON row: which base holds each period, which deltas are folded in
 
 A commit is the last write of a compaction or a reload, so readers go from the old
 state to the new one without a gap, and a job that dies half-way leaves nothing that
@@ -24,19 +24,29 @@ from pyspark.sql import types as T
 
 from staysearch.operators.latest import latest_by_key
 
-_COMMIT = "buckets INT, months MAP<STRING, BIGINT>, folded ARRAY<STRING>"
+_COMMIT = "period STRING, buckets INT, bases MAP<STRING, BIGINT>, folded ARRAY<STRING>"
+
+# Digits of yyyymmdd that name a period.
+PERIODS = {"year": 4, "month": 6, "day": 8}
+UNDATED = 0
 
 
 @dataclass(frozen=True)
 class Commit:
     number: int = 0
+    period: str = "month"
     buckets: int = 1
-    months: dict[int, int] = field(default_factory=dict)
+    bases: dict[int, int] = field(default_factory=dict)
     folded: frozenset[str] = frozenset()
 
 
-def month_of(day: Column) -> Column:
-    return (F.year(day) * 100 + F.month(day)).cast("int")
+def period_of(day: Column, period: str) -> Column:
+    number = F.year(day) * 10_000 + F.month(day) * 100 + F.dayofmonth(day)
+    return F.floor(number / F.lit(10 ** (8 - PERIODS[period]))).cast("int")
+
+
+def period_number(day: date | str, period: str) -> int:
+    return int(str(day).replace("-", "")[: PERIODS[period]])
 
 
 class VersionedTable:
@@ -47,6 +57,7 @@ class VersionedTable:
         schema: T.StructType,
         keys: Sequence[str],
         sort_by: Sequence[str] | None = None,
+        period: str = "month",
         buckets: int = 1,
     ) -> None:
         self.spark = spark
@@ -54,51 +65,59 @@ class VersionedTable:
         self.schema = schema
         self.keys = list(keys)
         self.sort_by = list(sort_by or keys)
+        self.period = period
         self.buckets = buckets
         self.dated = "date" in schema.fieldNames()
-        folders = [T.StructField("month", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
+        folders = [T.StructField("period", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
         self._stored = T.StructType([*schema.fields, *folders])
 
     # -- files -----------------------------------------------------------------
 
-    def _children(self, folder: str, prefix: str) -> list[str]:
+    def _glob(self, pattern: str) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [status.getPath() for status in fs.globStatus(path) or []]
+
+    def _finished(self, prefix: str) -> list[str]:
         """Names after ``prefix`` of the subfolders whose write finished."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*/_SUCCESS")
-        return sorted(s.getPath().getParent().getName()[len(prefix) :] for s in fs.globStatus(pattern) or [])
-
-    def _months_in(self, base: int) -> list[int]:
-        jvm = self.spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/base={base}/month=*")
-        fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()[len("month=") :]) for s in fs.globStatus(pattern) or [])
+        marks = self._glob(f"{prefix}*/_SUCCESS")
+        return sorted(mark.getParent().getName()[len(prefix) :] for mark in marks)
+
+    def _periods_in(self, base: int) -> list[int]:
+        return [int(p.getName()[len("period=") :]) for p in self._glob(f"base={base}/period=*")]
 
     def commit(self) -> Commit:
-        numbers = [int(n) for n in self._children(self.path, "commit=")]
+        numbers = [int(n) for n in self._finished("commit=")]
         if not numbers:
-            return Commit(buckets=self.buckets)
+            return Commit(period=self.period, buckets=self.buckets)
         row = self.spark.read.schema(_COMMIT).json(f"{self.path}/commit={max(numbers)}").first()
-        months = {int(month): base for month, base in row.months.items()}
-        return Commit(max(numbers), row.buckets, months, frozenset(row.folded))
+        bases = {int(period): base for period, base in row.bases.items()}
+        return Commit(max(numbers), row.period, row.buckets, bases, frozenset(row.folded))
 
     def deltas(self, commit: Commit | None = None) -> list[str]:
         """Finished appends that no base holds yet."""
         folded = (commit or self.commit()).folded
-        return [d for d in self._children(self.path, "delta=") if d not in folded]
+        return [d for d in self._finished("delta=") if d not in folded]
 
     # -- reading ---------------------------------------------------------------
 
-    def _base_rows(self, commit: Commit, months: Column | None, placement_id: int | None) -> DataFrame | None:
+    def _base_rows(self, commit: Commit, periods: Sequence[int], placement_id: int | None = None) -> DataFrame | None:
+        """Rows of the given periods. Only their folders are listed and read."""
+        by_base: dict[int, list[int]] = {}
+        for period in periods:
+            if period in commit.bases:
+                by_base.setdefault(commit.bases[period], []).append(period)
         frames = []
-        for base in sorted(set(commit.months.values())):
-            rows = self.spark.read.schema(self._stored).parquet(f"{self.path}/base={base}")
-            rows = rows.where(F.col("month").isin([m for m, b in commit.months.items() if b == base]))
-            if months is not None:
-                rows = rows.where(months)
+        for base, held in sorted(by_base.items()):
+            root = f"{self.path}/base={base}"
+            rows = (
+                self.spark.read.schema(self._stored)
+                .option("basePath", root)
+                .parquet(*[f"{root}/period={p}" for p in sorted(held)])
+            )
             if placement_id is not None and commit.buckets > 1:
-                rows = rows.where(F.col("bucket") == self._bucket(F.lit(placement_id).cast("bigint"), commit.buckets))
+                key = F.lit(placement_id).cast("bigint")
+                rows = rows.where(F.col("bucket") == self._bucket(key, commit.buckets))
             frames.append(rows.select(*self.schema.fieldNames()))
         return reduce(DataFrame.unionByName, frames) if frames else None
 
@@ -108,47 +127,63 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/delta={d}" for d in deltas])
 
     def _parts(
-        self,
-        dates: tuple[date | str, date | str] | None,
-        placement_id: int | None,
-        months: Sequence[int] | None,
+        self, dates: tuple[date | str, date | str] | None, placement_id: int | None
     ) -> tuple[DataFrame | None, DataFrame | None]:
         commit = self.commit()
-        wanted = None
-        if dates is not None and self.dated:
-            first, last = (month_of(F.lit(str(d)).cast("date")) for d in dates)
-            wanted = F.col("month").between(first, last)
-        elif months is not None and self.dated:
-            wanted = F.col("month").isin(list(months))
-        parts = [self._base_rows(commit, wanted, placement_id), self._delta_rows(self.deltas(commit))]
+        periods = list(commit.bases)
+        wanted = F.lit(True)
         if dates is not None and self.dated:
+            first, last = (period_number(d, commit.period) for d in dates)
+            periods = [p for p in periods if first <= p <= last]
             low, high = (F.lit(str(d)).cast("date") for d in dates)
-            parts = [p if p is None else p.where(F.col("date").between(low, high)) for p in parts]
+            wanted = wanted & F.col("date").between(low, high)
         if placement_id is not None:
-            parts = [p if p is None else p.where(F.col("placement_id") == placement_id) for p in parts]
-        return parts[0], parts[1]
+            wanted = wanted & (F.col("placement_id") == placement_id)
+        base = self._base_rows(commit, periods, placement_id)
+        open_rows = self._delta_rows(self.deltas(commit))
+        return (
+            None if base is None else base.where(wanted),
+            None if open_rows is None else open_rows.where(wanted),
+        )
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
 
     def log(
-        self,
-        dates: tuple[date | str, date | str] | None = None,
-        placement_id: int | None = None,
-        months: Sequence[int] | None = None,
+        self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
-        """All stored rows, superseded ones included. ``months`` only narrows the base files read."""
-        parts = [p for p in self._parts(dates, placement_id, months) if p is not None]
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        return reduce(DataFrame.unionByName, parts)
+        """All stored rows, superseded ones included."""
+        parts = [p for p in self._parts(dates, placement_id) if p is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else self._empty()
+
+    def log_of(self, changed: DataFrame) -> DataFrame:
+        """At least all stored rows of the days in ``changed``; other periods are not read."""
+        commit = self.commit()
+        found = self._touched(changed, commit.period)
+        parts = [self._base_rows(commit, found), self._delta_rows(self.deltas(commit))]
+        parts = [p for p in parts if p is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
     def latest(
         self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
         """One row per key. Without open deltas this is a plain scan of the base files."""
-        base, open_rows = self._parts(dates, placement_id, None)
+        base, open_rows = self._parts(dates, placement_id)
         if open_rows is None:
-            return self.spark.createDataFrame([], self.schema) if base is None else base
+            return self._empty() if base is None else base
+        return self._collapsed(base, open_rows)
+
+    def _collapsed(self, base: DataFrame | None, open_rows: DataFrame) -> DataFrame:
         rows = open_rows if base is None else base.unionByName(open_rows)
-        return latest_by_key(rows, self.keys, "version", keep_version=True).select(*self.schema.fieldNames())
+        kept = latest_by_key(rows, self.keys, "version", keep_version=True)
+        return kept.select(*self.schema.fieldNames())
+
+    def _touched(self, rows: DataFrame, period: str) -> list[int]:
+        """Periods of the rows: calendar values, so a short list however many rows there are."""
+        if not self.dated:
+            return [UNDATED]
+        found = rows.select(period_of(F.col("date"), period).alias("period")).distinct().collect()
+        return [row.period for row in found]
 
     # -- writing ---------------------------------------------------------------
 
@@ -161,55 +196,52 @@ class VersionedTable:
         commit = self.commit()
         deltas = self.deltas(commit)
         number = commit.number + 1
-        self._write_base(rows, number)
-        months = {m: number for m in self._months_in(number)}
-        self._publish(Commit(number, self.buckets, months, commit.folded | set(deltas)))
+        bases = self._write_base(rows, number)
+        self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
 
     def compact(self) -> None:
-        """Fold the open deltas into the base files of the months they touch."""
+        """Fold the open deltas into the base files of the periods they touch."""
         commit = self.commit()
         deltas = self.deltas(commit)
         if not deltas:
             return
-        if commit.buckets != self.buckets:
+        if (commit.period, commit.buckets) != (self.period, self.buckets):
             self.replace(self.latest())
             return
-        number = commit.number + 1
         changed = self._delta_rows(deltas)
-        # One value per calendar month, so the list stays small however large the deltas are.
-        touched = [r.month for r in changed.select(self._month().alias("month")).distinct().collect()]
-        base = self._base_rows(commit, F.col("month").isin(touched), None)
-        rows = changed if base is None else base.unionByName(changed)
-        self._write_base(latest_by_key(rows, self.keys, "version", keep_version=True), number)
-        months = {**commit.months, **{m: number for m in self._months_in(number)}}
-        self._publish(Commit(number, self.buckets, months, commit.folded | set(deltas)))
+        base = self._base_rows(commit, self._touched(changed, self.period))
+        number = commit.number + 1
+        bases = {**commit.bases, **self._write_base(self._collapsed(base, changed), number)}
+        self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
 
     def _typed(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
 
-    def _month(self) -> Column:
-        return month_of(F.col("date")) if self.dated else F.lit(0)
-
     @staticmethod
     def _bucket(placement_id: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(placement_id), F.lit(buckets)).cast("int")
 
-    def _write_base(self, rows: DataFrame, number: int) -> None:
-        """Rebalance sizes the files and splits a folder that one hot placement fills."""
+    def _write_base(self, rows: DataFrame, number: int) -> dict[int, int]:
+        """Write base files and return the periods they hold.
+
+        Rebalancing sizes the files and splits a folder that one hot placement fills.
+        """
+        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
         (
             self._typed(rows)
-            .withColumn("month", self._month())
+            .withColumn("period", period)
             .withColumn("bucket", self._bucket(F.col("placement_id"), self.buckets))
-            .hint("rebalance", F.col("month"), F.col("bucket"))
-            .sortWithinPartitions("month", "bucket", *self.sort_by)
+            .hint("rebalance", F.col("period"), F.col("bucket"))
+            .sortWithinPartitions("period", "bucket", *self.sort_by)
             .write.mode("overwrite")
-            .partitionBy("month", "bucket")
+            .partitionBy("period", "bucket")
             .parquet(f"{self.path}/base={number}")
         )
+        return {p: number for p in self._periods_in(number)}
 
     def _publish(self, commit: Commit) -> None:
-        months = {str(month): base for month, base in commit.months.items()}
-        row = (commit.buckets, months, sorted(commit.folded))
+        bases = {str(period): base for period, base in commit.bases.items()}
+        row = (commit.period, commit.buckets, bases, sorted(commit.folded))
         self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("overwrite").json(
             f"{self.path}/commit={commit.number}"
         )

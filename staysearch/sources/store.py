@@ -20,25 +20,26 @@ from staysearch.sources.state import VersionedTable
 class Store:
     """Finals, the search table and the quarantine log.
 
-    The search table is sorted by occupancy first: searches fix the occupancy and a
-    date range, so month folders and file statistics leave little to read.
+    ``period`` (year, month or day) and ``buckets`` (by placement) set the folders of
+    the dated tables; pick them so that a folder holds some gigabytes. The search table is sorted by occupancy first: searches fix the occupancy and a
+    date range, so period folders and file statistics leave little to read.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 1) -> None:
+    def __init__(self, spark: SparkSession, root: str, period: str = "month", buckets: int = 1) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.variants = VersionedTable(spark, f"{self.root}/placement_variants", VARIANTS, VARIANT_KEY)
         self.availability = VersionedTable(
-            spark, f"{self.root}/availability_final", AVAILABILITY, DAY_KEY, buckets=buckets
+            spark, f"{self.root}/availability_final", AVAILABILITY, DAY_KEY, period=period, buckets=buckets
         )
-        self.prices = VersionedTable(spark, f"{self.root}/prices_by_day_final", PRICES, DAY_KEY, buckets=buckets)
+        self.prices = VersionedTable(spark, f"{self.root}/prices_by_day_final", PRICES, DAY_KEY, period=period, buckets=buckets)
         self.search = VersionedTable(
             spark,
             f"{self.root}/search_by_variant",
             SEARCH,
             SEARCH_KEY,
             sort_by=["adults", "children_ages", "placement_id", "date"],
-            buckets=buckets,
+            period=period, buckets=buckets,
         )
         self.quarantine = VersionedTable(spark, f"{self.root}/quarantine", QUARANTINE, [])
 

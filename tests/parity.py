@@ -36,7 +36,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _text(value: object) -> str:
-    if value is None or value is pd.NaT or value != value:
+    if pd.isna(value):
         return "~"
     if isinstance(value, pd.Timestamp):
         return value.strftime("%Y-%m-%d")
