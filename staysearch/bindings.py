@@ -64,7 +64,7 @@ class Inventory:
             F.col("l_shipdate").cast("date").alias("date"),
             *[column.alias(name) for name, column in values.items()],
             F.timestamp_add("HOUR", F.col("l_linenumber"), shipped).alias("updated_at"),
-            F.struct(*LOG_ORDER).alias("version"),
+            *LOG_ORDER,
         )
 
     @cached_property
@@ -100,7 +100,7 @@ class Inventory:
 
     def latest(self, log: DataFrame, keys: list[str]) -> DataFrame:
         usable = log.where(F.col("placement_id") > 0)
-        return latest_by_key(usable, keys, "version")
+        return latest_by_key(usable, keys, LOG_ORDER)
 
     @cached_property
     def availability(self) -> DataFrame:
@@ -164,7 +164,7 @@ class Inventory:
     @cached_property
     def availability_records(self) -> DataFrame:
         return to_records(
-            self.availability_log, "availability", ["version"], ["placement_id", "date", "available"]
+            self.availability_log, "availability", LOG_ORDER, ["placement_id", "date", "available"]
         )
 
     @cached_property
@@ -172,12 +172,12 @@ class Inventory:
         """Prices as text, the way the connector sends decimals."""
         rows = self.price_log.withColumn("price", F.col("price").cast("string"))
         columns = ["placement_id", "date", "price", "currency"]
-        return to_records(rows, "prices_by_day", ["version"], columns)
+        return to_records(rows, "prices_by_day", LOG_ORDER, columns)
 
     @cached_property
     def variant_records(self) -> DataFrame:
         columns = ["placement_id", "adults", "children_ages"]
-        return to_records(self.variant_log, "placement_variants", ["version"], columns)
+        return to_records(self.variant_log, "placement_variants", LOG_ORDER, columns)
 
     @cached_property
     def event_records(self) -> DataFrame:

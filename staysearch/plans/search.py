@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staysearch.operators.joins import lookup_join
 from staysearch.operators.latest import latest_by_key
-from staysearch.schemas import DAY_KEY, DEFAULT_CURRENCY, PRICE, SEARCH
+from staysearch.schemas import DAY_KEY, DEFAULT_CURRENCY, PRICE, SEARCH, VARIANT_KEY
 
 
 def _side(df: DataFrame, values: list[str], tag: str) -> DataFrame:
@@ -79,15 +79,21 @@ def build_search_from_feeds(
 
 
 def recompute_days(
-    touched: DataFrame,
-    availability_log: DataFrame,
-    prices_log: DataFrame,
-    variants: DataFrame,
-    bound: DataFrame | None = None,
+    touched: DataFrame, availability_log: DataFrame, prices_log: DataFrame, variants_log: DataFrame
 ) -> DataFrame:
-    """Search rows of the touched (placement, date) keys, from the logs as they stand now."""
-    availability, prices = (
-        latest_by_key(log.join(touched, DAY_KEY, "left_semi"), DAY_KEY, "version", keep_version=True)
-        for log in (availability_log, prices_log)
+    """Search rows of the touched (placement, date) keys, from the logs as they stand now.
+
+    Every log is cut down to the touched keys before it is collapsed.
+    """
+
+    def current(log: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
+        hit = log.join(touched.select(*of).distinct(), of, "left_semi")
+        return latest_by_key(hit, keys, "version", keep_version=True)
+
+    return build_search(
+        current(variants_log, VARIANT_KEY, ["placement_id"]),
+        current(availability_log, DAY_KEY, DAY_KEY),
+        current(prices_log, DAY_KEY, DAY_KEY),
+        "full",
+        bound=variants_log,
     )
-    return build_search(variants, availability, prices, "full", bound)

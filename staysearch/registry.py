@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staysearch.bindings import Inventory
+from staysearch.bindings import LOG_ORDER, Inventory
 from staysearch.functions.ages import normalize_ages
 from staysearch.functions.wire import update_version, wire_currency
 from staysearch.operators import changes as ch
@@ -82,16 +82,13 @@ def latest_variants(inv: Inventory) -> DataFrame:
 @register
 def latest_by_update_time(inv: Inventory) -> DataFrame:
     log = inv.availability_log.where(F.col("placement_id") > 0)
-    log = log.withColumn("updated_ms", update_version(F.col("updated_at")))
-    rows = log.select(*DAY_KEY, "available", F.struct("updated_ms", "version").alias("v"))
-    return latest_by_key(rows, DAY_KEY, "v", keep_version=True).select(
-        *DAY_KEY, "available", F.col("v.updated_ms").alias("updated_ms")
-    )
+    rows = _ms(log).withColumn("changed", F.col("updated_ms"))
+    return latest_by_key(rows, DAY_KEY, ["changed", *LOG_ORDER])
 
 
 def _numbered(log: DataFrame) -> DataFrame:
     """The log with its order as one long version."""
-    ordered = log.where(F.col("placement_id") > 0).orderBy("version")
+    ordered = log.where(F.col("placement_id") > 0).orderBy(*LOG_ORDER)
     return ordered.withColumn("version", F.monotonically_increasing_id() + 1)
 
 
@@ -159,7 +156,7 @@ def cdc_envelopes(inv: Inventory) -> DataFrame:
     )
     records = inv.price_log.select(
         F.lit("prices_by_day").alias("topic"),
-        F.col("version.l_orderkey").alias("offset"),
+        F.col("l_orderkey").alias("offset"),
         F.to_json(F.struct(envelope.alias("payload"))).alias("value"),
     )
     return cdc.usable(cdc.decode_prices(cdc.unwrap(records))).select(*DAY_KEY, "price", "currency")
@@ -210,8 +207,8 @@ def corrupt_messages(inv: Inventory) -> DataFrame:
 def snapshot_then_changes(inv: Inventory) -> DataFrame:
     """An initial copy of the source, changes on top, then a newer copy that overrides both."""
     store = _store(inv, "snapshot")
-    old = inv.price_log.where(F.col("placement_id") > 0).withColumn("currency", F.lit("OLD"))
-    first = latest_by_key(old, DAY_KEY, "version").withColumn("price", F.lit(1).cast("decimal(12,2)"))
+    old = inv.price_log.withColumn("currency", F.lit("OLD"))
+    first = inv.latest(old, DAY_KEY).withColumn("price", F.lit(1).cast("decimal(12,2)"))
     jobs.load_snapshot(store, "prices_by_day", first, "copy-0", generation=0)
     changes = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.price_records, generation=0)))
     store.prices.append(changes, "changes-0")
@@ -475,9 +472,9 @@ def unknown_placement_changes(inv: Inventory) -> DataFrame:
 def insert_if_absent(inv: Inventory) -> DataFrame:
     """Prices offered for days of the availability log, kept only where no price exists."""
     offered = inv.availability_log.where(F.col("placement_id") > 0).select(
-        *DAY_KEY, "available", F.col("version").alias("order")
+        *DAY_KEY, "available", *LOG_ORDER
     )
-    added = ch.insert_if_absent(inv.prices, offered, DAY_KEY, "order")
+    added = ch.insert_if_absent(inv.prices, offered, DAY_KEY, LOG_ORDER)
     return added.select(*DAY_KEY, "available")
 
 

@@ -40,6 +40,15 @@ def snapshot_version(generation: int = 0) -> int:
     return (generation << GENERATION_BITS) + 1
 
 
+def _once(parsed: Column) -> Column:
+    """A parse that runs once per row.
+
+    Filters on its fields would otherwise be pushed below the projection, each with a
+    parse of its own; they stop at a generator.
+    """
+    return F.explode(F.array(parsed))
+
+
 def unwrap(records: DataFrame, generation: int = 0) -> DataFrame:
     """After-image of every message: the fields as text, ``payload`` and ``corrupt``.
 
@@ -50,14 +59,14 @@ def unwrap(records: DataFrame, generation: int = 0) -> DataFrame:
         "topic",
         "value",
         event_version(F.col("offset"), generation).alias("version"),
-        F.from_json("value", _MESSAGE, _OPTIONS).alias("message"),
+        _once(F.from_json("value", _MESSAGE, _OPTIONS)).alias("message"),
     )
     parsed = message.select(
         "topic",
         "version",
         F.coalesce("message.payload", "value").alias("payload"),
         (F.col("message").isNull() | F.col("message._corrupt").isNotNull()).alias("bad_message"),
-        F.from_json("message.payload", _PAYLOAD, _OPTIONS).alias("row"),
+        _once(F.from_json("message.payload", _PAYLOAD, _OPTIONS)).alias("row"),
     )
     live = parsed.where(F.coalesce(F.col("row.op"), F.lit("")) != "d")
     return live.select(

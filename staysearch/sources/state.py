@@ -45,6 +45,12 @@ def period_of(day: Column, period: str) -> Column:
     return F.floor(number / F.lit(10 ** (8 - PERIODS[period]))).cast("int")
 
 
+def periods_in(rows: DataFrame, period: str) -> list[int]:
+    """Periods of the rows: calendar values, so a short list however many rows there are."""
+    found = rows.select(period_of(F.col("date"), period).alias("period")).distinct().collect()
+    return [row.period for row in found]
+
+
 def period_number(day: date | str, period: str) -> int:
     return int(str(day).replace("-", "")[: PERIODS[period]])
 
@@ -156,11 +162,13 @@ class VersionedTable:
         parts = [p for p in self._parts(dates, placement_id) if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
-    def log_of(self, changed: DataFrame) -> DataFrame:
-        """At least all stored rows of the days in ``changed``; other periods are not read."""
+    def log_of(self, months: Sequence[int]) -> DataFrame:
+        """At least all stored rows of these months (yyyymm); base files of others are not read."""
         commit = self.commit()
-        found = self._touched(changed, commit.period)
-        parts = [self._base_rows(commit, found), self._delta_rows(self.deltas(commit))]
+        digits = min(PERIODS[commit.period], PERIODS["month"])
+        wanted = {str(m)[:digits] for m in months}
+        periods = [p for p in commit.bases if str(p)[:digits] in wanted]
+        parts = [self._base_rows(commit, periods), self._delta_rows(self.deltas(commit))]
         parts = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
@@ -178,13 +186,6 @@ class VersionedTable:
         kept = latest_by_key(rows, self.keys, "version", keep_version=True)
         return kept.select(*self.schema.fieldNames())
 
-    def _touched(self, rows: DataFrame, period: str) -> list[int]:
-        """Periods of the rows: calendar values, so a short list however many rows there are."""
-        if not self.dated:
-            return [UNDATED]
-        found = rows.select(period_of(F.col("date"), period).alias("period")).distinct().collect()
-        return [row.period for row in found]
-
     # -- writing ---------------------------------------------------------------
 
     def append(self, rows: DataFrame, delta: str) -> None:
@@ -209,7 +210,8 @@ class VersionedTable:
             self.replace(self.latest())
             return
         changed = self._delta_rows(deltas)
-        base = self._base_rows(commit, self._touched(changed, self.period))
+        touched = periods_in(changed, self.period) if self.dated else [UNDATED]
+        base = self._base_rows(commit, touched)
         number = commit.number + 1
         bases = {**commit.bases, **self._write_base(self._collapsed(base, changed), number)}
         self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
