@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from staysearch.functions.wire import wire_currency
 from staysearch.operators.latest import latest_by_key
-from staysearch.schemas import DAY_KEY, PRICE
+from staysearch.schemas import DAY_KEY, PRICE, VARIANT_KEY
 from staysearch.sources.demo import variant_templates
 from staysearch.sources.topics import to_records
 
@@ -161,23 +161,19 @@ class Inventory:
 
     # -- messages --------------------------------------------------------------
 
-    @cached_property
-    def availability_records(self) -> DataFrame:
-        return to_records(
-            self.availability_log, "availability", LOG_ORDER, ["placement_id", "date", "available"]
-        )
-
-    @cached_property
-    def price_records(self) -> DataFrame:
-        """Prices as text, the way the connector sends decimals."""
-        rows = self.price_log.withColumn("price", F.col("price").cast("string"))
-        columns = ["placement_id", "date", "price", "currency"]
-        return to_records(rows, "prices_by_day", LOG_ORDER, columns)
-
-    @cached_property
-    def variant_records(self) -> DataFrame:
-        columns = ["placement_id", "adults", "children_ages"]
-        return to_records(self.variant_log, "placement_variants", LOG_ORDER, columns)
+    def records(self, topic: str, ordered: bool = True) -> DataFrame:
+        """A topic's messages. Only what keeps the latest row per key needs ordered offsets."""
+        logs = {
+            "availability": (self.availability_log, ["placement_id", "date", "available"]),
+            # Prices travel as text, the way the connector sends decimals.
+            "prices_by_day": (
+                self.price_log.withColumn("price", F.col("price").cast("string")),
+                ["placement_id", "date", "price", "currency"],
+            ),
+            "placement_variants": (self.variant_log, VARIANT_KEY),
+        }
+        rows, columns = logs[topic]
+        return to_records(rows, topic, columns, LOG_ORDER if ordered else None)
 
     @cached_property
     def event_records(self) -> DataFrame:
@@ -188,7 +184,8 @@ class Inventory:
             (F.col("event_type") != "error").alias("available"),
             "event_id",
         )
-        return to_records(rows, "availability", ["event_id"], ["placement_id", "date", "available"])
+        columns = ["placement_id", "date", "available"]
+        return to_records(rows, "availability", columns, ["event_id"])
 
     @cached_property
     def prose_records(self) -> DataFrame:

@@ -11,6 +11,10 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
+def fits_broadcast(bound: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> bool:
+    return bound.count() <= broadcast_rows
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -29,8 +33,7 @@ def lookup_join(
     it both sides shuffle on (key, salt): the salt spreads the facts of a hot key by
     ``spread_by``, and the lookup is repeated once per salt.
     """
-    rows = (lookup if bound is None else bound).count()
-    if rows <= broadcast_rows:
+    if fits_broadcast(lookup if bound is None else bound, broadcast_rows):
         return facts.join(F.broadcast(lookup), key, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -49,7 +49,8 @@ def fan_out(days: DataFrame, variants: DataFrame, bound: DataFrame | None = None
     """
     options = variants.where(F.col("adults") > 0).select("placement_id", "adults", "children_ages")
     rows = lookup_join(days, options, "placement_id", ["date"], bound=bound)
-    return rows.select(*SEARCH.fieldNames())
+    folders = [c for c in ("period", "bucket") if c in days.columns]
+    return rows.select(*SEARCH.fieldNames(), *folders)
 
 
 def build_search(

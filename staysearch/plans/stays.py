@@ -51,12 +51,16 @@ class Stay:
         return self.date_from, self.date_to
 
 
+def in_dates(rows: DataFrame, dates: tuple[date, date]) -> DataFrame:
+    low, high = dates
+    return rows.where(F.col("date").between(F.lit(low), F.lit(high)))
+
+
 def matching(search: DataFrame, stay: Stay) -> DataFrame:
     """Search rows of the stay: equality and range predicates that reach the scan."""
-    rows = search.where(
+    rows = in_dates(search, stay.dates).where(
         (F.col("adults") == F.lit(stay.adults).cast("smallint"))
         & (F.col("children_ages") == stay.children_ages)
-        & F.col("date").between(F.lit(stay.date_from), F.lit(stay.date_to))
     )
     if stay.placement_id is not None:
         rows = rows.where(F.col("placement_id") == stay.placement_id)
@@ -173,11 +177,13 @@ def calendar(
     availability: DataFrame, prices: DataFrame, placement_id: int, date_from: date, date_to: date
 ) -> DataFrame:
     """Availability and price per day of one placement; days without a price show NULL."""
-    days = availability.where(
-        (F.col("placement_id") == placement_id)
-        & F.col("date").between(F.lit(date_from), F.lit(date_to))
-    ).select(*DAY_KEY, "available")
-    joined = days.join(prices.select(*DAY_KEY, "price", "currency"), DAY_KEY, "left")
+    days, quotes = (
+        in_dates(side, (date_from, date_to)).where(F.col("placement_id") == placement_id)
+        for side in (availability, prices)
+    )
+    joined = days.select(*DAY_KEY, "available").join(
+        quotes.select(*DAY_KEY, "price", "currency"), DAY_KEY, "left"
+    )
     return (
         joined.groupBy(*DAY_KEY)
         .agg(

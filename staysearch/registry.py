@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,19 +126,19 @@ def compact_equivalence(inv: Inventory) -> DataFrame:
 
 @register
 def decode_availability_events(inv: Inventory) -> DataFrame:
-    rows = cdc.usable(cdc.decode_availability(cdc.unwrap(inv.availability_records)))
+    rows = cdc.usable(cdc.decode_availability(cdc.unwrap(inv.records("availability", ordered=False))))
     return rows.select(*DAY_KEY, "available")
 
 
 @register
 def decode_price_events(inv: Inventory) -> DataFrame:
-    rows = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.price_records)))
+    rows = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.records("prices_by_day", ordered=False))))
     return rows.select(*DAY_KEY, "price", "currency")
 
 
 @register
 def decode_variant_events(inv: Inventory) -> DataFrame:
-    return cdc.usable(cdc.decode_variants(cdc.unwrap(inv.variant_records))).select(*VARIANT_KEY)
+    return cdc.usable(cdc.decode_variants(cdc.unwrap(inv.records("placement_variants", ordered=False)))).select(*VARIANT_KEY)
 
 
 @register
@@ -176,11 +177,10 @@ def event_quarantine(inv: Inventory) -> DataFrame:
 
 def _quarantine(inv: Inventory) -> DataFrame:
     parts = [
-        cdc.quarantined(cdc.decode_availability(cdc.unwrap(inv.availability_records))),
-        cdc.quarantined(cdc.decode_prices(cdc.unwrap(inv.price_records))),
-        cdc.quarantined(cdc.decode_variants(cdc.unwrap(inv.variant_records))),
+        cdc.quarantined(decode(cdc.unwrap(inv.records(topic, ordered=False))))
+        for topic, decode in cdc.DECODERS.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register
@@ -210,7 +210,7 @@ def snapshot_then_changes(inv: Inventory) -> DataFrame:
     old = inv.price_log.withColumn("currency", F.lit("OLD"))
     first = inv.latest(old, DAY_KEY).withColumn("price", F.lit(1).cast("decimal(12,2)"))
     jobs.load_snapshot(store, "prices_by_day", first, "copy-0", generation=0)
-    changes = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.price_records, generation=0)))
+    changes = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.records("prices_by_day"), generation=0)))
     store.prices.append(changes, "changes-0")
     again = inv.prices.where(F.col("date") >= FROM).withColumn("currency", F.lit("NEW"))
     jobs.load_snapshot(store, "prices_by_day", again, "copy-1", generation=1)
@@ -226,9 +226,12 @@ def _versioned(inv: Inventory) -> tuple[DataFrame, DataFrame]:
     return inv.availability.withColumn("version", one), inv.prices.withColumn("version", one)
 
 
-def _search(inv: Inventory, how: str = "left") -> DataFrame:
-    availability, prices = _versioned(inv)
-    return search.build_search(inv.variants, availability, prices, how)
+def _search(inv: Inventory, how: str = "left", stay: stays.Stay | None = None) -> DataFrame:
+    """Search rows; a stay's dates prune both logs at the scan."""
+    finals = _versioned(inv)
+    if stay is not None:
+        finals = tuple(stays.in_dates(final, stay.dates) for final in finals)
+    return search.build_search(inv.variants, *finals, how)
 
 
 @register
@@ -277,27 +280,27 @@ def search_two_feeds(inv: Inventory) -> DataFrame:
 
 @register
 def stay_days_by_placement(inv: Inventory) -> DataFrame:
-    return stays.stay_days(_search(inv), STAY_AT)
+    return stays.stay_days(_search(inv, stay=STAY), STAY_AT)
 
 
 @register
 def stay_days_all(inv: Inventory) -> DataFrame:
-    return stays.stay_days(_search(inv), STAY)
+    return stays.stay_days(_search(inv, stay=STAY), STAY)
 
 
 @register
 def stay_days_by_hotel(inv: Inventory) -> DataFrame:
-    return stays.stay_days_by_hotel(_search(inv), inv.placements, inv.hotels, STAY)
+    return stays.stay_days_by_hotel(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
 
 
 @register
 def stay_totals(inv: Inventory) -> DataFrame:
-    return stays.stay_totals(_search(inv), STAY)
+    return stays.stay_totals(_search(inv, stay=STAY), STAY)
 
 
 @register
 def stay_totals_by_hotel(inv: Inventory) -> DataFrame:
-    return stays.stay_totals_by_hotel(_search(inv), inv.placements, inv.hotels, STAY)
+    return stays.stay_totals_by_hotel(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
 
 
 @register
@@ -310,13 +313,13 @@ def stay_totals_stored(inv: Inventory) -> DataFrame:
 
 @register
 def stay_summary(inv: Inventory) -> DataFrame:
-    totals = stays.stay_totals_by_hotel(_search(inv), inv.placements, inv.hotels, STAY)
+    totals = stays.stay_totals_by_hotel(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
     return stays.stay_summary(totals)
 
 
 @register
 def stay_nested(inv: Inventory) -> DataFrame:
-    return stays.stay_nested(_search(inv), inv.placements, inv.hotels, STAY)
+    return stays.stay_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
 
 
 @register
@@ -576,19 +579,19 @@ def _stream_final(inv: Inventory, topic: str, records: DataFrame) -> Store:
 
 @register
 def stream_latest_availability(inv: Inventory) -> DataFrame:
-    store = _stream_final(inv, "availability", inv.availability_records)
+    store = _stream_final(inv, "availability", inv.records("availability"))
     return store.availability.latest().select(*DAY_KEY, "available")
 
 
 @register
 def stream_latest_price(inv: Inventory) -> DataFrame:
-    store = _stream_final(inv, "prices_by_day", inv.price_records)
+    store = _stream_final(inv, "prices_by_day", inv.records("prices_by_day"))
     return store.prices.latest().select(*DAY_KEY, "price", "currency")
 
 
 @register
 def stream_variants(inv: Inventory) -> DataFrame:
-    store = _stream_final(inv, "placement_variants", inv.variant_records)
+    store = _stream_final(inv, "placement_variants", inv.records("placement_variants"))
     return store.variants.latest().select(*VARIANT_KEY)
 
 
@@ -605,7 +608,7 @@ def stream_restart(inv: Inventory) -> DataFrame:
     store = _store(inv, "restart")
     feed, checkpoint = f"{store.root}/feed", f"{store.root}/checkpoint"
     early = F.col("offset") % 2 == 0
-    records = inv.availability_records
+    records = inv.records("availability")
     _feed(inv, records.where(early), feed)
     _run_final(inv, store, "availability", feed, checkpoint)
     _feed(inv, records.where(~early), feed, "append")
@@ -621,7 +624,7 @@ def stream_search(inv: Inventory) -> DataFrame:
     store = _store(inv, "stream-search")
     stamped = inv.variants.withColumn("updated_at", F.lit(None).cast("timestamp"))
     jobs.sync_variants(store, stamped, "load")
-    feeds = {"availability": inv.availability_records, "prices_by_day": inv.price_records}
+    feeds = {"availability": inv.records("availability"), "prices_by_day": inv.records("prices_by_day")}
     for topic, records in feeds.items():
         _feed(inv, records, f"{store.root}/feed/{topic}")
     topics = [_topic(inv, t, f"{store.root}/feed/{t}") for t in feeds]

@@ -62,7 +62,6 @@ class VersionedTable:
         path: str,
         schema: T.StructType,
         keys: Sequence[str],
-        sort_by: Sequence[str] | None = None,
         period: str = "month",
         buckets: int = 1,
     ) -> None:
@@ -70,7 +69,6 @@ class VersionedTable:
         self.path = path.rstrip("/")
         self.schema = schema
         self.keys = list(keys)
-        self.sort_by = list(sort_by or keys)
         self.period = period
         self.buckets = buckets
         self.dated = "date" in schema.fieldNames()
@@ -190,14 +188,33 @@ class VersionedTable:
 
     def append(self, rows: DataFrame, delta: str) -> None:
         """Add rows as one delta. The same ``delta`` again replaces the earlier write."""
-        self._typed(rows).write.mode("overwrite").parquet(f"{self.path}/delta={delta}")
+        rows.select(*self._columns()).write.mode("overwrite").parquet(f"{self.path}/delta={delta}")
 
-    def replace(self, rows: DataFrame) -> None:
-        """Reload the table; ``rows`` must hold one row per key."""
+    def arrange(self, rows: DataFrame) -> DataFrame:
+        """Put rows into the folders and order of the base files.
+
+        ``rows`` only need the placement and date. Rebalancing sizes the files and
+        splits a folder that one hot placement fills.
+        """
+        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
+        order = [k for k in self.keys if k in rows.columns]
+        return (
+            rows.withColumn("period", period)
+            .withColumn("bucket", self._bucket(F.col("placement_id"), self.buckets))
+            .hint("rebalance", F.col("period"), F.col("bucket"))
+            .sortWithinPartitions("period", "bucket", *order)
+        )
+
+    def replace(self, rows: DataFrame, arranged: bool = False) -> None:
+        """Reload the table; ``rows`` must hold one row per key.
+
+        ``arranged`` rows come from :meth:`arrange` through steps that keep order and
+        partitions, and are written as they are.
+        """
         commit = self.commit()
         deltas = self.deltas(commit)
         number = commit.number + 1
-        bases = self._write_base(rows, number)
+        bases = self._write_base(rows if arranged else self.arrange(rows), number)
         self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
 
     def compact(self) -> None:
@@ -213,28 +230,21 @@ class VersionedTable:
         touched = periods_in(changed, self.period) if self.dated else [UNDATED]
         base = self._base_rows(commit, touched)
         number = commit.number + 1
-        bases = {**commit.bases, **self._write_base(self._collapsed(base, changed), number)}
+        bases = {**commit.bases, **self._write_base(self.arrange(self._collapsed(base, changed)), number)}
         self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
 
-    def _typed(self, rows: DataFrame) -> DataFrame:
-        return rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+    def _columns(self) -> list[Column]:
+        return [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
 
     @staticmethod
     def _bucket(placement_id: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(placement_id), F.lit(buckets)).cast("int")
 
-    def _write_base(self, rows: DataFrame, number: int) -> dict[int, int]:
-        """Write base files and return the periods they hold.
-
-        Rebalancing sizes the files and splits a folder that one hot placement fills.
-        """
-        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
+    def _write_base(self, arranged: DataFrame, number: int) -> dict[int, int]:
+        """Write base files and return the periods they hold."""
+        folders = [F.col("period"), F.col("bucket")]
         (
-            self._typed(rows)
-            .withColumn("period", period)
-            .withColumn("bucket", self._bucket(F.col("placement_id"), self.buckets))
-            .hint("rebalance", F.col("period"), F.col("bucket"))
-            .sortWithinPartitions("period", "bucket", *self.sort_by)
+            arranged.select(*self._columns(), *folders)
             .write.mode("overwrite")
             .partitionBy("period", "bucket")
             .parquet(f"{self.path}/base={number}")

@@ -42,23 +42,20 @@ def read_topic(
     )
 
 
-def to_records(rows: DataFrame, topic: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Rows as wire messages, with offsets that follow ``order``.
+def to_records(
+    rows: DataFrame, topic: str, columns: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """Rows as wire messages, with offsets that follow ``order`` if one is given.
 
     A range sort followed by ``monotonically_increasing_id`` numbers the rows in
     order on every executor at once.
     """
-    payload = F.struct(*columns)
-    return (
-        rows.orderBy(*order)
-        .withColumn("offset", F.monotonically_increasing_id())
-        .select(
-            F.lit(topic).alias("topic"),
-            F.lit(0).alias("partition"),
-            "offset",
-            F.lit(None).cast("timestamp").alias("timestamp"),
-            F.to_json(F.struct(F.lit(None).cast("string").alias("schema"), payload.alias("payload"))).alias(
-                "value"
-            ),
-        )
+    ordered = rows if order is None else rows.orderBy(*order)
+    message = F.struct(F.lit(None).cast("string").alias("schema"), F.struct(*columns).alias("payload"))
+    return ordered.select(
+        F.lit(topic).alias("topic"),
+        F.lit(0).alias("partition"),
+        F.monotonically_increasing_id().alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.to_json(message).alias("value"),
     )
