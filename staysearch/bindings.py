@@ -36,8 +36,8 @@ class Inventory:
 
     @cached_property
     def hotels(self) -> DataFrame:
-        region = F.broadcast(self.table("region"))  # the five regions
-        return self.table("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        nation, region = self.table("nation"), self.table("region")
+        return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
             F.col("n_nationkey").cast("bigint").alias("hotel_id"),
             F.col("n_name").alias("name"),
             F.col("r_name").alias("city"),

@@ -466,6 +466,12 @@ def oracle_sql() -> dict[str, str]:
             """SELECT request_id, kind, placement_id, CAST(last_day - first_day + 1 AS INTEGER) AS days,
                       first_day, last_day FROM good""",
         ),
+        "changes_as_events": _with(
+            CHANGE_REQUESTS,
+            """SELECT placement_id, date, CAST(price AS DECIMAL(12,2)) AS price, COALESCE(currency, 'RUB') AS currency
+               FROM (SELECT *, row_number() OVER (PARTITION BY placement_id, date ORDER BY request_id DESC) AS rn
+                     FROM change_days WHERE kind = 'price' AND placement_id > 0) WHERE rn = 1""",
+        ),
         "rejected_changes": _with(
             CHANGE_REQUESTS, "SELECT request_id, kind, placement_id, errors FROM checked WHERE errors <> ''"
         ),

@@ -21,7 +21,7 @@ from staysearch.schemas import AVAILABILITY, DAY_KEY, PRICES, SEARCH_KEY, VARIAN
 from staysearch.session import work_dir
 from staysearch.sources import cdc, demo, tabular
 from staysearch.sources.store import Store
-from staysearch.sources.topics import read_topic
+from staysearch.sources.topics import read_topic, to_records
 from staysearch.streaming import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,6 +459,16 @@ def change_receipts(inv: Inventory) -> DataFrame:
     )
 
 
+@register
+def changes_as_events(inv: Inventory) -> DataFrame:
+    """Accepted price changes as the topic carries them on, decoded and collapsed again."""
+    days = ch.expand_days(_changes(inv, "price")).withColumn("price", F.col("price").cast("string"))
+    columns = [*DAY_KEY, "price", "currency"]
+    records = to_records(days, "prices_by_day", columns, ["request_id", "date"])
+    rows = cdc.usable(cdc.decode_prices(cdc.unwrap(records)))
+    return latest_by_key(rows.select(*columns, "version"), DAY_KEY, "version")
+
+
 @register
 def rejected_changes(inv: Inventory) -> DataFrame:
     return ch.rejected(_validated(inv))
