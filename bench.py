@@ -86,7 +86,7 @@ def stored(inv: Inventory) -> dict[str, float]:
 
 
 def demo(inv: Inventory) -> dict[str, float]:
-    """The reference's own demo size: 730 000 days, 14.6 million search rows."""
+    """The full demo inventory: 730 000 days, 14.6 million search rows."""
     data = demo_inventory(inv.spark)
     store = registry._store(inv, "demo")
     jobs.sync_variants(store, data.variants.selectExpr("*", "timestamp'2026-01-01' AS updated_at"), "demo")

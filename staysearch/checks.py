@@ -249,7 +249,7 @@ EDGE = {
         [
             "latest_variants", "decode_variant_events", "event_quarantine", "quarantine_log",
             "quarantine_counts", "corrupt_messages", "stay_summary", "hotel_placement_counts",
-            "placement_list", "hotel_detail", "table_counts", "reconciliation", "variant_profile",
+            "placement_list", "hotel_detail", "placement_variant_rows", "table_counts", "reconciliation", "variant_profile",
             "variants_by_adults", "search_by_adults_available", "normalized_ages", "rejected_changes",
             "unknown_placement_changes", "rekey_backfill", "rekey_first_placements", "demo_variants",
             "json_lines_load", "variant_sync", "repair_counts", "stream_variants", "stream_quarantine",
@@ -397,6 +397,15 @@ def oracle_sql() -> dict[str, str]:
                FROM hotels h LEFT JOIN placements p ON p.hotel_id = h.hotel_id
                LEFT JOIN variants v ON v.placement_id = p.placement_id""",
         ),
+        "placement_variant_rows": _with(
+            PLACEMENTS + "," + VARIANTS,
+            """SELECT p.hotel_id, p.placement_id, p.name,
+                      COALESCE(v.adults, CAST(0 AS SMALLINT)) AS adults,
+                      COALESCE(v.children_ages, '') AS children_ages,
+                      COALESCE(v.adults || ' взр.' || CASE WHEN v.children_ages = '' THEN ''
+                          ELSE ', дети ' || replace(v.children_ages, ',', ', ') END, '') AS label
+               FROM placements p LEFT JOIN variants v ON v.placement_id = p.placement_id""",
+        ),
         "table_counts": _with(_search(), _counts(ANALYTIC)),
         "reconciliation": _with(
             _search() + "," + HOTELS + "," + PLACEMENTS + """,
@@ -534,5 +543,6 @@ def oracle_sql() -> dict[str, str]:
     # Different ways to the same rows.
     queries["search_refresh_stored"] = queries["search_refresh"]
     queries["search_two_feeds"] = queries["search_incremental"]
+    queries["stay_nested_rows"] = queries["stay_days_by_hotel"]
     queries["stay_totals_stored"] = queries["stay_totals"]
     return {name: _at_edge(sql, *EDGE.get(name, ("date", "price"))) for name, sql in queries.items()}

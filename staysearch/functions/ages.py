@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed values of the guest-facing label.
+ADULTS_LABEL = " взр."
+CHILDREN_LABEL = ", дети "
+
+
 def normalize_ages(ages: Column) -> Column:
     """Comma-separated ages → canonical ascending list; twins stay, zero and junk go."""
     parts = F.split(F.coalesce(ages, F.lit("")), ",")
@@ -29,6 +34,7 @@ def canonical_ages(ages: str | Iterable[int] | None) -> str:
 
 def variant_label(adults: Column, children_ages: Column) -> Column:
     """Guest-facing label of a variant."""
-    grown = F.concat(adults.cast("string"), F.lit(" взр."))
-    with_children = F.concat(grown, F.lit(", дети "), F.replace(children_ages, F.lit(","), F.lit(", ")))
+    grown = F.concat(adults.cast("string"), F.lit(ADULTS_LABEL))
+    spaced = F.replace(children_ages, F.lit(","), F.lit(", "))
+    with_children = F.concat(grown, F.lit(CHILDREN_LABEL), spaced)
     return F.when(F.coalesce(children_ages, F.lit("")) == "", grown).otherwise(with_children)

@@ -80,21 +80,21 @@ def build_search_from_feeds(
 
 
 def recompute_days(
-    touched: DataFrame, availability_log: DataFrame, prices_log: DataFrame, variants_log: DataFrame
+    touched: DataFrame, availability: DataFrame, prices: DataFrame, variants_log: DataFrame
 ) -> DataFrame:
-    """Search rows of the touched (placement, date) keys, from the logs as they stand now.
+    """Search rows of the touched (placement, date) keys.
 
-    Every log is cut down to the touched keys before it is collapsed.
+    ``availability`` and ``prices`` hold few rows per key, the latest among them. All
+    inputs are cut down to what was touched before they are collapsed.
     """
 
-    def current(log: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
-        hit = log.join(touched.select(*of).distinct(), of, "left_semi")
-        return latest_by_key(hit, keys, "version", keep_version=True)
+    def current(rows: DataFrame) -> DataFrame:
+        hit = rows.join(touched, DAY_KEY, "left_semi")
+        return latest_by_key(hit, DAY_KEY, "version", keep_version=True)
 
-    return build_search(
-        current(variants_log, VARIANT_KEY, ["placement_id"]),
-        current(availability_log, DAY_KEY, DAY_KEY),
-        current(prices_log, DAY_KEY, DAY_KEY),
-        "full",
-        bound=variants_log,
+    placements = touched.select("placement_id").distinct()
+    variants = lookup_join(
+        variants_log, placements, "placement_id", ["adults", "children_ages"], how="left_semi"
     )
+    variants = latest_by_key(variants, VARIANT_KEY, "version")
+    return build_search(variants, current(availability), current(prices), "full", bound=variants_log)

@@ -322,6 +322,21 @@ def stay_nested(inv: Inventory) -> DataFrame:
     return stays.stay_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
 
 
+@register
+def stay_nested_rows(inv: Inventory) -> DataFrame:
+    """The nested result taken apart again."""
+    nested = stays.stay_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
+    placed = nested.select("hotel_id", "name", "city", F.explode("placements").alias("p"))
+    return placed.select(
+        "hotel_id",
+        F.col("name").alias("hotel_name"),
+        "city",
+        F.col("p.placement_id").alias("placement_id"),
+        F.col("p.name").alias("placement_name"),
+        F.inline("p.dates"),
+    )
+
+
 @register
 def stay_requests_batch(inv: Inventory) -> DataFrame:
     return stays.stay_requests(_search(inv), inv.stay_requests)
@@ -357,6 +372,14 @@ def placement_variants_nested(inv: Inventory) -> DataFrame:
     return hp.placement_variants_nested(inv.placements, inv.variants)
 
 
+@register
+def placement_variant_rows(inv: Inventory) -> DataFrame:
+    """The nested variants taken apart again; placements without any keep one row."""
+    nested = hp.placement_variants_nested(inv.placements, inv.variants)
+    rows = nested.select("hotel_id", "placement_id", "name", F.inline_outer("variants"))
+    return rows.fillna({"adults": 0, "children_ages": "", "label": ""})
+
+
 def _analytic(inv: Inventory) -> dict[str, DataFrame]:
     return {
         "placement_variants": inv.variants,

@@ -20,6 +20,8 @@ DAYS = 365
 FIRST_DAY = date(2026, 1, 1)
 CITIES = ("Москва", "Санкт-Петербург", "Сочи")
 AVAILABLE_PERCENT = 80
+BASE_PRICE, DAY_STEP, DAY_CYCLE, EXTRA_STEP, EXTRA_STEPS = 5000, 100, 30, 50, 21
+HOTEL_NAME, HOTEL_ADDRESS, PLACEMENT_NAME = "Отель ", "ул. Демо, ", "Размещение "
 
 MASK = 0xFFFFFFFF
 MIX = 0x45D9F3B
@@ -65,8 +67,8 @@ def demo_availability(days: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def demo_prices(days: DataFrame, seed: int = 2) -> DataFrame:
-    step = F.pmod(mixed(F.col("placement_id"), F.col("d"), seed), F.lit(21))
-    price = F.lit(5000) + F.pmod(F.col("d"), F.lit(30)) * 100 + step * 50
+    extra = F.pmod(mixed(F.col("placement_id"), F.col("d"), seed), F.lit(EXTRA_STEPS)) * EXTRA_STEP
+    price = F.lit(BASE_PRICE) + F.pmod(F.col("d"), F.lit(DAY_CYCLE)) * DAY_STEP + extra
     return days.select(
         "placement_id",
         "date",
@@ -89,14 +91,14 @@ def demo_inventory(
     )
     hotel_rows = spark.range(hotels).select(
         number.alias("hotel_id"),
-        F.concat(F.lit("Отель "), number).alias("name"),
-        F.concat(F.lit("ул. Демо, "), number).alias("address"),
+        F.concat(F.lit(HOTEL_NAME), number).alias("name"),
+        F.concat(F.lit(HOTEL_ADDRESS), number).alias("address"),
         city.alias("city"),
     )
     placement_rows = spark.range(hotels * placements_per_hotel).select(
         number.alias("placement_id"),
         (F.floor(F.col("id") / placements_per_hotel) + 1).cast("bigint").alias("hotel_id"),
-        F.concat(F.lit("Размещение "), F.col("id") % placements_per_hotel + 1).alias("name"),
+        F.concat(F.lit(PLACEMENT_NAME), F.col("id") % placements_per_hotel + 1).alias("name"),
     )
     calendar = calendar_days(placement_rows, days)
     return Demo(

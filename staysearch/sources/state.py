@@ -160,13 +160,18 @@ class VersionedTable:
         parts = [p for p in self._parts(dates, placement_id) if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
-    def log_of(self, months: Sequence[int]) -> DataFrame:
-        """At least all stored rows of these months (yyyymm); base files of others are not read."""
+    def candidates(self, months: Sequence[int]) -> DataFrame:
+        """Rows that can be the latest of their key, at least those of the given months (yyyymm).
+
+        Base files of other periods are not read. Open rows are collapsed, so that a
+        key changed very often holds two rows at most.
+        """
         commit = self.commit()
         digits = min(PERIODS[commit.period], PERIODS["month"])
         wanted = {str(m)[:digits] for m in months}
-        periods = [p for p in commit.bases if str(p)[:digits] in wanted]
-        parts = [self._base_rows(commit, periods), self._delta_rows(self.deltas(commit))]
+        base = self._base_rows(commit, [p for p in commit.bases if str(p)[:digits] in wanted])
+        open_rows = self._delta_rows(self.deltas(commit))
+        parts = [base, None if open_rows is None else self._collapsed(None, open_rows)]
         parts = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
