@@ -15,17 +15,16 @@ def wire_id(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
-def wire_date(text: Column) -> Column:
-    """``YYYY-MM-DD`` or days since the epoch; anything else is NULL.
+def iso_date(text: Column) -> Column:
+    """``YYYY-MM-DD`` and nothing else: a plain cast would read "20514" as a year."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+
 
-    A plain cast would read a day number such as "20514" as a year.
-    """
+def wire_date(text: Column) -> Column:
+    """``YYYY-MM-DD`` or days since the epoch; anything else is NULL."""
     day = text.try_cast("int")
     day = F.when(day.between(0, MAX_DAY_NUMBER), day)
-    iso = F.when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")
-    )
-    return F.coalesce(iso, F.date_add(F.lit(EPOCH).cast("date"), day))
+    return F.coalesce(iso_date(text), F.date_add(F.lit(EPOCH).cast("date"), day))
 
 
 def wire_price(text: Column) -> Column:

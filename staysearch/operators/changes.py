@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.functions.wire import wire_currency, wire_flag
+from staysearch.functions.wire import iso_date, wire_currency, wire_flag
 from staysearch.operators.joins import lookup_join
 from staysearch.operators.latest import latest_by_key
 from staysearch.schemas import MAX_RANGE_DAYS, PRICE
@@ -19,10 +19,6 @@ def _text(name: str) -> Column:
     return F.nullif(F.trim(F.col(name)), F.lit(""))
 
 
-def _day(text: Column) -> Column:
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-
-
 def validate_changes(requests: DataFrame, placements: DataFrame) -> DataFrame:
     """Requests with parsed values and ``errors``, an array that is empty for valid ones.
 
@@ -41,14 +37,14 @@ def validate_changes(requests: DataFrame, placements: DataFrame) -> DataFrame:
     is_price = F.col("kind") == "price"
 
     def bad_format(text: Column) -> Column:
-        return text.isNotNull() & _day(text).isNull()
+        return text.isNotNull() & iso_date(text).isNull()
 
-    days = F.datediff(_day(last), _day(first)) + 1
+    days = F.datediff(iso_date(last), iso_date(first)) + 1
     rules = {
         "placement_unknown": F.col("_known").isNull(),
         "date_required": one.isNull() & (first.isNull() | last.isNull()),
         "date_format": bad_format(one) | bad_format(first) | bad_format(last),
-        "range_reversed": _day(last) < _day(first),
+        "range_reversed": iso_date(last) < iso_date(first),
         "range_too_long": days > MAX_RANGE_DAYS,
         "available_invalid": ~is_price & ~F.coalesce(flag.isin(*FLAGS), F.lit(False)),
         "price_invalid": is_price & ~F.coalesce(F.col("price") >= 0, F.lit(False)),
@@ -61,7 +57,7 @@ def validate_changes(requests: DataFrame, placements: DataFrame) -> DataFrame:
         "request_id",
         "kind",
         "placement_id",
-        *[_day(text).alias(name) for name, text in given.items()],
+        *[iso_date(text).alias(name) for name, text in given.items()],
         F.when(~is_price, wire_flag(flag)).alias("available"),
         F.when(is_price, F.col("price").cast(PRICE)).alias("price"),
         F.when(is_price, wire_currency(F.col("currency"))).alias("currency"),
