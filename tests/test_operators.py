@@ -148,3 +148,22 @@ def test_default_placements_are_dense_in_hotel_order(spark):
     ]
     firsts = {r.hotel_id: r.placement_id for r in first_placements(hotels, placements).collect()}
     assert firsts[2] == 4 and set(firsts) == {1, 2, 7, 100_001, 150_000, 400_000}
+
+
+def test_a_hot_key_spreads_over_tasks(spark):
+    """A third of the facts has one placement; no task gets anywhere near a third."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {key: spark.conf.get(key) for key in plain}
+    for key, value in plain.items():
+        spark.conf.set(key, value)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 1000)
+        facts = spark.range(60_000).select(hot.alias("k"), (F.col("id") % 3000).alias("day"))
+        lookup = spark.range(1000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+        joined = lookup_join(facts, lookup, "k", ["day"], broadcast_rows=0)
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).count()
+        largest, total = tasks.agg(F.max("count"), F.sum("count")).first()
+        assert total == 120_000 and largest / total < 0.1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
