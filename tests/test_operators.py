@@ -152,7 +152,11 @@ def test_default_placements_are_dense_in_hotel_order(spark):
 
 def test_a_hot_key_spreads_over_tasks(spark):
     """A third of the facts has one placement; no task gets anywhere near a third."""
-    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    plain = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+    }
     before = {key: spark.conf.get(key) for key in plain}
     for key, value in plain.items():
         spark.conf.set(key, value)
