@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from staysearch.llm import line_dedup, sharding
+from functools import cache
+from pathlib import Path
+
+import public_tokenizers
+
+from staysearch.llm import bpe, line_dedup, packing, sharding, token_counts
 from staysearch.llm.common import table
 
+
+@cache
+def definition(name: str) -> str:
+    """A tokenizer file's text; the driver reads it, tasks get it with their code."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
 QUERIES = {
+    "op3_batched_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents"), definition(BYTE_BPE)),
     "op4_histogram_sort": lambda spark, d: sharding.shard_report(table(spark, d, "documents")),
     "op5_site_line_dedup": lambda spark, d: line_dedup.line_report(table(spark, d, "documents")),
+    "op7_exact_complement_packing": lambda spark, d: packing.pack_report(
+        table(spark, d, "documents"), definition(WORD_BPE)
+    ),
+    "op10_length_histogram": lambda spark, d: token_counts.count_report(
+        table(spark, d, "documents"), definition(BYTE_BPE)
+    ),
 }
 ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE}
