@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from staysearch.session import work_dir
 
 BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +37,38 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def mapped(
-    df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(step, schema)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, wanted: Column) -> DataFrame:
+    """text and y of about ``bound`` labelled documents at most.
+
+    ``wanted`` says which rows of ``labels`` may be learned from. Of an id's repeated labels
+    the largest holds; null labels and ids are no labels. The ids are chosen by their hash, so
+    the choice does not depend on how the rows are dealt out.
+    """
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & wanted)
+        .groupBy(F.col("doc_id").alias("label_id"))
+        .agg(F.max(label).cast("int").alias("y"))
+    )
+    share = bound / max(known.count(), 1)
+    chosen = known.where(sampled(F.col("label_id"), share))
+    # The choice is bounded, so that one scan of the documents finds its texts.
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "y")
+
+
+def sampled(key: Column, share: float) -> Column:
+    """Whether a row belongs to a sample of this share, chosen by its key's hash."""
+    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.lit(int(min(share, 1) * (1 << 20)))
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
+    """The whole rows whose text ``keep`` accepts; it maps a text column to booleans."""
+    at = docs.columns.index(text)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at))))
+
+    return docs.mapInArrow(step, docs.schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +88,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def blocks(offsets: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``block_bytes`` bytes, of one row at least.
+def blocks(offsets: np.ndarray, block_bytes: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``block_bytes`` bytes and ``rows`` rows, of one row at least.
 
     The arrays made from a block are a small multiple of it, so a task's memory depends
     on this bound and on the longest text, not on the size of the batch.
@@ -68,7 +97,7 @@ def blocks(offsets: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tupl
     start, n = 0, len(offsets) - 1
     while start < n:
         end = int(np.searchsorted(offsets, offsets[start] + block_bytes, "right")) - 1
-        end = min(max(end, start + 1), n)
+        end = min(max(end, start + 1), start + rows, n)
         yield start, end
         start = end
 

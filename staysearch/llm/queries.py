@@ -7,7 +7,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from staysearch.llm import bpe, line_dedup, packing, sharding, token_counts
+from staysearch.llm import bpe, line_dedup, packing, quality_rules, sharding, token_counts, toxicity
 from staysearch.llm.common import table
 
 
@@ -20,6 +20,7 @@ def definition(name: str) -> str:
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 QUERIES = {
+    "op1_nnpu_toxicity": lambda spark, d: toxicity.score_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_batched_bpe": lambda spark, d: bpe.round_trip(table(spark, d, "documents"), definition(BYTE_BPE)),
     "op4_histogram_sort": lambda spark, d: sharding.shard_report(table(spark, d, "documents")),
     "op5_site_line_dedup": lambda spark, d: line_dedup.line_report(table(spark, d, "documents")),
@@ -30,4 +31,7 @@ QUERIES = {
         table(spark, d, "documents"), definition(BYTE_BPE)
     ),
 }
+QUERIES["op9_hashed_quality_rules"] = lambda spark, d: quality_rules.rule_report(
+    table(spark, d, "documents"), table(spark, d, "labels")
+)
 ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE}
