@@ -7,7 +7,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from staysearch.llm import bpe, line_dedup, packing, quality_rules, sharding, token_counts, toxicity
+from staysearch.llm import bpe, line_dedup, packing, quality_rff, quality_rules, sharding, token_counts, topk, toxicity
 from staysearch.llm.common import table
 
 
@@ -34,4 +34,8 @@ QUERIES = {
 QUERIES["op9_hashed_quality_rules"] = lambda spark, d: quality_rules.rule_report(
     table(spark, d, "documents"), table(spark, d, "labels")
 )
-ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE}
+QUERIES["op6_fourier_quality"] = lambda spark, d: quality_rff.score_report(
+    table(spark, d, "documents"), table(spark, d, "labels")
+)
+QUERIES["op8_ball_tree_topk"] = lambda spark, d: topk.search_report(table(spark, d, "embeddings"))
+ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE, "op8_ball_tree_topk": topk.ORACLE}
