@@ -7,7 +7,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from staysearch.llm import bpe, line_dedup, packing, quality_rff, quality_rules, sharding, token_counts, topk, toxicity
+from staysearch.llm import bpe, line_dedup, near_dup, packing, quality_rff, quality_rules, sharding, token_counts, topk, toxicity
 from staysearch.llm.common import table
 
 
@@ -38,4 +38,5 @@ QUERIES["op6_fourier_quality"] = lambda spark, d: quality_rff.score_report(
     table(spark, d, "documents"), table(spark, d, "labels")
 )
 QUERIES["op8_ball_tree_topk"] = lambda spark, d: topk.search_report(table(spark, d, "embeddings"))
+QUERIES["op2_bayes_minhash"] = lambda spark, d: near_dup.near_duplicates(table(spark, d, "documents"))
 ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE, "op8_ball_tree_topk": topk.ORACLE}
