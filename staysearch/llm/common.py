@@ -32,6 +32,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The two columns that operators read; whatever else a table has cannot clash."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -52,7 +57,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, wanted:
     share = bound / max(known.count(), 1)
     chosen = known.where(sampled(F.col("label_id"), share))
     # The choice is bounded, so that one scan of the documents finds its texts.
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "y")
+    return (
+        id_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "y")
+    )
 
 
 def sampled(key: Column, share: float) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import saved, text_blocks
+from staysearch.llm.common import id_text, saved, text_blocks
 from staysearch.llm.components import components
 from staysearch.llm.textbytes import GRAM, LOWER, Fingerprints, mixed, per_text, windows, words
 
@@ -127,7 +127,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
-    return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(step, schema)
+    return id_text(docs).mapInArrow(step, schema)
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -189,7 +189,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     wanted = saved(pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.selectExpr("cast(doc_id AS bigint) AS node", "text").join(
+    texts = id_text(docs).withColumnRenamed("doc_id", "node").join(
         F.broadcast(wanted) if few else wanted, "node", "left_semi"
     )
 

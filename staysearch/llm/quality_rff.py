@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import fold, saved, text_blocks
+from staysearch.llm.common import fold, id_text, saved, text_blocks
 from staysearch.llm.quality_rules import SYMBOL, measures
 from staysearch.llm.textbytes import SPACE, Fingerprints, code_points, mixed, per_text, words
 from staysearch.llm.toxicity import with_verdict
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select("doc_id", "text").mapInArrow(step, schema)
+    return id_text(docs).mapInArrow(step, schema)
 
 
 @dataclass(frozen=True)

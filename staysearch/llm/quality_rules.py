@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import kept_rows, labelled, text_blocks
+from staysearch.llm.common import id_text, kept_rows, labelled, text_blocks
 from staysearch.llm.textbytes import (
     GRAM,
     LOWER,
@@ -252,7 +252,7 @@ def rule_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{name} long" for name in ("doc_id", *MEASURES))
-    return docs.select("doc_id", "text").mapInArrow(step, f"{schema}, base_failed boolean, probability double, kept boolean")
+    return id_text(docs).mapInArrow(step, f"{schema}, base_failed boolean, probability double, kept boolean")
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -61,11 +61,11 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """Size, checksum and sort key of each document."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(doc_id).cast("long").alias("doc_id"),
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         _key(raw).alias("k1"),
-        _key(F.lit(4), F.col(doc_id)).alias("k2"),
+        _key(F.lit(4), F.col(doc_id).cast("long")).alias("k2"),
     )
 
 
@@ -167,9 +167,11 @@ def arranged(docs: DataFrame, shards: int = 24, tolerance: float = 0.002) -> Dat
     exchange of whole rows. Input columns of that name are replaced."""
     edges, _ = splitters(saved(keyed(docs), "shard-keys"), shards, tolerance)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.drop("shard", "k1", "k2").withColumns({"k1": _key(raw), "k2": _key(F.lit(4), F.col("doc_id"))})
-    placed = rows.withColumn("shard", _shard(edges))
-    return placed.repartitionByRange(max(shards, 8 * shards), "shard", "k1", "k2").drop("k1", "k2")
+    rows = docs.select(
+        F.struct("*").alias("doc"), _key(raw).alias("k1"), _key(F.lit(4), F.col("doc_id").cast("long")).alias("k2")
+    ).withColumn("shard", _shard(edges))
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "shard"]
+    return rows.repartitionByRange(8 * shards, "shard", "k1", "k2").select(*kept, "shard")
 
 
 def shard_report(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import fold, kept_rows, labelled, sampled, text_blocks
+from staysearch.llm.common import fold, id_text, kept_rows, labelled, sampled, text_blocks
 from staysearch.llm.textbytes import LOWER, Fingerprints, owners
 from staysearch.llm.units import letters
 
@@ -168,7 +168,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Toxicity:
     n, toxic = usable.selectExpr("count(*)", "count_if(toxic = 1)").first()
     total = docs.count()
     rows = _feature_rows(labelled(docs, labels.where("toxic = 1"), "toxic", POSITIVES, wanted)).toArrow()
-    free = docs.where(wanted & sampled(F.col("doc_id"), UNLABELLED / max(total, 1)))
+    free = id_text(docs).where(wanted & sampled(F.col("doc_id"), UNLABELLED / max(total, 1)))
     other = _feature_rows(free.select("text", F.lit(0).alias("y"))).toArrow()
     none = Toxicity(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([-30.0]))
     if not toxic or rows.num_rows == 0 or other.num_rows == 0:
@@ -209,7 +209,7 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
 
-    return with_verdict(docs.select("doc_id", "text").mapInArrow(step, "doc_id long, score double"), FOLDS, HELD_OUT)
+    return with_verdict(id_text(docs).mapInArrow(step, "doc_id long, score double"), FOLDS, HELD_OUT)
 
 
 def with_verdict(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
