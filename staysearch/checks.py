@@ -240,10 +240,11 @@ EDGE = {
             "latest_availability", "latest_by_update_time", "compact_equivalence",
             "decode_availability_events", "event_latest", "sample_days", "range_upsert",
             "insert_if_absent", "demo_availability", "stream_latest_availability", "stream_restart",
+            "latest_across_partitions", "stream_replay", "ingest_changes",
         ],
         _DATE,
     ),
-    **dict.fromkeys(["stay_totals", "stay_totals_stored", "stay_totals_by_hotel"], ("total_price",)),
+    **dict.fromkeys(["stay_totals", "stay_totals_stored", "stay_totals_open_delta", "stay_totals_by_hotel"], ("total_price",)),
     "change_receipts": ("first_day", "last_day"),
     **dict.fromkeys(
         [
@@ -253,6 +254,7 @@ EDGE = {
             "variants_by_adults", "search_by_adults_available", "normalized_ages", "rejected_changes",
             "unknown_placement_changes", "rekey_backfill", "rekey_first_placements", "demo_variants",
             "json_lines_load", "variant_sync", "repair_counts", "stream_variants", "stream_quarantine",
+            "stay_nested", "stay_totals_nested", "placement_variants_nested", "rejected_stays",
         ],
         _NONE,
     ),
@@ -353,6 +355,45 @@ def oracle_sql() -> dict[str, str]:
             """SELECT COUNT(DISTINCT hotel_id) AS hotels_found, COUNT(*) AS placements_found
                FROM totals JOIN directory USING (placement_id)""",
         ),
+        "stay_nested": _with(
+            _search() + "," + DIRECTORY + f""",
+            stays AS (
+                SELECT placement_id, string_agg(concat_ws('|', {DATE_TEXT}, CAST(CAST(available AS BOOLEAN) AS VARCHAR),
+                           CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR), currency), ';' ORDER BY date) AS days
+                FROM search WHERE {STAY} GROUP BY placement_id)""",
+            """SELECT hotel_id, hotel_name AS name, city, 0 AS page,
+                      string_agg(concat_ws(':', placement_id, placement_name, days), '/' ORDER BY placement_id) AS placements
+               FROM stays JOIN directory USING (placement_id) GROUP BY hotel_id, hotel_name, city""",
+        ),
+        "stay_totals_nested": _with(
+            _search() + "," + TOTALS + "," + DIRECTORY,
+            """SELECT hotel_id, hotel_name AS name, city, 0 AS page,
+                      string_agg(concat_ws('|', placement_id, placement_name, CAST(total_price AS VARCHAR),
+                          CAST(available AS VARCHAR), currency, days_found), '/' ORDER BY placement_id) AS placements
+               FROM totals JOIN directory USING (placement_id) GROUP BY hotel_id, hotel_name, city""",
+        ),
+        "placement_variants_nested": _with(
+            PLACEMENTS + "," + VARIANTS,
+            """SELECT p.hotel_id, p.placement_id, p.name, 0 AS page,
+                      COALESCE(string_agg(concat_ws('|', v.adults, v.children_ages,
+                          v.adults || ' взр.' || CASE WHEN v.children_ages = '' THEN ''
+                              ELSE ', дети ' || replace(v.children_ages, ',', ', ') END), ';'
+                          ORDER BY v.adults, v.children_ages) FILTER (WHERE v.adults IS NOT NULL), '') AS variants
+               FROM placements p LEFT JOIN variants v ON v.placement_id = p.placement_id
+               GROUP BY p.hotel_id, p.placement_id, p.name""",
+        ),
+        "rejected_stays": _with(
+            PLACEMENTS + """,
+            requests AS (
+                SELECT o_orderkey AS request_id,
+                       CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS placement_id,
+                       o_custkey % 5 AS adults FROM orders)""",
+            """SELECT * FROM (
+                   SELECT request_id, placement_id, concat_ws(',', CASE WHEN adults < 1 THEN 'adults_invalid' END,
+                       CASE WHEN placement_id IS NOT NULL AND placement_id NOT IN (SELECT placement_id FROM placements)
+                            THEN 'placement_unknown' END) AS errors
+                   FROM requests) WHERE errors <> ''""",
+        ),
         "stay_requests_batch": _with(
             _search() + """,
             requests AS (
@@ -544,5 +585,8 @@ def oracle_sql() -> dict[str, str]:
     queries["search_refresh_stored"] = queries["search_refresh"]
     queries["search_two_feeds"] = queries["search_incremental"]
     queries["stay_nested_rows"] = queries["stay_days_by_hotel"]
-    queries["stay_totals_stored"] = queries["stay_totals"]
+    queries["stay_totals_stored"] = queries["stay_totals_open_delta"] = queries["stay_totals"]
+    queries["search_refresh_beside_stream"] = queries["search_refresh"]
+    queries["latest_across_partitions"] = queries["stream_replay"] = queries["stream_latest_availability"]
+    queries["ingest_changes"] = queries["range_upsert"]
     return {name: _at_edge(sql, *EDGE.get(name, ("date", "price"))) for name, sql in queries.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -25,11 +26,10 @@ def normalize_ages(ages: Column) -> Column:
 
 
 def canonical_ages(ages: str | Iterable[int] | None) -> str:
-    """The canonical form of one request's ages, for use as a literal."""
-    if ages is None or ages == "":
-        return ""
-    values = ages.split(",") if isinstance(ages, str) else ages
-    return ",".join(str(n) for n in sorted(int(v) for v in values) if n)
+    """The canonical form of one request's ages, for use as a literal: the column's rule."""
+    parts = ages.split(",") if isinstance(ages, str) else map(str, ages or ())
+    found = [re.match(r"\s*([+-]?\d+)", part) for part in parts]
+    return ",".join(str(n) for n in sorted(int(m[1]) for m in found if m) if n)
 
 
 def variant_label(adults: Column, children_ages: Column) -> Column:

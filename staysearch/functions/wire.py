@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from staysearch.schemas import DEFAULT_CURRENCY, PRICE
 
-EPOCH = "1970-01-01"
-MAX_DAY_NUMBER = 2932896  # 9999-12-31
+# Fixed: the range of days that the analytic store can hold, and its last day's number.
+EPOCH, LAST_DAY, LAST_DAY_NUMBER = "1970-01-01", "2149-06-06", 65535
 
 
 def wire_id(text: Column) -> Column:
@@ -21,10 +21,12 @@ def iso_date(text: Column) -> Column:
 
 
 def wire_date(text: Column) -> Column:
-    """``YYYY-MM-DD`` or days since the epoch; anything else is NULL."""
-    day = text.try_cast("int")
-    day = F.when(day.between(0, MAX_DAY_NUMBER), day)
-    return F.coalesce(iso_date(text), F.date_add(F.lit(EPOCH).cast("date"), day))
+    """``YYYY-MM-DD`` or days since the epoch, 1970 to 2149; anything else is NULL."""
+    number = text.try_cast("int")
+    number = F.when(number.between(0, LAST_DAY_NUMBER), number)
+    named = iso_date(text)
+    named = F.when(named.between(F.lit(EPOCH).cast("date"), F.lit(LAST_DAY).cast("date")), named)
+    return F.coalesce(named, F.date_add(F.lit(EPOCH).cast("date"), number))
 
 
 def wire_price(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staysearch.functions.wire import iso_date, wire_currency, wire_flag
 from staysearch.operators.joins import lookup_join
-from staysearch.operators.latest import latest_by_key
+from staysearch.operators.latest import first_by_key, latest_by_key
 from staysearch.schemas import MAX_RANGE_DAYS, PRICE
 
 FLAGS = ("0", "1", "true", "false")
@@ -28,7 +28,7 @@ def validate_changes(requests: DataFrame, placements: DataFrame) -> DataFrame:
     """
     known = placements.select("placement_id").distinct().withColumn("_known", F.lit(True))
     checked = lookup_join(
-        requests, known, "placement_id", ["request_id"], how="left", bound=placements
+        requests, known, "placement_id", ["request_id"], how="left"
     )
 
     one, first, last = _text("date"), _text("date_from"), _text("date_to")
@@ -116,10 +116,8 @@ def insert_if_absent(
     current: DataFrame, rows: DataFrame, keys: Sequence[str], order: str | Sequence[str]
 ) -> DataFrame:
     """Rows to append: keys that ``current`` lacks, each once, the first in ``order``."""
-    first = rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*rows.columns), F.struct(*_list(order))).alias("_row")
-    )
-    return first.select("_row.*").join(current.select(*keys).distinct(), list(keys), "left_anti")
+    absent = rows.join(current.select(*keys).distinct(), list(keys), "left_anti")
+    return first_by_key(absent, keys, _list(order)).select(*rows.columns)
 
 
 def _list(names: str | Sequence[str]) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,14 @@ def latest_by_key(
         ]
         return needed.groupBy(*keys).agg(*picks)
 
-    ranked = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return (
-        needed.withColumn("_rank", F.row_number().over(ranked))
-        .where(F.col("_rank") == 1)
-        .select(*keys, *values)
-    )
+    return _top(needed, keys, [F.col(c).desc() for c in order]).select(*keys, *values)
+
+
+def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One whole row per key: the first in ``order``."""
+    return _top(df, keys, [F.col(c) for c in order])
+
+
+def _top(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
+    ranked = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == 1).drop("_rank")

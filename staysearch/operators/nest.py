@@ -1,4 +1,4 @@
-"""Nesting child rows under a parent without unbounded groups."""
+"""Nesting child rows under a parent."""
 
 from __future__ import annotations
 
@@ -7,18 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEST_ROWS = 500
 
+def page_of(child_id: Column, pages: int) -> Column:
+    """Page of a child within its parent.
 
-def part_of(child_id: Column, total: Column, limit: int = NEST_ROWS) -> Column:
-    """Part number of a child within its parent.
-
-    Parents of up to ``limit`` children have the single part 0. Larger ones are cut
-    into ``ceil(total / limit)`` parts by the hash of the unique child id, so no task
-    gathers a whole oversized parent.
+    The caller chooses the number of pages, the same for all parents, so that the shape of a
+    result does not depend on its size: one page is one row per parent, more pages bound what
+    one task gathers of a parent with very many children.
     """
-    parts = F.greatest(F.ceil(total / F.lit(limit)), F.lit(1))
-    return F.pmod(F.xxhash64(child_id), parts).cast("int")
+    return F.pmod(F.xxhash64(child_id), F.lit(pages)).cast("int")
 
 
 def nest(df: DataFrame, by: Sequence[str], items: Sequence[str], alias: str) -> DataFrame:

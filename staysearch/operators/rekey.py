@@ -59,6 +59,6 @@ def rekey_to_placement(rows: DataFrame, hotels: DataFrame, placements: DataFrame
     """Rows of known hotels with ``hotel_id`` replaced by ``placement_id``."""
     spread = [c for c in rows.columns if c != "hotel_id"]
     moved = lookup_join(
-        rows, first_placements(hotels, placements), "hotel_id", spread, bound=hotels
+        rows, first_placements(hotels, placements), "hotel_id", spread
     )
     return moved.select("placement_id", *spread)

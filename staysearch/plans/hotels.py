@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from staysearch.functions.ages import variant_label
 from staysearch.operators.joins import lookup_join
-from staysearch.operators.nest import part_of
-
-VARIANT_ROWS = 10_000
+from staysearch.operators.nest import nest, page_of
 
 
 def hotel_placement_counts(hotels: DataFrame, placements: DataFrame) -> DataFrame:
@@ -57,7 +55,7 @@ def hotel_detail(hotels: DataFrame, placements: DataFrame, variants: DataFrame)
         ["placement_id"],
     )
     filled = lookup_join(
-        _options(variants), directory, "placement_id", ["adults", "children_ages"], bound=placements
+        _options(variants), directory, "placement_id", ["adults", "children_ages"]
     )
     with_variants = variants.select("placement_id").distinct()
     bare = directory.join(with_variants, "placement_id", "left_anti")
@@ -66,24 +64,15 @@ def hotel_detail(hotels: DataFrame, placements: DataFrame, variants: DataFrame)
     return rows.unionByName(empty, allowMissingColumns=True)
 
 
-def placement_variants_nested(placements: DataFrame, variants: DataFrame) -> DataFrame:
-    """Placements with their variants as an array; oversized placements take several parts."""
-    options = _options(variants)
-    sizes = variants.groupBy("placement_id").agg(F.count("*").alias("_size"))
-    sized = placements.join(sizes, "placement_id")
-    rows = lookup_join(options, sized, "placement_id", ["adults", "children_ages"], bound=placements)
-    item = F.struct("adults", "children_ages", "label")
-    filled = rows.groupBy(
-        "hotel_id",
-        "placement_id",
-        "name",
-        part_of(F.struct("adults", "children_ages"), F.col("_size"), VARIANT_ROWS).alias("part"),
-    ).agg(F.array_sort(F.collect_list(item)).alias("variants"))
-    bare = placements.join(sizes, "placement_id", "left_anti").select(
+def placement_variants_nested(placements: DataFrame, variants: DataFrame, pages: int = 1) -> DataFrame:
+    """Placements with their variants as an array: one row per placement and page of its
+    variants; placements without any keep one row with an empty array."""
+    options = _options(variants).withColumn("page", page_of(F.struct("adults", "children_ages"), pages))
+    nested = nest(options, ["placement_id", "page"], ["adults", "children_ages", "label"], "variants")
+    return placements.join(nested, "placement_id", "left").select(
         "hotel_id",
         "placement_id",
         "name",
-        F.lit(0).alias("part"),
-        F.lit(None).cast(filled.schema["variants"].dataType).alias("variants"),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.coalesce("variants", F.array()).alias("variants"),
     )
-    return filled.unionByName(bare).withColumn("variants", F.coalesce("variants", F.array()))

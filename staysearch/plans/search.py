@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staysearch.operators.joins import lookup_join
 from staysearch.operators.latest import latest_by_key
-from staysearch.schemas import DAY_KEY, DEFAULT_CURRENCY, PRICE, SEARCH, VARIANT_KEY
+from staysearch.schemas import DAY_KEY, DEFAULT_CURRENCY, PRICE, SEARCH
 
 
 def _side(df: DataFrame, values: list[str], tag: str) -> DataFrame:
@@ -40,15 +40,16 @@ def day_state(availability: DataFrame, prices: DataFrame, how: str) -> DataFrame
     )
 
 
-def fan_out(days: DataFrame, variants: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+def fan_out(
+    days: DataFrame, variants: DataFrame, size: int | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """Every day of a placement times every variant of that placement.
 
     Runs last, on collapsed and joined days, so that no shuffle sees the multiplied
-    rows. ``bound`` is a cheap-to-count frame with at least as many rows as
-    ``variants``.
+    rows. ``size`` is what the variants take on disk; ``keys`` has the days' placements.
     """
     options = variants.where(F.col("adults") > 0).select("placement_id", "adults", "children_ages")
-    rows = lookup_join(days, options, "placement_id", ["date"], bound=bound)
+    rows = lookup_join(days, options, "placement_id", ["date"], size=size, keys=keys)
     folders = [c for c in ("period", "bucket") if c in days.columns]
     return rows.select(*SEARCH.fieldNames(), *folders)
 
@@ -58,7 +59,7 @@ def build_search(
     availability: DataFrame,
     prices: DataFrame,
     how: str = "left",
-    bound: DataFrame | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Search rows from the latest variants, availability and prices.
 
@@ -66,35 +67,31 @@ def build_search(
     what incremental maintenance converges to: days that only have a price are there,
     unavailable.
     """
-    return fan_out(day_state(availability, prices, how), variants, bound)
+    return fan_out(day_state(availability, prices, how), variants, size)
 
 
 def build_search_from_feeds(
-    variants: DataFrame, availability: DataFrame, prices: DataFrame, bound: DataFrame | None = None
+    variants: DataFrame, availability: DataFrame, prices: DataFrame, size: int | None = None
 ) -> DataFrame:
     """The incremental table as its two writers produce it: both feeds' rows, latest per key."""
     days = day_state(availability, prices, "left").unionByName(
         day_state(availability, prices, "right")
     )
-    return fan_out(latest_by_key(days, DAY_KEY, "version", keep_version=True), variants, bound)
+    return fan_out(latest_by_key(days, DAY_KEY, "version", keep_version=True), variants, size)
 
 
 def recompute_days(
-    touched: DataFrame, availability: DataFrame, prices: DataFrame, variants_log: DataFrame
+    touched: DataFrame, availability: DataFrame, prices: DataFrame, variants: DataFrame, size: int | None = None
 ) -> DataFrame:
     """Search rows of the touched (placement, date) keys.
 
-    ``availability`` and ``prices`` hold few rows per key, the latest among them. All
-    inputs are cut down to what was touched before they are collapsed.
+    ``availability`` and ``prices`` hold few rows per key, the latest among them, and are cut
+    down to what was touched before they are collapsed. ``variants`` holds each once and takes
+    ``size`` bytes on disk.
     """
 
     def current(rows: DataFrame) -> DataFrame:
         hit = rows.join(touched, DAY_KEY, "left_semi")
         return latest_by_key(hit, DAY_KEY, "version", keep_version=True)
 
-    placements = touched.select("placement_id").distinct()
-    variants = lookup_join(
-        variants_log, placements, "placement_id", ["adults", "children_ages"], how="left_semi"
-    )
-    variants = latest_by_key(variants, VARIANT_KEY, "version")
-    return build_search(variants, current(availability), current(prices), "full", bound=variants_log)
+    return build_search(variants, current(availability), current(prices), "full", size)

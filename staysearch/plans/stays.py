@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from staysearch.functions.ages import canonical_ages, normalize_ages
 from staysearch.operators.joins import lookup_join
-from staysearch.operators.nest import nest, part_of
+from staysearch.operators.nest import nest, page_of
 from staysearch.schemas import (
     DAY_KEY,
     DEFAULT_ADULTS,
@@ -133,44 +133,43 @@ def stay_summary(totals_by_hotel: DataFrame) -> DataFrame:
 
 
 def stay_nested(
-    search: DataFrame, placements: DataFrame, hotels: DataFrame, stay: Stay
+    search: DataFrame, placements: DataFrame, hotels: DataFrame, stay: Stay, pages: int = 1
 ) -> DataFrame:
-    """Hotels → placements → dates.
+    """Hotels → placements → dates: one row per hotel and page of its placements.
 
-    A placement has at most 366 dates. A hotel is one row (``part`` 0) unless it has
-    very many placements, which then spread over further parts.
+    A placement has at most 366 dates. ``pages`` spreads hotels with very many placements.
     """
     dated = nest(
-        matching(search, stay).select(
-            "placement_id",
-            "date",
-            F.col("available").cast("boolean").alias("available"),
-            F.col("price").cast("double").alias("price"),
-            "currency",
-        ),
+        _typed_days(matching(search, stay), "placement_id"),
         ["placement_id"],
         ["date", "available", "price", "currency"],
         "dates",
     )
-    sizes = placements.groupBy("hotel_id").agg(F.count("*").alias("_size"))
-    sized_hotels = hotels.select("hotel_id", "name", "city").join(sizes, "hotel_id")
-    directory = lookup_join(
-        placements.withColumnRenamed("name", "placement_name"),
-        sized_hotels,
-        "hotel_id",
-        ["placement_id"],
-        bound=hotels,
-    )
-    rows = dated.join(directory, "placement_id").select(
+    return _by_hotel(dated, placements, hotels, ["dates"], pages)
+
+
+def stay_totals_nested(
+    search: DataFrame, placements: DataFrame, hotels: DataFrame, stay: Stay, pages: int = 1
+) -> DataFrame:
+    """Hotels → placements with their totals: one row per hotel and page of its placements."""
+    totals = stay_totals(search, stay)
+    return _by_hotel(totals, placements, hotels, ["total_price", "available", "currency", "days_found"], pages)
+
+
+def _by_hotel(
+    found: DataFrame, placements: DataFrame, hotels: DataFrame, values: list[str], pages: int
+) -> DataFrame:
+    rows = found.join(placement_directory(placements, hotels), "placement_id").select(
         "hotel_id",
-        "name",
+        F.col("hotel_name").alias("name"),
         "city",
-        part_of(F.col("placement_id"), F.col("_size")).alias("part"),
-        F.struct("placement_id", F.col("placement_name").alias("name"), "dates").alias("placement"),
-    )
-    return rows.groupBy("hotel_id", "name", "city", "part").agg(
-        F.array_sort(F.collect_list("placement")).alias("placements")
+        page_of(F.col("placement_id"), pages).alias("page"),
+        "placement_id",
+        "placement_name",
+        *values,
     )
+    items = ["placement_id", F.col("placement_name").alias("name"), *values]
+    return nest(rows, ["hotel_id", "name", "city", "page"], items, "placements")
 
 
 def calendar(
@@ -196,36 +195,77 @@ def calendar(
     )
 
 
-def valid_stays(requests: DataFrame) -> DataFrame:
-    """Requests (request_id, placement_id?, date_from, date_to, adults, children_ages) that may run."""
+def checked_stays(requests: DataFrame, placements: DataFrame | None = None) -> DataFrame:
+    """Requests (request_id, placement_id?, date_from, date_to, adults, children_ages) with
+    canonical ages and ``errors``, an array that is empty for those that may run.
+
+    With ``placements``, a request for a placement that is not there is refused as well.
+    """
     ages = normalize_ages(F.col("children_ages"))
     in_range = F.forall(
         F.split(ages, ","), lambda a: (a == "") | a.try_cast("int").between(0, MAX_CHILD_AGE)
     )
     days = F.datediff("date_to", "date_from") + 1
-    return requests.where(
-        days.between(1, MAX_RANGE_DAYS) & F.col("adults").between(1, MAX_ADULTS) & in_range
-    ).withColumn("children_ages", ages)
+    rules = {
+        "date_required": F.col("date_from").isNull() | F.col("date_to").isNull(),
+        "range_reversed": days < 1,
+        "range_too_long": days > MAX_RANGE_DAYS,
+        "adults_invalid": ~F.coalesce(F.col("adults").between(1, MAX_ADULTS), F.lit(False)),
+        "ages_invalid": ~in_range,
+    }
+    rows = requests
+    if placements is not None:
+        known = placements.select("placement_id").distinct().withColumn("_known", F.lit(True))
+        rows = rows.join(known, "placement_id", "left")
+        rules["placement_unknown"] = F.col("placement_id").isNotNull() & F.col("_known").isNull()
+    failed = F.array(*[F.when(rule, name) for name, rule in rules.items()])
+    return rows.select(
+        *[c for c in requests.columns if c != "children_ages"],
+        ages.alias("children_ages"),
+        F.filter(failed, lambda e: e.isNotNull()).alias("errors"),
+    )
+
+
+def valid_stays(checked: DataFrame) -> DataFrame:
+    return checked.where(F.size("errors") == 0).drop("errors")
+
+
+def rejected_stays(checked: DataFrame) -> DataFrame:
+    """Refused requests with their reasons."""
+    return checked.where(F.size("errors") > 0).select(
+        "request_id", "placement_id", F.array_join("errors", ",").alias("errors")
+    )
+
+
+def request_dates(requests: DataFrame) -> tuple[date, date] | None:
+    """First and last date of valid requests: what a stored search table is read with."""
+    first, last = requests.agg(F.min("date_from"), F.max("date_to")).first()
+    return None if first is None else (first, last)
 
 
 def stay_requests(search: DataFrame, requests: DataFrame, salts: int = 16) -> DataFrame:
-    """Answers many stay requests in one pass: request_id plus one row per matching day.
+    """Answers many valid stay requests in one pass: request_id plus one row per matching day.
 
-    Requests become days (at most 366 each) and join on equality. Requests that name a
-    placement join on the full key. The others match every placement of a date and
-    occupancy, which are few distinct keys, so search rows spread over salts by
-    placement and these requests are repeated once per salt.
+    The search rows are first cut to the requests' dates and occupancies, which reaches the
+    scan of the days and the variants. Requests become days (at most 366 each) and join on
+    equality. Requests that name a placement join on the full key. The others match every
+    placement of a date and occupancy, which are few distinct keys, so search rows spread
+    over salts by placement and these requests are repeated once per salt.
     """
     days = (
-        valid_stays(requests)
-        .withColumn("date", F.explode(F.sequence("date_from", "date_to")))
+        requests.withColumn("date", F.explode(F.sequence("date_from", "date_to")))
         .withColumn("adults", F.col("adults").cast("smallint"))
         .select("request_id", "placement_id", "date", "adults", "children_ages")
     )
     columns = ["request_id", "placement_id", "date", "available", "price", "currency"]
-    rows = search.select("placement_id", "date", "adults", "children_ages", "available", "price", "currency")
-
-    occupancy = ["date", "adults", "children_ages"]
+    travellers = ["adults", "children_ages"]
+    rows = search.select("placement_id", "date", *travellers, "available", "price", "currency")
+    dates = request_dates(requests)
+    if dates is not None:
+        rows = in_dates(rows, dates)
+    rows = rows.join(days.select(*travellers).distinct(), travellers, "left_semi")
+
+    occupancy = ["date", *travellers]
     placed = days.where(F.col("placement_id").isNotNull()).join(rows, ["placement_id", *occupancy])
 
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64("placement_id"), F.lit(salts)).cast("int"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staysearch.bindings import LOG_ORDER, Inventory
@@ -163,6 +163,22 @@ def cdc_envelopes(inv: Inventory) -> DataFrame:
     return cdc.usable(cdc.decode_prices(cdc.unwrap(records))).select(*DAY_KEY, "price", "currency")
 
 
+@register
+def latest_across_partitions(inv: Inventory) -> DataFrame:
+    """Keys that move between partitions whose offsets overlap: the later record wins."""
+    ordered = _numbered(inv.availability_log)
+    message = F.struct(F.struct("placement_id", "date", "available").alias("payload"))
+    records = ordered.select(
+        F.lit("availability").alias("topic"),
+        (F.col("l_partkey") % 4).cast("int").alias("partition"),
+        (F.col("l_orderkey") % 1000).alias("offset"),
+        F.timestamp_millis(F.lit(978_307_200_000) + F.col("version")).alias("timestamp"),
+        F.to_json(message).alias("value"),
+    )
+    rows = cdc.usable(cdc.decode_availability(cdc.unwrap(records)))
+    return latest_by_key(rows.select(*DAY_KEY, "available", "version"), DAY_KEY, "version")
+
+
 @register
 def event_latest(inv: Inventory) -> DataFrame:
     rows = cdc.usable(cdc.decode_availability(cdc.unwrap(inv.event_records)))
@@ -271,8 +287,37 @@ def search_incremental(inv: Inventory) -> DataFrame:
 
 @register
 def search_two_feeds(inv: Inventory) -> DataFrame:
-    rows = search.build_search_from_feeds(inv.variants, *_versioned(inv))
-    return _ms(rows).select(*SEARCH_COLUMNS)
+    prices = inv.price_log.withColumn("currency", wire_currency(F.col("currency")))
+    finals = [
+        latest_by_key(_numbered(log), DAY_KEY, "version", keep_version=True) for log in (inv.availability_log, prices)
+    ]
+    return _ms(search.build_search_from_feeds(inv.variants, *finals)).select(*SEARCH_COLUMNS)
+
+
+@register
+def search_refresh_beside_stream(inv: Inventory) -> DataFrame:
+    """A batch lands while the rebuild is between its reads of the two finals."""
+    store = _store(inv, "beside")
+    log = _numbered(inv.availability_log).persist()
+    late = F.col("date") >= FROM
+    store.availability.append(log.where(~late), "load")
+    prices = inv.price_log.withColumn("currency", wire_currency(F.col("currency")))
+    store.prices.append(_numbered(prices), "load")
+    jobs.sync_variants(store, inv.variants.withColumn("updated_at", F.lit("1995-01-01").cast("timestamp")), "load")
+    read = store.prices.latest
+
+    def landing(*args):
+        store.prices.latest = read
+        rows = read(*args)
+        store.availability.append(log.where(late), "batch")
+        store.prices.append(_numbered(prices).limit(0), "batch")
+        pipeline.write_search(store, "batch")
+        return rows
+
+    store.prices.latest = landing
+    jobs.refresh_search(store)
+    log.unpersist()
+    return _ms(store.search.latest()).select(*SEARCH_COLUMNS)
 
 
 # -- stay searches ---------------------------------------------------------------
@@ -311,15 +356,56 @@ def stay_totals_stored(inv: Inventory) -> DataFrame:
     return stays.stay_totals(store.search.latest(STAY.dates), STAY)
 
 
+@register
+def stay_totals_open_delta(inv: Inventory) -> DataFrame:
+    """The same with an append that no base holds yet."""
+    store = _loaded(inv, "open")
+    jobs.refresh_search(store)
+    jobs.refresh_search_part(store, PLACEMENT, FROM, TO, "part")
+    return stays.stay_totals(store.search.latest(STAY.dates), STAY)
+
+
 @register
 def stay_summary(inv: Inventory) -> DataFrame:
     totals = stays.stay_totals_by_hotel(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
     return stays.stay_summary(totals)
 
 
+def _as_text(items: Column, parts: Callable, between: str) -> Column:
+    """An array of structs as text, for a comparison that SQL can make."""
+    def text(item: Column) -> Column:
+        glue, *values = parts(item)
+        return F.concat_ws(glue, *[value.cast("string") for value in values])
+
+    return F.array_join(F.transform(items, text), between)
+
+
+def _money(column: Column) -> Column:
+    return column.cast("decimal(18,2)").cast("string")
+
+
 @register
 def stay_nested(inv: Inventory) -> DataFrame:
-    return stays.stay_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
+    nested = stays.stay_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
+
+    def days(placement):
+        return _as_text(
+            placement["dates"], lambda d: ("|", d["date"], d["available"], _money(d["price"]), d["currency"]), ";"
+        )
+
+    text = _as_text(F.col("placements"), lambda p: (":", p["placement_id"], p["name"], days(p)), "/")
+    return nested.withColumn("placements", text)
+
+
+@register
+def stay_totals_nested(inv: Inventory) -> DataFrame:
+    nested = stays.stay_totals_nested(_search(inv, stay=STAY), inv.placements, inv.hotels, STAY)
+    text = _as_text(
+        F.col("placements"),
+        lambda p: ("|", p["placement_id"], p["name"], _money(p["total_price"]), p["available"], p["currency"], p["days_found"]),
+        "/",
+    )
+    return nested.withColumn("placements", text)
 
 
 @register
@@ -339,7 +425,12 @@ def stay_nested_rows(inv: Inventory) -> DataFrame:
 
 @register
 def stay_requests_batch(inv: Inventory) -> DataFrame:
-    return stays.stay_requests(_search(inv), inv.stay_requests)
+    return stays.stay_requests(_search(inv), stays.valid_stays(stays.checked_stays(inv.stay_requests)))
+
+
+@register
+def rejected_stays(inv: Inventory) -> DataFrame:
+    return stays.rejected_stays(stays.checked_stays(inv.stay_requests, inv.placements))
 
 
 @register
@@ -369,7 +460,9 @@ def hotel_detail(inv: Inventory) -> DataFrame:
 
 @register
 def placement_variants_nested(inv: Inventory) -> DataFrame:
-    return hp.placement_variants_nested(inv.placements, inv.variants)
+    nested = hp.placement_variants_nested(inv.placements, inv.variants)
+    text = _as_text(F.col("variants"), lambda v: ("|", v["adults"], v["children_ages"], v["label"]), ";")
+    return nested.withColumn("variants", text)
 
 
 @register
@@ -469,6 +562,14 @@ def price_upsert(inv: Inventory) -> DataFrame:
     return ch.upsert(current, ch.expand_days(_changes(inv, "price")), DAY_KEY, "request_id")
 
 
+@register
+def ingest_changes(inv: Inventory) -> DataFrame:
+    """The ingest job on stored tables: the availability that is read back afterwards."""
+    store = _loaded(inv, "ingest")
+    jobs.ingest_changes(store, inv.change_requests, inv.placements, "ingest", datetime(2026, 1, 1))
+    return store.availability.latest().select(*DAY_KEY, "available")
+
+
 @register
 def change_receipts(inv: Inventory) -> DataFrame:
     done = ch.receipts(ch.accepted(_validated(inv)))
@@ -651,9 +752,24 @@ def stream_restart(inv: Inventory) -> DataFrame:
     )
 
 
+@register
+def stream_replay(inv: Inventory) -> DataFrame:
+    """A topic that is read again from its start, by another query, changes nothing."""
+    store = _stream_final(inv, "availability", inv.records("availability"))
+    pipeline.start_final_stream(
+        store,
+        _topic(inv, "availability", f"{store.root}/feed"),
+        "availability",
+        f"{store.root}/checkpoint-again",
+        "again",
+        available_now=True,
+    ).awaitTermination()
+    return store.availability.latest().select(*DAY_KEY, "available")
+
+
 @register
 def stream_search(inv: Inventory) -> DataFrame:
-    """Both topics through the search stream, with compactions on the way."""
+    """Both topics through the search stream, folded into base files afterwards."""
     store = _store(inv, "stream-search")
     stamped = inv.variants.withColumn("updated_at", F.lit(None).cast("timestamp"))
     jobs.sync_variants(store, stamped, "load")
@@ -667,6 +783,6 @@ def stream_search(inv: Inventory) -> DataFrame:
         f"{store.root}/checkpoint",
         "search",
         available_now=True,
-        compact_every=3,
     ).awaitTermination()
+    pipeline.maintain(store)
     return store.search.latest().select(*SEARCH_KEY, "available", "price", "currency")

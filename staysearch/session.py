@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,20 +25,9 @@ def local_session(cores: int | str = 8, app: str = "staysearch", **extra: str) -
     return builder.getOrCreate()
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="staysearch-")
-
-
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``.
-
-    Every executor must see the folder, so a machine-local one is only used when
-    the session itself is local.
-    """
+    """A new folder under the session's ``spark.checkpoint.dir``, which every executor must see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_root()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

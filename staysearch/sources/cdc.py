@@ -17,19 +17,40 @@ FIELDS = ["placement_id", "date", "available", "price", "currency", "adults", "c
 # All fields are read as text: the wire carries numbers, quoted numbers and dates alike.
 _ROW = ", ".join(f"{field} STRING" for field in FIELDS)
 _MESSAGE = "schema STRING, payload STRING, _corrupt STRING"
-_PAYLOAD = f"{_ROW}, op STRING, after STRUCT<{_ROW.replace(' STRING', ': STRING')}>, _corrupt STRING"
+_AFTER = f"after STRUCT<{_ROW.replace(' STRING', ': STRING')}>"
+_PAYLOAD = f"{_ROW}, op STRING, {_AFTER}, _corrupt STRING"
+# The whole message at once, for payloads that are objects.
+_NESTED = (
+    f"payload STRUCT<{_ROW.replace(' STRING', ': STRING')}, op: STRING, {_AFTER.replace(' STRUCT', ': STRUCT')}>, "
+    "_corrupt STRING"
+)
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 GENERATION_BITS = 48
+# A moment's version: milliseconds since 2000 above the low bits of an offset. Two versions
+# add up without overflow for 139 years.
+OFFSET_BITS = 20
+VERSION_EPOCH_MS = 946_684_800_000
 
 
-def event_version(offset: Column, generation: int = 0) -> Column:
-    """Version of an event: its offset, in the numbering of its topic's generation.
+def event_version(offset: Column, generation: int = 0, timestamp: Column | None = None) -> Column:
+    """Version of an event: the moment its record was written, then its offset.
 
-    Offsets restart when a topic is recreated for a new snapshot; the replay then
-    runs with the next generation, so that its rows win.
+    Offsets count within a partition only, so they order records of one millisecond and no
+    others: a key that moves to another partition keeps growing versions. Records without a
+    timestamp are versioned by their offset alone, in the numbering of the topic's
+    generation; such a topic must have one partition, and its replay after a new snapshot
+    runs with the next generation.
     """
-    return F.lit(snapshot_version(generation)) + offset + F.lit(1)
+    numbered = F.lit(snapshot_version(generation)) + offset + F.lit(1)
+    if timestamp is None:
+        return numbered
+    return F.coalesce(moment_version(timestamp) + F.pmod(offset, F.lit(1 << OFFSET_BITS)), numbered)
+
+
+def moment_version(timestamp: Column) -> Column:
+    """The lowest version of records written at this moment."""
+    return F.shiftleft(F.unix_millis(timestamp) - F.lit(VERSION_EPOCH_MS), OFFSET_BITS)
 
 
 def snapshot_version(generation: int = 0) -> int:
@@ -55,26 +76,40 @@ def unwrap(records: DataFrame, generation: int = 0) -> DataFrame:
     Accepts flat payloads and before/after envelopes. Tombstones and deletes are
     dropped, as deletes do not reach the analytic side.
     """
+    timestamp = F.col("timestamp") if "timestamp" in records.columns else None
     message = records.where(F.col("value").isNotNull()).select(
         "topic",
         "value",
-        event_version(F.col("offset"), generation).alias("version"),
-        _once(F.from_json("value", _MESSAGE, _OPTIONS)).alias("message"),
+        event_version(F.col("offset"), generation, timestamp).alias("version"),
+        _once(F.from_json("value", _NESTED, _OPTIONS)).alias("whole"),
     )
+    # Quoted payloads and messages that do not fit are parsed again, step by step.
+    fits = F.col("whole").isNotNull() & F.col("whole._corrupt").isNull() & F.col("whole.payload").isNotNull()
+    text = F.from_json("value", _MESSAGE, _OPTIONS)
     parsed = message.select(
         "topic",
+        "value",
         "version",
-        F.coalesce("message.payload", "value").alias("payload"),
-        (F.col("message").isNull() | F.col("message._corrupt").isNotNull()).alias("bad_message"),
-        _once(F.from_json("message.payload", _PAYLOAD, _OPTIONS)).alias("row"),
+        fits.alias("fits"),
+        F.when(fits, F.col("whole.payload")).alias("object"),
+        _once(F.when(~fits, text)).alias("message"),
     )
-    live = parsed.where(F.coalesce(F.col("row.op"), F.lit("")) != "d")
+    rows = parsed.select(
+        "*",
+        _once(F.when(~F.col("fits"), F.from_json("message.payload", _PAYLOAD, _OPTIONS))).alias("row"),
+    )
+    live = rows.where(F.coalesce(F.col("object.op"), F.col("row.op"), F.lit("")) != "d")
+    broken = F.col("message").isNull() | F.col("message._corrupt").isNotNull() | F.col("row._corrupt").isNotNull()
     return live.select(
         "topic",
         "version",
-        "payload",
-        (F.col("bad_message") | F.col("row._corrupt").isNotNull()).alias("corrupt"),
-        *[F.coalesce(F.col(f"row.{f}"), F.col(f"row.after.{f}")).alias(f) for f in FIELDS],
+        # Only quarantined rows show their payload; others never compute it.
+        F.coalesce(F.when(F.col("fits"), text["payload"]).otherwise(F.col("message.payload")), "value").alias("payload"),
+        (~F.col("fits") & F.coalesce(broken, F.lit(False))).alias("corrupt"),
+        *[
+            F.coalesce(*[F.col(f"{side}.{f}") for side in ("object", "object.after", "row", "row.after")]).alias(f)
+            for f in FIELDS
+        ],
     )
 
 

@@ -2,33 +2,42 @@
 
 Layout under the table's folder::
 
-    delta=<id>/    one append; writing the same id again replaces it
-    base=<n>/      collapsed rows, in period= and bucket= folders
-    commit=<n>/    one JSON row: which base holds each period, which deltas are folded in
-
-A commit is the last write of a compaction or a reload, so readers go from the old
-state to the new one without a gap, and a job that dies half-way leaves nothing that
-is read. One maintenance job per table at a time.
+    delta=<id>/           one append, in period= folders; the same id again replaces it
+    base=<n>-<unique>/    collapsed rows, in period= and bucket= folders
+    commit=<n>.json       which base holds each period, which deltas are folded in
+
+A commit is one small file that is created only if no other job took its number, and it is
+the last write of a compaction or a reload: readers go from the old state to the new one
+without a gap, and of two jobs that race one starts over. A commit removes the deltas that
+the commit before it had folded, so names do not pile up.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staysearch.operators.latest import latest_by_key
 
-_COMMIT = "period STRING, buckets INT, bases MAP<STRING, BIGINT>, folded ARRAY<STRING>"
-
 # Digits of yyyymmdd that name a period.
 PERIODS = {"year": 4, "month": 6, "day": 8}
 UNDATED = 0
+# Open rows up to this many bytes on disk are broadcast to the base they change.
+BROADCAST_BYTES = 16 << 20
+
+
+class Conflict(RuntimeError):
+    """Another job published a commit in the meantime."""
 
 
 @dataclass(frozen=True)
@@ -36,7 +45,7 @@ class Commit:
     number: int = 0
     period: str = "month"
     buckets: int = 1
-    bases: dict[int, int] = field(default_factory=dict)
+    bases: dict[int, str] = field(default_factory=dict)
     folded: frozenset[str] = frozenset()
 
 
@@ -77,9 +86,12 @@ class VersionedTable:
 
     # -- files -----------------------------------------------------------------
 
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _glob(self, pattern: str) -> list:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path = self._fs(pattern)
         return [status.getPath() for status in fs.globStatus(path) or []]
 
     def _finished(self, prefix: str) -> list[str]:
@@ -87,27 +99,50 @@ class VersionedTable:
         marks = self._glob(f"{prefix}*/_SUCCESS")
         return sorted(mark.getParent().getName()[len(prefix) :] for mark in marks)
 
-    def _periods_in(self, base: int) -> list[int]:
-        return [int(p.getName()[len("period=") :]) for p in self._glob(f"base={base}/period=*")]
+    def _periods_in(self, folder: str) -> list[int]:
+        return [int(p.getName()[len("period=") :]) for p in self._glob(f"{folder}/period=*")]
 
     def commit(self) -> Commit:
-        numbers = [int(n) for n in self._finished("commit=")]
-        if not numbers:
-            return Commit(period=self.period, buckets=self.buckets)
-        row = self.spark.read.schema(_COMMIT).json(f"{self.path}/commit={max(numbers)}").first()
-        bases = {int(period): base for period, base in row.bases.items()}
-        return Commit(max(numbers), row.period, row.buckets, bases, frozenset(row.folded))
+        """The newest commit; a file that is still being written is not one yet."""
+        numbers = [int(p.getName()[len("commit=") : -len(".json")]) for p in self._glob("commit=*.json")]
+        for number in sorted(numbers, reverse=True):
+            lines = self.spark.read.text(f"{self.path}/commit={number}.json").collect()
+            if lines and lines[-1].value == "end":
+                row = json.loads(lines[0].value)
+                bases = {int(period): base for period, base in row["bases"].items()}
+                return Commit(number, row["period"], row["buckets"], bases, frozenset(row["folded"]))
+        return Commit(period=self.period, buckets=self.buckets)
 
     def deltas(self, commit: Commit | None = None) -> list[str]:
         """Finished appends that no base holds yet."""
         folded = (commit or self.commit()).folded
         return [d for d in self._finished("delta=") if d not in folded]
 
+    def stored_bytes(self) -> int:
+        """Bytes on disk of what a read of the whole table opens."""
+        commit = self.commit()
+        folders = [f"base={b}" for b in set(commit.bases.values())] + [f"delta={d}" for d in self.deltas(commit)]
+        return self._bytes(folders)
+
+    def _bytes(self, folders: Sequence[str]) -> int:
+        total = 0
+        for folder in folders:
+            fs, path = self._fs(folder)
+            total += fs.getContentSummary(path).getLength()
+        return total
+
     # -- reading ---------------------------------------------------------------
 
-    def _base_rows(self, commit: Commit, periods: Sequence[int], placement_id: int | None = None) -> DataFrame | None:
-        """Rows of the given periods. Only their folders are listed and read."""
-        by_base: dict[int, list[int]] = {}
+    def _base_rows(
+        self,
+        commit: Commit,
+        periods: Sequence[int],
+        placement_id: int | None = None,
+        buckets: Sequence[int] | None = None,
+    ) -> DataFrame | None:
+        """Rows of the given periods and buckets. Only the periods' folders are listed, and
+        only the buckets' are read."""
+        by_base: dict[str, list[int]] = {}
         for period in periods:
             if period in commit.bases:
                 by_base.setdefault(commit.bases[period], []).append(period)
@@ -122,17 +157,29 @@ class VersionedTable:
             if placement_id is not None and commit.buckets > 1:
                 key = F.lit(placement_id).cast("bigint")
                 rows = rows.where(F.col("bucket") == self._bucket(key, commit.buckets))
+            elif buckets is not None and len(buckets) < commit.buckets:
+                rows = rows.where(F.col("bucket").isin(list(buckets)))
             frames.append(rows.select(*self.schema.fieldNames()))
         return reduce(DataFrame.unionByName, frames) if frames else None
 
-    def _delta_rows(self, deltas: Sequence[str]) -> DataFrame | None:
+    def _delta_rows(self, deltas: Sequence[str], periods: tuple[int, int] | None = None) -> DataFrame | None:
+        """Rows of deltas; ``periods`` (of this table's own kind) leaves other folders unread."""
         if not deltas:
             return None
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/delta={d}" for d in deltas])
+        folder = T.StructField("period", T.IntegerType())
+        rows = (
+            self.spark.read.schema(T.StructType([*self.schema.fields, folder]))
+            .option("basePath", self.path)
+            .parquet(*[f"{self.path}/delta={d}" for d in deltas])
+        )
+        if periods is not None:
+            rows = rows.where(F.col("period").between(*periods))
+        return rows.select(*self.schema.fieldNames())
 
     def _parts(
         self, dates: tuple[date | str, date | str] | None, placement_id: int | None
-    ) -> tuple[DataFrame | None, DataFrame | None]:
+    ) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
+        """Wanted base rows, wanted open rows, and the open deltas."""
         commit = self.commit()
         periods = list(commit.bases)
         wanted = F.lit(True)
@@ -144,10 +191,15 @@ class VersionedTable:
         if placement_id is not None:
             wanted = wanted & (F.col("placement_id") == placement_id)
         base = self._base_rows(commit, periods, placement_id)
-        open_rows = self._delta_rows(self.deltas(commit))
+        bounds = None
+        if dates is not None and self.dated:
+            bounds = tuple(period_number(d, self.period) for d in dates)
+        deltas = self.deltas(commit)
+        open_rows = self._delta_rows(deltas, bounds)
         return (
             None if base is None else base.where(wanted),
             None if open_rows is None else open_rows.where(wanted),
+            deltas,
         )
 
     def _empty(self) -> DataFrame:
@@ -157,20 +209,33 @@ class VersionedTable:
         self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
         """All stored rows, superseded ones included."""
-        parts = [p for p in self._parts(dates, placement_id) if p is not None]
+        parts = [p for p in self._parts(dates, placement_id)[:2] if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
-    def candidates(self, months: Sequence[int]) -> DataFrame:
-        """Rows that can be the latest of their key, at least those of the given months (yyyymm).
+    def candidates(self, touched: DataFrame) -> DataFrame:
+        """Rows that can be the latest of their key, at least those of the touched
+        (placement_id, date) keys.
 
-        Base files of other periods are not read. Open rows are collapsed, so that a
-        key changed very often holds two rows at most.
+        Base files of periods and buckets that no touched key lies in are not read, nor are
+        row groups outside the touched dates. Open rows are collapsed, so that a key changed
+        very often holds two rows at most.
         """
         commit = self.commit()
-        digits = min(PERIODS[commit.period], PERIODS["month"])
-        wanted = {str(m)[:digits] for m in months}
-        base = self._base_rows(commit, [p for p in commit.bases if str(p)[:digits] in wanted])
-        open_rows = self._delta_rows(self.deltas(commit))
+        # Calendar values and bucket numbers: short lists however many keys there are.
+        where = touched.select(
+            period_of(F.col("date"), commit.period).alias("period"),
+            self._bucket(F.col("placement_id"), commit.buckets).alias("bucket"),
+        ).distinct().collect()
+        first, last = touched.agg(F.min("date"), F.max("date")).first()
+        if first is None:
+            return self._empty()
+        dates = F.col("date").between(F.lit(first), F.lit(last))
+        periods = sorted({r.period for r in where} & set(commit.bases))
+        base = self._base_rows(commit, periods, buckets=sorted({r.bucket for r in where}))
+        base = None if base is None else base.where(dates)
+        bounds = (period_number(first, self.period), period_number(last, self.period))
+        open_rows = self._delta_rows(self.deltas(commit), bounds)
+        open_rows = None if open_rows is None else open_rows.where(dates)
         parts = [base, None if open_rows is None else self._collapsed(None, open_rows)]
         parts = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
@@ -179,10 +244,17 @@ class VersionedTable:
         self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
         """One row per key. Without open deltas this is a plain scan of the base files."""
-        base, open_rows = self._parts(dates, placement_id)
+        base, open_rows, deltas = self._parts(dates, placement_id)
         if open_rows is None:
             return self._empty() if base is None else base
-        return self._collapsed(base, open_rows)
+        if base is None or self._bytes([f"delta={d}" for d in deltas]) > BROADCAST_BYTES:
+            return self._collapsed(base, open_rows)
+        # Few open rows: the base, one row a key already, is neither shuffled nor sorted
+        # except for the keys they change.
+        changed = F.broadcast(open_rows.select(*self.keys).distinct())
+        rest = base.join(changed, self.keys, "left_anti").select(*self.schema.fieldNames())
+        hit = base.join(changed, self.keys, "left_semi").select(*self.schema.fieldNames())
+        return rest.unionByName(self._collapsed(hit, open_rows))
 
     def _collapsed(self, base: DataFrame | None, open_rows: DataFrame) -> DataFrame:
         rows = open_rows if base is None else base.unionByName(open_rows)
@@ -193,7 +265,11 @@ class VersionedTable:
 
     def append(self, rows: DataFrame, delta: str) -> None:
         """Add rows as one delta. The same ``delta`` again replaces the earlier write."""
-        rows.select(*self._columns()).write.mode("overwrite").parquet(f"{self.path}/delta={delta}")
+        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
+        rows = rows.select(*self._columns()).withColumn("period", period)
+        if self.dated:
+            rows = rows.hint("rebalance", F.col("period"))
+        rows.write.mode("overwrite").partitionBy("period").parquet(f"{self.path}/delta={delta}")
 
     def arrange(self, rows: DataFrame) -> DataFrame:
         """Put rows into the folders and order of the base files.
@@ -210,33 +286,42 @@ class VersionedTable:
             .sortWithinPartitions("period", "bucket", *order)
         )
 
-    def replace(self, rows: DataFrame, arranged: bool = False) -> None:
+    def replace(self, rows: DataFrame, arranged: bool = False, before: Commit | None = None, deltas: Sequence[str] | None = None) -> None:
         """Reload the table; ``rows`` must hold one row per key.
 
-        ``arranged`` rows come from :meth:`arrange` through steps that keep order and
-        partitions, and are written as they are.
+        ``deltas`` are the appends that the rows are known to contain, and ``before`` the
+        commit, both listed before anything that the rows were made from was read. Later
+        appends stay open. ``arranged`` rows come from :meth:`arrange` through steps that keep
+        order and partitions, and are written as they are. Raises :class:`Conflict` if another
+        job published first.
         """
-        commit = self.commit()
-        deltas = self.deltas(commit)
-        number = commit.number + 1
-        bases = self._write_base(rows if arranged else self.arrange(rows), number)
-        self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
+        commit = before or self.commit()
+        deltas = self.deltas(commit) if deltas is None else deltas
+        bases = self._write_base(rows if arranged else self.arrange(rows), commit.number + 1)
+        self._publish(commit, bases, deltas)
 
-    def compact(self) -> None:
+    def compact(self, attempts: int = 5) -> None:
         """Fold the open deltas into the base files of the periods they touch."""
+        for attempt in range(attempts):
+            try:
+                return self._compact_once()
+            except Conflict:
+                if attempt == attempts - 1:
+                    raise
+
+    def _compact_once(self) -> None:
         commit = self.commit()
         deltas = self.deltas(commit)
         if not deltas:
             return
         if (commit.period, commit.buckets) != (self.period, self.buckets):
-            self.replace(self.latest())
+            self.replace(self.latest(), before=commit, deltas=deltas)
             return
         changed = self._delta_rows(deltas)
         touched = periods_in(changed, self.period) if self.dated else [UNDATED]
         base = self._base_rows(commit, touched)
-        number = commit.number + 1
-        bases = {**commit.bases, **self._write_base(self.arrange(self._collapsed(base, changed)), number)}
-        self._publish(Commit(number, self.period, self.buckets, bases, commit.folded.union(deltas)))
+        rows = self.arrange(self._collapsed(base, changed))
+        self._publish(commit, {**commit.bases, **self._write_base(rows, commit.number + 1)}, deltas)
 
     def _columns(self) -> list[Column]:
         return [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
@@ -245,20 +330,30 @@ class VersionedTable:
     def _bucket(placement_id: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(placement_id), F.lit(buckets)).cast("int")
 
-    def _write_base(self, arranged: DataFrame, number: int) -> dict[int, int]:
-        """Write base files and return the periods they hold."""
+    def _write_base(self, arranged: DataFrame, number: int) -> dict[int, str]:
+        """Write base files under a name of their own and return the periods they hold."""
+        name = f"{number}-{uuid.uuid4().hex[:12]}"
         folders = [F.col("period"), F.col("bucket")]
         (
             arranged.select(*self._columns(), *folders)
-            .write.mode("overwrite")
-            .partitionBy("period", "bucket")
-            .parquet(f"{self.path}/base={number}")
-        )
-        return {p: number for p in self._periods_in(number)}
-
-    def _publish(self, commit: Commit) -> None:
-        bases = {str(period): base for period, base in commit.bases.items()}
-        row = (commit.period, commit.buckets, bases, sorted(commit.folded))
-        self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("overwrite").json(
-            f"{self.path}/commit={commit.number}"
+            .write.partitionBy("period", "bucket")
+            .parquet(f"{self.path}/base={name}")
         )
+        return {p: name for p in self._periods_in(f"base={name}")}
+
+    def _publish(self, before: Commit, bases: dict[int, str], folded: Sequence[str]) -> None:
+        """Create the next commit; then drop the deltas that ``before`` had folded."""
+        number = before.number + 1
+        row = {"period": self.period, "buckets": self.buckets, "bases": bases, "folded": sorted(folded)}
+        fs, path = self._fs(f"commit={number}.json")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as taken:
+            raise Conflict(f"commit {number} of {self.path} exists") from taken
+        out.write(bytearray(f"{json.dumps(row)}\nend\n".encode()))
+        out.close()
+        if self.commit().number != number:
+            raise Conflict(f"a later commit than {number} exists in {self.path}")
+        for delta in before.folded:
+            _, old = self._fs(f"delta={delta}")
+            fs.delete(old, True)

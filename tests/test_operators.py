@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from staysearch.operators import changes as ch
-from staysearch.operators.joins import lookup_join
+from staysearch.operators.joins import hot_keys, lookup_join
 from staysearch.operators.latest import latest_by_key
-from staysearch.operators.nest import part_of
+from staysearch.operators.nest import page_of
 from staysearch.operators.rekey import default_placements, first_placements
 
 DAY = date(2026, 3, 1)
@@ -55,19 +55,30 @@ def test_latest_keeps_null_values_of_the_last_row(spark):
 def test_salted_join_equals_broadcast_join(spark, how):
     facts = spark.range(500).select((F.col("id") % 3 * 50).alias("k"), "id")
     lookup = spark.range(120).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    small = lookup_join(facts, lookup, "k", ["id"], how)
-    large = lookup_join(facts, lookup, "k", ["id"], how, broadcast_rows=10, salts=8)
+    facts = facts.unionByName(spark.range(40).select(F.col("id").alias("k"), (F.col("id") + 1000).alias("id")))
+    small = lookup_join(facts, lookup, "k", ["id"], how, size=10)
+    large = lookup_join(facts, lookup, "k", ["id"], how, size=1 << 40, salts=8)
     assert "Broadcast" in plan(small)
     assert "_salt" in plan(large)
     assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
 
 
-def test_large_parents_are_cut_into_parts(spark):
-    rows = spark.range(1000).select("id", part_of(F.col("id"), F.lit(1000), 100).alias("part"))
-    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+def test_only_hot_keys_are_repeated(spark):
+    hot = F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 500 + 2)
+    facts = spark.range(10_000).select(hot.alias("k"), "id")
+    assert hot_keys(facts, "k", 32) == [1]
+    lookup = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = lookup_join(facts, lookup, "k", ["id"], size=1 << 40)
+    assert joined.count() == 10_000
+    # The repeated side is cut to the hot key; the others join without copies.
+    assert plan(joined).count("explode") == 1 and "Filter (id" in plan(joined)
+
+
+def test_pages_depend_on_the_caller_alone(spark):
+    rows = spark.range(1000).select("id", page_of(F.col("id"), 10).alias("page"))
+    sizes = [r["count"] for r in rows.groupBy("page").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 200 and sum(sizes) == 1000
-    small = spark.range(50).select(part_of(F.col("id"), F.lit(50), 100).alias("part"))
-    assert small.distinct().collect() == [(0,)]
+    assert rows.select(page_of(F.col("id"), 1).alias("page")).distinct().collect() == [(0,)]
 
 
 REQUEST = (
@@ -164,7 +175,7 @@ def test_a_hot_key_spreads_over_tasks(spark):
         hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 1000)
         facts = spark.range(60_000).select(hot.alias("k"), (F.col("id") % 3000).alias("day"))
         lookup = spark.range(1000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
-        joined = lookup_join(facts, lookup, "k", ["day"], broadcast_rows=0)
+        joined = lookup_join(facts, lookup, "k", ["day"], size=1 << 40)
         tasks = joined.groupBy(F.spark_partition_id().alias("task")).count()
         largest, total = tasks.agg(F.max("count"), F.sum("count")).first()
         assert total == 120_000 and largest / total < 0.1

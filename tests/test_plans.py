@@ -1,10 +1,12 @@
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from staysearch import registry
 from staysearch.bindings import Inventory
+from staysearch.operators import joins
 from staysearch.operators.latest import latest_by_key
 from staysearch.plans import hotels as hp
 from staysearch.plans import jobs, reports, search, stays
@@ -12,6 +14,7 @@ from staysearch.schemas import SEARCH_KEY
 from staysearch.sources import tabular
 from staysearch.sources.demo import demo_inventory
 from staysearch.sources.store import Store
+from staysearch.streaming import pipeline
 
 FIRST = date(2026, 1, 1)
 CONTENT = [*SEARCH_KEY, "available", "price", "currency"]
@@ -81,22 +84,104 @@ def test_partial_refreshes_add_up_to_the_full_one(store):
 def test_refresh_without_broadcast_is_the_same(store, monkeypatch):
     jobs.refresh_search(store)
     wanted = content(store.search.latest())
-    monkeypatch.setattr(jobs, "fits_broadcast", lambda bound: False)
-    monkeypatch.setattr("staysearch.operators.joins.fits_broadcast", lambda bound, rows: False)
+    for module in (jobs, joins):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
     jobs.refresh_search(store)
     assert content(store.search.latest()) == wanted
 
 
 def test_refresh_does_not_shuffle_multiplied_rows(store):
-    variants, bound = store.variants.latest(), store.variants.log()
+    variants = store.variants.latest()
     days = search.day_state(store.availability.latest(), store.prices.latest(), "left")
-    plan = search.fan_out(store.search.arrange(days), variants, bound)
+    plan = search.fan_out(store.search.arrange(days), variants, store.variants.stored_bytes())
     plan = plan._jdf.queryExecution().executedPlan().toString()
     top = plan.index("BroadcastHashJoin")
     assert "REBALANCE" not in plan[:top] and "Sort" not in plan[:top]
     assert "REBALANCE" in plan[top:]
 
 
+def test_repeated_syncs_do_not_change_the_plan(store, demo):
+    stamp = F.lit("2026-01-02").cast("timestamp")
+    for n in range(3):
+        jobs.sync_variants(store, demo.variants.withColumn("updated_at", stamp), f"again-{n}")
+    assert store.variants.log().count() == 120
+    assert store.variants.stored_bytes() < joins.BROADCAST_BYTES
+
+
+def test_a_batch_beside_the_rebuild_is_not_lost(store, demo):
+    """The batch lands after the rebuild read the finals, and before it publishes."""
+    jobs.refresh_search(store)
+    day = store.availability.latest(placement_id=1).where(F.col("date") == FIRST)
+    change = day.withColumn("available", F.lit(5).cast("smallint")).withColumn("version", F.lit(99).cast("bigint"))
+    change = store.spark.createDataFrame(change.collect(), change.schema)
+    publish = store.search._publish
+
+    def landing(*args):
+        store.search._publish = publish
+        store.availability.append(change, "batch")
+        store.prices.append(store.prices.latest().limit(0), "batch")
+        pipeline.write_search(store, "batch")
+        return publish(*args)
+
+    store.search._publish = landing
+    jobs.refresh_search(store)
+    got = store.search.latest(placement_id=1).where(F.col("date") == FIRST).select("available").distinct().collect()
+    assert got == [(5,)]
+
+
+def test_racing_rebuilds_start_over(store):
+    """A compaction that publishes first makes the rebuild read everything again."""
+    jobs.refresh_search(store)
+    jobs.refresh_search_part(store, 1, FIRST, FIRST, "part")
+    publish, other = store.search._publish, Store(store.spark, store.root).search
+
+    def landing(*args):
+        store.search._publish = publish
+        other.compact()
+        return publish(*args)
+
+    store.search._publish = landing
+    jobs.refresh_search(store)
+    assert store.search.commit().number == 3
+    assert len(content(store.search.latest())) == 3600
+
+
+def test_ingest_writes_what_it_accepts(spark, store, demo):
+    schema = (
+        "request_id BIGINT, kind STRING, placement_id BIGINT, date STRING, date_from STRING, date_to STRING, "
+        "available STRING, price DECIMAL(12,2), currency STRING"
+    )
+    rows = [
+        (1, "availability", 1, None, "2026-01-01", "2026-01-03", "0", None, None),
+        (2, "availability", 1, "2026-01-02", None, None, "1", None, None),
+        (3, "price", 2, "2026-01-05", None, None, None, Decimal("7.50"), "EUR"),
+        (4, "price", 99, "2026-01-05", None, None, None, Decimal("7.50"), "EUR"),
+    ]
+    at = datetime(2026, 2, 1)
+    for _ in range(2):
+        receipts, refused = jobs.ingest_changes(store, spark.createDataFrame(rows, schema), demo.placements, "in", at)
+        assert {(r.request_id, r["count"]) for r in receipts.collect()} == {(1, 3), (2, 1), (3, 1)}
+        assert [(r.request_id, r.errors) for r in refused.collect()] == [(4, "placement_unknown")]
+        days = store.availability.latest((FIRST, FIRST + timedelta(days=2)), 1).orderBy("date").collect()
+        assert [d.available for d in days] == [0, 1, 0]
+        price = store.prices.latest(placement_id=2).where("date = '2026-01-05'").first()
+        assert (price.price, price.currency) == (Decimal("7.50"), "EUR")
+    assert store.availability.latest().count() == 180
+
+
+def test_open_rows_leave_the_base_unshuffled(store):
+    jobs.refresh_search(store)
+    wanted = content(store.search.latest())
+    jobs.refresh_search_part(store, 2, FIRST, FIRST + timedelta(days=5), "part")
+    rows = store.search.latest()
+    tree = executed(rows).split("\n\n")[0]
+    assert "LeftAnti" in tree
+    # The branch of unchanged rows has no exchange but the broadcast of the changed keys.
+    rest = tree[: tree.index("LeftSemi")]
+    assert "BroadcastHashJoin LeftAnti" in rest
+    assert content(rows) == wanted
+
+
 def test_partial_refresh_prunes_inputs(store):
     store.availability.compact()
     rows = store.availability.latest((FIRST, FIRST + timedelta(days=3)), 2)
@@ -159,7 +244,7 @@ def test_totals_follow_days(demo, searchable):
 
 def test_nested_holds_the_same_days(demo, searchable):
     nested = stays.stay_nested(searchable, demo.placements, demo.hotels, STAY).collect()
-    assert [(r.part, len(r.placements)) for r in nested] == [(0, 2)] * 3
+    assert [(r.page, len(r.placements)) for r in nested] == [(0, 2)] * 3
     flat = sorted((p.placement_id, d.date, d.price) for r in nested for p in r.placements for d in p.dates)
     assert flat == sorted((r.placement_id, r.date, r.price) for r in stays.stay_days(searchable, STAY).collect())
     for r in nested:
@@ -167,12 +252,11 @@ def test_nested_holds_the_same_days(demo, searchable):
             assert [d.date for d in p.dates] == sorted(d.date for d in p.dates)
 
 
-def test_oversized_hotels_nest_in_parts(demo, searchable, monkeypatch):
+def test_pages_hold_the_same_placements(demo, searchable):
     whole = stays.stay_nested(searchable, demo.placements, demo.hotels, STAY).collect()
-    monkeypatch.setattr(stays, "part_of", lambda child, total: F.pmod(F.xxhash64(child), total).cast("int"))
-    cut = stays.stay_nested(searchable, demo.placements, demo.hotels, STAY).collect()
+    paged = stays.stay_nested(searchable, demo.placements, demo.hotels, STAY, pages=7).collect()
     names = lambda rows: sorted((r.hotel_id, p.placement_id, len(p.dates)) for r in rows for p in r.placements)
-    assert names(cut) == names(whole)
+    assert names(paged) == names(whole) and len(paged) > len(whole)
 
 
 def test_stay_arguments():
@@ -205,7 +289,13 @@ def test_batch_requests_equal_single_searches(spark, searchable):
         ],
         schema,
     )
-    got = stays.stay_requests(searchable, requests)
+    checked = stays.checked_stays(requests)
+    refused = {r.request_id: r.errors for r in stays.rejected_stays(checked).collect()}
+    assert refused == {3: "range_reversed", 4: "adults_invalid", 6: "ages_invalid"}
+    known = spark.range(1, 7).withColumnRenamed("id", "placement_id")
+    refused = {r.request_id: r.errors for r in stays.rejected_stays(stays.checked_stays(requests, known)).collect()}
+    assert refused == {3: "range_reversed", 4: "adults_invalid", 5: "placement_unknown", 6: "ages_invalid"}
+    got = stays.stay_requests(searchable, stays.valid_stays(checked))
     counts = {r.request_id: r["count"] for r in got.groupBy("request_id").count().collect()}
     assert counts == {1: 3, 2: 18}
     single = stays.stay_days(searchable, stays.Stay(FIRST, end, 1, ""))

@@ -27,7 +27,7 @@ def test_normalize_ages(spark):
     assert column(spark, [raw for raw, _ in AGES], ages.normalize_ages) == [out for _, out in AGES]
 
 
-@pytest.mark.parametrize("given, wanted", [("10,5", "5,10"), ([10, 5], "5,10"), (None, ""), ([0, 3], "3"), ("", "")])
+@pytest.mark.parametrize("given, wanted", [("10,5", "5,10"), ([10, 5], "5,10"), (None, ""), ([0, 3], "3"), ("", ""), ("5,,3", "3,5"), ("x, 4 y", "4")])
 def test_canonical_ages(given, wanted):
     assert ages.canonical_ages(given) == wanted
 
@@ -39,9 +39,9 @@ def test_variant_label(spark):
 
 
 def test_wire_date(spark):
-    texts = ["20513", "2026-03-01", "0", "2026-3-1", "", "x", None, "-1", "99999999", "2026-02-30"]
+    texts = ["20513", "2026-03-01", "0", "2026-3-1", "", "x", None, "-1", "99999999", "2026-02-30", "1969-12-31", "2149-06-07"]
     first = date(2026, 3, 1)
-    assert column(spark, texts, wire.wire_date) == [first, first, date(1970, 1, 1)] + [None] * 7
+    assert column(spark, texts, wire.wire_date) == [first, first, date(1970, 1, 1)] + [None] * 9
 
 
 def test_wire_price(spark):
