@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from staysearch.session import work_dir
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 2048
 
 

@@ -5,8 +5,9 @@
    smallest doc_id.
 2. Signatures are cut into bands. Members of a bucket are compared with the bucket's smallest
    member first, and linked ones are joined to components. A bucket that still holds several
-   components is compared block by block inside tasks, between components only; pairs of one
-   component are never made. No pair of a bucket stays unexamined that could add a link.
+   components is compared block by block inside tasks, between components only, and each pair
+   in the first band that it shares. A block returns its links, not its pairs. No pair of a
+   bucket stays unexamined that could add a link.
 3. A pair's signatures are compared in batches of 32 hashes. After each batch the posterior of
    the similarity (uniform prior) prunes the pair if it reaches the threshold with less
    probability than ``MISS``.
@@ -43,6 +44,7 @@ PERCENT = 75
 MISS = 1e-6
 CELL = 256
 BROADCAST_IDS = 200_000
+# Odd multipliers of the hash functions and salts of the digests.
 MULTIPLIERS = np.random.Generator(np.random.PCG64(2)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(
     2
 ) + np.uint64(1)
@@ -110,10 +112,10 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, offsets, data in text_blocks(batch.column(1)):
                 values, sizes = shingle_sets(offsets, data)
-                rows = signatures(values, sizes)
+                rows = signatures(values, sizes).astype("<u2")
                 wide = rows.astype(np.uint64).reshape(b - a, BANDS, ROWS)
                 bands = mixed((wide * GRAM[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * GRAM[10])
-                raw = rows.astype("<u2").tobytes()
+                raw = rows.tobytes()
                 width = 2 * HASHES
                 yield pa.record_batch(
                     [
@@ -181,19 +183,17 @@ def likely(pairs: DataFrame, signature: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(step, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough.
-
-    Only texts that occur in a pair are read into sets again. A pair travels with both sets;
-    a set is not repeated for pairs that are already in one component.
-    """
-    wanted = saved(pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct(), "wanted")
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and shingles (sorted) of the documents in ``nodes``, whose texts are read again."""
+    wanted = saved(nodes.select("node").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    texts = id_text(docs).withColumnRenamed("doc_id", "node").join(
-        F.broadcast(wanted) if few else wanted, "node", "left_semi"
+    texts = (
+        id_text(docs)
+        .withColumnRenamed("doc_id", "node")
+        .join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
     )
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offsets, data in text_blocks(batch.column(1)):
                 values, sizes = shingle_sets(offsets, data)
@@ -201,35 +201,53 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(a, b - a), _lists(values.view(np.int64), sizes)], ["node", "shingles"]
                 )
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return saved(texts.mapInArrow(step, "node long, shingles array<long>"), "shingles")
+
+
+def similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets reach the threshold with the set x; all are sorted (unsigned)."""
+    if not others or not len(x):
+        return np.zeros(len(others), bool)
+    sizes = np.array([len(y) for y in others])
+    x, flat = x.view(np.uint64), np.concatenate(others).view(np.uint64)
+    hit = np.append(0, np.cumsum(x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat))
+    ends = np.cumsum(sizes)
+    common = hit[ends] - hit[ends - sizes]
+    return (100 * common >= PERCENT * (len(x) + sizes - common)) & (common > 0)
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                found.append(100 * common >= PERCENT * (len(x) + len(y) - common) > 0)
+            found = [
+                similar(x.values.to_numpy(), [y.values.to_numpy()])[0]
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
-    found = saved(texts.mapInArrow(sets, "node long, shingles array<long>"), "shingles")
+    sets = full_sets(docs, pairs.selectExpr("a AS node").union(pairs.selectExpr("b")))
     return (
-        pairs.join(found.selectExpr("node AS a", "shingles AS sa"), "a")
-        .join(found.selectExpr("node AS b", "shingles AS sb"), "b")
+        pairs.join(sets.selectExpr("node AS a", "shingles AS sa"), "a")
+        .join(sets.selectExpr("node AS b", "shingles AS sb"), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(similar, "a long, b long")
+        .mapInArrow(step, "a long, b long")
     )
 
 
-def _cells(members: DataFrame, linked: DataFrame, signature: DataFrame) -> DataFrame:
-    """Blocks of the buckets that hold several components, with one row a block.
+def _cells(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """bucket, band, cell, rep and component: the blocks of buckets that hold several components.
 
-    ``members`` has bucket, rep and pivot. Pairs with the pivot have been examined. A bucket's
-    largest component needs no comparison with itself, so its members meet the others only:
-    others' chunk i meets chunk j of the largest component, and chunk i' >= i of the others.
+    ``members`` has bucket, band, rep and pivot. Pairs with the pivot have been examined. A
+    bucket's largest component needs no comparison with itself, so its members meet the others
+    only: others' chunk i meets chunk j of the largest component, and chunk i' >= i of the
+    others.
     """
     rows = (
         members.where("rep <> pivot")
         .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        .select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     )
     counted = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = (
@@ -250,6 +268,7 @@ def _cells(members: DataFrame, linked: DataFrame, signature: DataFrame) -> DataF
     # Without chunks of the main component (mains = 0) everything is in the cell (0, 0).
     placed = rows.join(open_, "bucket").selectExpr(
         "bucket",
+        "band",
         "rep",
         "component",
         "mains",
@@ -258,47 +277,88 @@ def _cells(members: DataFrame, linked: DataFrame, signature: DataFrame) -> DataF
         "CASE WHEN mains > 0 AND component = main THEN pmod(xxhash64(rep), mains) "
         "ELSE pmod(xxhash64(rep), others) END AS chunk",
     )
-    cells = placed.selectExpr(
+    return placed.selectExpr(
         "bucket",
-        "rep",
-        "component",
-        "is_main",
-        "chunk",
+        "band",
         "explode(CASE WHEN is_main THEN transform(sequence(0, others - 1), i -> struct(i AS i, chunk AS j)) "
         "ELSE transform(sequence(0, mains + others - 1), k -> CASE "
         "WHEN k < mains THEN struct(chunk AS i, k AS j) "
         "ELSE struct(least(chunk, k - mains) AS i, mains + greatest(chunk, k - mains) AS j) END) END) AS cell",
+        "rep",
+        "component",
     )
+
+
+def _gathered(cells: DataFrame, *columns: str) -> DataFrame:
+    """One row a cell: its key, and its members as lists of equal length."""
     return (
-        cells.join(signature.select("rep", "signature"), "rep")
-        .groupBy("bucket", "cell")
-        .agg(F.collect_list(F.struct("rep", "component", "signature")).alias("members"))
-        .select("members")
+        cells.groupBy("bucket", "band", "cell")
+        .agg(F.collect_list(F.struct("rep", "component", *columns)).alias("members"))
+        .selectExpr(
+            "bucket", "band", "cell.i AS i", "cell.j AS j", *[f"members.{c} AS {c}" for c in ("rep", "component", *columns)]
+        )
     )
 
 
-def _across(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a block whose signatures survive."""
+def _open_pairs(rows: np.ndarray, component: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members x of a cell with the members y > x of other components that x has yet to be
+    verified with: pairs whose first shared band is this one, and whose signatures survive."""
+    for x in range(len(rows) - 1):
+        y = np.flatnonzero(component[x + 1 :] != component[x]) + x + 1
+        earlier = (rows[y, : ROWS * band] == rows[x, : ROWS * band]).reshape(len(y), band, ROWS)
+        y = y[~earlier.all(axis=2).any(axis=1)] if band else y
+        y = y[surviving(rows, rows, np.full(len(y), x), y)]
+        if len(y):
+            yield x, y
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _across(docs: DataFrame, cells: DataFrame, signature: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of a cell, as few as connect them.
+
+    A first pass over signatures finds the members with a pair to verify; a second pass gives
+    these their full sets and verifies within the cell, where links join components at once.
+    """
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = _signature_rows(batch.column(6)[k].values)
+                component = batch.column(5)[k].values.to_numpy()
+                taken = np.zeros(len(rows), bool)
+                for x, y in _open_pairs(rows, component, batch.column(1)[k].as_py()):
+                    taken[x] = taken[y] = True
+                if taken.any():
+                    some = pa.array(taken)
+                    key = [pa.array([batch.column(c)[k].as_py()] * int(taken.sum()), batch.schema.types[c]) for c in range(4)]
+                    lists = [batch.column(c)[k].values.filter(some) for c in (4, 5, 6)]
+                    yield pa.record_batch([*key, *lists], names)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for row in batch.column(0):
-                if len(row) < 2:
-                    continue
-                rep, component, signature = row.values.flatten()
-                rep, component = rep.to_numpy(), component.to_numpy()
-                rows = _signature_rows(signature)
-                for x in range(len(rep) - 1):
-                    y = np.flatnonzero(component[x + 1 :] != component[x]) + x + 1
-                    if len(y):
-                        y = y[surviving(rows, rows, np.full(len(y), x), y)]
-                        found.append((np.full(len(y), rep[x]), rep[y]))
-            a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
-            b = np.concatenate([np.zeros(0, np.int64), *(y for _, y in found)])
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return cells.mapInArrow(step, "a long, b long").where("a <> b").distinct()
+            for k in range(batch.num_rows):
+                rep = batch.column(4)[k].values.to_numpy()
+                component = batch.column(5)[k].values.to_numpy().copy()
+                rows = _signature_rows(batch.column(6)[k].values)
+                sets = [x.values.to_numpy() for x in batch.column(7)[k].values]
+                found = []
+                for x, y in _open_pairs(rows, component.copy(), batch.column(1)[k].as_py()):
+                    y = y[component[y] != component[x]]
+                    for hit in y[similar(sets[x], [sets[i] for i in y])].tolist():
+                        if component[hit] != component[x]:
+                            component[component == component[hit]] = component[x]
+                            found.append((rep[x], rep[hit]))
+                a, b = (np.array([pair[c] for pair in found], np.int64) for c in (0, 1))
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    names = ["bucket", "band", "i", "j", "rep", "component", "signature"]
+    key = "bucket long, band int, i long, j long"
+    signed = _gathered(cells.join(signature.select("rep", "signature"), "rep"), "signature")
+    left = saved(signed.mapInArrow(narrowed, f"{key}, rep long, component long, signature binary"), "cells")
+    sets = full_sets(docs, left.selectExpr("rep AS node"))
+    whole = left.join(sets.withColumnRenamed("node", "rep"), "rep").selectExpr(
+        "bucket", "band", "struct(i, j) AS cell", "rep", "component", "signature", "shingles"
+    )
+    return _gathered(whole, "signature", "shingles").mapInArrow(joined, "a long, b long").where("a <> b").distinct()
 
 
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -310,16 +370,13 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
         "representatives",
     )
     signature = reps.select("rep", "signature")
-    bands = reps.select("rep", F.explode("bands").alias("bucket"))
+    bands = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
     members = saved(bands.join(shared.select("bucket", "pivot"), "bucket"), "members")
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = saved(verified(docs, saved(likely(stars, signature), "pairs")), "links")
     linked = components(first)
-    second = saved(_across(_cells(members, linked, signature)), "pairs")
-    if second.isEmpty():
-        return first
-    return saved(first.unionAll(verified(docs, second)), "links")
+    return saved(first.unionAll(_across(docs, _cells(members, linked), signature)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
