@@ -15,6 +15,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import parity  # noqa: E402
 import tables  # noqa: E402
 
 from staysearch.llm import line_dedup, near_dup, sharding, topk  # noqa: E402
@@ -247,6 +248,12 @@ def test_top_k_with_ties_and_gaps(spark, shard_rows, monkeypatch):
     assert len(found) == len({(r.query_id, r["rank"]) for r in found})
 
 
+@pytest.mark.parametrize("name", ["op5_site_line_dedup", "op8_ball_tree_topk"])
+def test_sql_twins(spark, sf_dir, name):
+    problems, rows, _ = parity.compare(name, spark, parity.connect(sf_dir), sf_dir)
+    assert not problems and rows
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search_report(df).count() == 0
