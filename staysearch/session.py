@@ -25,9 +25,17 @@ def local_session(cores: int | str = 8, app: str = "staysearch", **extra: str) -
     return builder.getOrCreate()
 
 
+def work_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("staysearch.work.dir", None)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``, which every executor must see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the session's ``spark.checkpoint.dir``, which every executor must see.
+
+    A running session cannot be given that setting any more; one without it can name its
+    folder as ``staysearch.work.dir``.
+    """
+    root = work_root(spark)
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
