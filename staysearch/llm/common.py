@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staysearch.session import work_dir
+from staysearch.session import work_dir, work_root
 
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 2048
@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: a cut of the lineage that
     survives the loss of executors. Only a local session without a named folder gets one."""
-    conf = df.sparkSession.conf
-    if not conf.get("spark.checkpoint.dir", None) and conf.get("spark.master", "").startswith("local["):
-        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="llm-"))
-    path = work_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    if not work_root(spark) and spark.conf.get("spark.master", "").startswith("local["):
+        spark.conf.set("staysearch.work.dir", tempfile.mkdtemp(prefix="llm-"))
+    path = work_dir(spark, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
