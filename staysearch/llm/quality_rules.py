@@ -7,7 +7,7 @@ compared with fixed thresholds on the probability.
 
 Labels for fitting come from a sample of ``FIT_ROWS`` rows at most, chosen by hash of the id.
 Null texts count as empty; texts without words fail the base rules. Without labels of both
-kinds the model accepts everything. A task's memory is a multiple of a block: 2 MB or the
+kinds the model accepts everything. A task's memory is a multiple of a block: 1 MB or the
 longest text.
 """
 
@@ -37,7 +37,7 @@ from staysearch.llm.textbytes import (
 
 FIT_ROWS = 6000
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
-KEEP_AT = 0.5
+KEEP_AT = 0.3
 BITS = 12
 GRAMS = 1 << BITS
 CHARACTERS = 3
@@ -145,7 +145,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):
-        error = _sigmoid(x @ w + b) - y
+        error = (_sigmoid(x @ w + b) - y).astype(x.dtype)
         grad = np.append(x.T @ error / len(y) + DECAY * w, error.mean())
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -207,21 +207,26 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gram
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return GramModel(None)
-    x = np.zeros((len(y), 2 * GRAMS), np.float32)
+    order = np.argsort(rows.column("label_id").to_numpy(), kind="stable")
+    held = np.zeros(len(y), bool)
+    held[order[::4]] = True
+    if len(set(y[~held].tolist())) < 2:
+        held[:] = False
+    # Rows to train on come first, so that both parts are views of one matrix.
+    place = np.empty(len(y), np.int64)
+    place[np.argsort(held, kind="stable")] = np.arange(len(y))
+    x, train = np.zeros((len(y), 2 * GRAMS), np.float32), int((~held).sum())
     at = 0
     for chunk in rows.to_batches():
         buckets, shares = chunk.column("buckets"), chunk.column("shares")
         counts = np.diff(buckets.offsets.to_numpy())
-        row = at + np.repeat(np.arange(len(chunk)), counts)
+        row = place[at + np.repeat(np.arange(len(chunk)), counts)]
         x[row, buckets.flatten().to_numpy()] = shares.flatten().to_numpy()
         at += len(chunk)
-    order = np.argsort(rows.column("label_id").to_numpy(), kind="stable")
-    held = np.zeros(len(y), bool)
-    held[order[::4]] = True
-    if len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    w, b = logistic(x[~held], y[~held])
-    check = held if held.any() else ~held
+    del rows
+    y = y[np.argsort(held, kind="stable")]
+    w, b = logistic(x[:train], y[:train])
+    check = slice(train, None) if train < len(y) else slice(None)
     return GramModel(w, b, *platt(x[check] @ w + b, y[check]))
 
 
