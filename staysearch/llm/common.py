@@ -15,6 +15,16 @@ from staysearch.session import work_dir, work_root
 
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 2048
+# Rows that Spark sends to Python at a time. Texts and sets are wide: Spark's own 10 000 rows
+# would be tens of megabytes, held several times on both sides.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to what wide rows need."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +35,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: a cut of the lineage that
     survives the loss of executors. Only a local session without a named folder gets one."""
     spark = df.sparkSession
+    small_batches(spark)
     if not work_root(spark) and spark.conf.get("spark.master", "").startswith("local["):
         spark.conf.set("staysearch.work.dir", tempfile.mkdtemp(prefix="llm-"))
     path = work_dir(spark, label)
@@ -34,6 +45,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that operators read; whatever else a table has cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
@@ -69,6 +81,7 @@ def sampled(key: Column, share: float) -> Column:
 
 def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:
     """The whole rows whose text ``keep`` accepts; it maps a text column to booleans."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
