@@ -30,7 +30,7 @@ from staysearch.llm.units import UnitEncoder
 
 CAPACITY = 2048
 END_ID = 0
-CELL_ROWS = 100_000
+CELLS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -193,7 +193,7 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
     return rows
 
 
-def packed(found: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+def packed(found: DataFrame, capacity: int = CAPACITY, cells: int = CELLS) -> DataFrame:
     """The pieces with sequence_id and offset.
 
     ``found`` has doc_id, piece, length and ids_crc32, and is read several times: save it.
@@ -205,9 +205,10 @@ def packed(found: DataFrame, capacity: int = CAPACITY, cell_rows: int = CELL_ROW
     table = spark.createDataFrame(
         places(plan(histogram, capacity)), "length long, low long, high long, first long, offset long"
     )
-    cells = spark.createDataFrame([(x, -(-n // cell_rows)) for x, n in histogram.items()], "length long, cells long")
-    # One row a length, and one row a cell of about cell_rows pieces: bounded sides.
-    rows = found.join(F.broadcast(cells), "length").withColumn(
+    total = sum(histogram.values())
+    split = spark.createDataFrame([(x, -(-n * cells // total)) for x, n in histogram.items()], "length long, cells long")
+    # One row a length, and one row a cell, of which there are at most cells + capacity: bounded sides.
+    rows = found.join(F.broadcast(split), "length").withColumn(
         "cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("cells"))
     ).drop("cells")
     before = (
