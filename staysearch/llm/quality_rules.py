@@ -140,13 +140,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Shares:
+    """Some rows of features, as (row, bucket, share) of their non-zero entries."""
+
+    row: np.ndarray
+    bucket: np.ndarray
+    share: np.ndarray
+    y: np.ndarray
+
+    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, self.share * w[self.bucket], len(self.y)) + b
+
+
+def logistic(parts: list[Shares], size: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression (full-batch Adam, fixed steps)."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, b, n = np.zeros(size, np.float32), 0.0, sum(len(part.y) for part in parts)
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, STEPS + 1):
-        error = (_sigmoid(x @ w + b) - y).astype(x.dtype)
-        grad = np.append(x.T @ error / len(y) + DECAY * w, error.mean())
+        grad = np.append(DECAY * w.astype(float), 0.0)
+        for part in parts:
+            error = ((_sigmoid(part.logits(w, b)) - part.y) / n).astype(np.float32)
+            grad[:-1] += np.bincount(part.bucket, part.share * error[part.row], size)
+            grad[-1] += error.sum()
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
@@ -212,22 +228,21 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gram
     held[order[::4]] = True
     if len(set(y[~held].tolist())) < 2:
         held[:] = False
-    # Rows to train on come first, so that both parts are views of one matrix.
-    place = np.empty(len(y), np.int64)
-    place[np.argsort(held, kind="stable")] = np.arange(len(y))
-    x, train = np.zeros((len(y), 2 * GRAMS), np.float32), int((~held).sum())
-    at = 0
+    train, check, at = [], [], 0
     for chunk in rows.to_batches():
         buckets, shares = chunk.column("buckets"), chunk.column("shares")
-        counts = np.diff(buckets.offsets.to_numpy())
-        row = place[at + np.repeat(np.arange(len(chunk)), counts)]
-        x[row, buckets.flatten().to_numpy()] = shares.flatten().to_numpy()
+        row = np.repeat(np.arange(len(chunk)), np.diff(buckets.offsets.to_numpy()))
+        bucket, share = buckets.flatten().to_numpy(), shares.flatten().to_numpy()
+        here = slice(at, at + len(chunk))
+        for side, parts in ((~held[here], train), (held[here], check)):
+            if side.any():
+                mine, place = side[row], np.cumsum(side) - 1
+                parts.append(Shares(place[row[mine]].astype(np.int32), bucket[mine], share[mine], y[here][side]))
         at += len(chunk)
     del rows
-    y = y[np.argsort(held, kind="stable")]
-    w, b = logistic(x[:train], y[:train])
-    check = slice(train, None) if train < len(y) else slice(None)
-    return GramModel(w, b, *platt(x[check] @ w + b, y[check]))
+    w, b = logistic(train, 2 * GRAMS)
+    check = check or train
+    return GramModel(w, b, *platt(np.concatenate([c.logits(w, b) for c in check]), np.concatenate([c.y for c in check])))
 
 
 def verdicts(model: GramModel, column: pa.Array, keep_at: float = KEEP_AT) -> tuple[dict[str, np.ndarray], np.ndarray]:
