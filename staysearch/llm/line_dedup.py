@@ -7,17 +7,28 @@ drop return to the documents.
 
 Lines are the parts between line feeds, compared without surrounding blanks; lines without a
 character are kept, as they are layout. Nulls: a null text has no lines and stays null, a
-null host is a host of its own. Repeated rows count as pages each. A line must stand in
-``least`` pages of a host in any case, so small hosts lose nothing by chance.
+null host is a host of its own. A line must stand in ``least`` pages of a host in any case, so
+small hosts lose nothing by chance.
+
+What a page is: in ``line_report``, as in its SQL, every row, repeated or not. In ``cleaned``,
+the pipeline's stage, a group of copies is one page of its host: equal texts by their hash, near
+copies by ``near_dup`` among the pages of which a tenth (``SHARED``) stands elsewhere on the
+host. Otherwise a group above the ratio would lose the whole text that its copies share.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staysearch.llm import near_dup
+from staysearch.llm.common import saved
+
 RATIO = 0.02
 LEAST = 5
+SHARED = 0.1
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -29,21 +40,25 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """host, line hash, pages and ratio of every boilerplate line.
+def _line_set(text: Column) -> Column:
+    """line (hash) and chars of each different line with a character."""
+    full = F.filter(_lines(text), lambda x: _stripped(x) != "")
+    return F.array_distinct(
+        F.transform(
+            full, lambda x: F.struct(F.xxhash64(_stripped(x)).alias("line"), F.char_length(_stripped(x)).alias("chars"))
+        )
+    )
 
-    ``pages`` has ``host`` and ``text``. Counting is combined on the map side, so neither a
-    hot host nor a hot line meets in one task.
+
+def _above(hosts: DataFrame, lines: DataFrame, ratio: float, least: int) -> DataFrame:
+    """``boilerplate`` of one row (host) a page and one row (host, line) a page and line.
+
+    Counting is combined on the map side, so neither a hot host nor a hot line meets in one
+    task.
     """
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    hashes = F.array_distinct(
-        F.transform(F.filter(_lines(F.col("text")), lambda x: _stripped(x) != ""), lambda x: F.xxhash64(_stripped(x)))
-    )
+    totals = hosts.groupBy("host").agg(F.count("*").alias("host_pages"))
     counted = (
-        pages.select("host", F.explode(hashes).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("line_pages"))
-        .where(F.col("line_pages") >= least)
+        lines.groupBy("host", "line").agg(F.count("*").alias("line_pages")).where(F.col("line_pages") >= least)
     )
     return (
         counted.join(totals, counted.host.eqNullSafe(totals.host))
@@ -54,11 +69,75 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     )
 
 
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """host, line hash, pages and ratio of every boilerplate line; each row is a page.
+
+    ``pages`` has ``host`` and ``text``.
+    """
+    lines = pages.select("host", F.explode(F.transform(_line_set(F.col("text")), lambda x: x["line"])).alias("line"))
+    return _above(pages.select("host"), lines, ratio, least)
+
+
+def boilerplate_of_groups(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """``boilerplate`` that counts a group of copies and near copies as one page of its host."""
+    keyed = pages.select("host", F.xxhash64("host", F.col("host").isNull(), "text").alias("key"), "text")
+    described = keyed.select("host", "key", _line_set(F.col("text")).alias("lines"))
+    repeated = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    once = described.join(repeated, "key", "left_anti").unionByName(
+        described.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    )
+    groups = _near_copies(keyed, once, least)
+    alone = once.join(groups, "key", "left_anti")
+    grouped = once.join(groups, "key")
+    line = F.explode("lines.line").alias("line")
+    return _above(
+        alone.select("host").unionAll(grouped.select("host", "unit").distinct().select("host")),
+        alone.select("host", line).unionAll(
+            grouped.select("host", "unit", line).distinct().select("host", "line")
+        ),
+        ratio,
+        least,
+    )
+
+
+def _near_copies(keyed: DataFrame, once: DataFrame, least: int) -> DataFrame:
+    """key and unit (the smallest key of its near copies) of the pages that may have some: those
+    of which a tenth consists of lines that ``least`` different pages of the host have."""
+    rows = once.select(
+        "host", "key", F.expr("aggregate(lines.chars, 0L, (a, x) -> a + x)").alias("chars"), F.explode("lines").alias("l")
+    ).select("host", "key", "chars", "l.line", F.col("l.chars").alias("line_chars"))
+    often = saved(
+        rows.groupBy(F.col("host").alias("site"), F.col("line").alias("common"))
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= least)
+        .drop("n"),
+        "often",
+    )
+    wanted = saved(
+        rows.join(often, rows.host.eqNullSafe(F.col("site")) & (F.col("line") == F.col("common")))
+        .groupBy("key")
+        .agg(F.sum("line_chars").alias("shared"), F.max("chars").alias("chars"))
+        .where(F.col("shared") >= SHARED * F.col("chars"))
+        .select("key"),
+        "shared",
+    )
+    texts = keyed.join(wanted, "key", "left_semi").select(F.col("key").alias("doc_id"), "text")
+    found = near_dup.near_duplicates(saved(texts.dropDuplicates(["doc_id"]), "shared-texts"))
+    return saved(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("unit")), "groups")
+
+
 def without_boilerplate(
-    docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least: int = LEAST
+    docs: DataFrame,
+    host: Column,
+    text: str = "text",
+    ratio: float = RATIO,
+    least: int = LEAST,
+    found: Callable[[DataFrame, float, int], DataFrame] = boilerplate,
 ) -> DataFrame:
     """``doc`` (the whole input row), ``kept_text``, ``n_lines`` and ``n_dropped``.
 
+    ``found`` gives the boilerplate lines of host and text.
+
     Rows are found again by a hash of id-independent content: equal rows have equal lines,
     so they share a decision and need no key of their own.
     """
@@ -68,7 +147,7 @@ def without_boilerplate(
     lines = rows.select("row_key", "host", F.posexplode(_lines(F.col("text"))).alias("at", "line")).select(
         "row_key", "host", "at", F.xxhash64(_stripped(F.col("line"))).alias("line")
     )
-    common = boilerplate(rows, ratio, least)
+    common = found(rows, ratio, least)
     drops = (
         lines.join(common.select(F.col("host").alias("site"), F.col("line").alias("common")),
                    lines.host.eqNullSafe(F.col("site")) & (F.col("line") == F.col("common")))
@@ -96,8 +175,10 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents with their remaining text; ``n_chars`` follows it."""
-    rows = without_boilerplate(docs, F.col("source"))
+    """The documents with their remaining text; ``n_chars`` follows it. Copies are one page."""
+    rows = without_boilerplate(
+        docs, F.col("source"), found=lambda *given: saved(boilerplate_of_groups(*given), "boilerplate")
+    )
     changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(

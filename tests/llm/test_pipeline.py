@@ -86,3 +86,21 @@ def test_edges_pass_through(spark):
             if name != "packing":
                 assert df.columns == docs.columns
         assert df.columns[0] == "doc_id"
+
+
+def test_groups_of_copies_keep_their_text(spark):
+    """A third of the rows are exact copies, a third near copies: one document of each is left."""
+    body = [[tables.sentence(1000 * g + k, 12) for k in range(10)] for g in range(2)]
+    rows = [(k, "\n".join(["Menu of the site", *body[0]])) for k in range(40)]
+    for k in range(40):
+        near = list(body[1])
+        near[k % 10] += f" edited{k}"
+        rows.append((100 + k, "\n".join(["Menu of the site", *near])))
+    rows += [(200 + k, "\n".join(["Menu of the site", tables.sentence(9000 + k, 90)])) for k in range(40)]
+    docs = tables.documents(spark, rows)
+    cleaned = saved(line_dedup.cleaned(docs), "cleaned")
+    texts = dict(rows)
+    assert {r.doc_id: r.text for r in cleaned.collect()} == {i: t.split("\n", 1)[1] for i, t in texts.items()}
+    assert {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, cleaned, SF).collect()} == {
+        0, 100, *range(200, 240)
+    }
