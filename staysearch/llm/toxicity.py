@@ -10,7 +10,8 @@ unlabelled (the class prior) and kept from becoming negative. The prior is the s
 rows among the labels that may be learned from. Features are hashed letter runs and their
 beginnings, which generalise over inflected words.
 
-The samples are bounded (``POSITIVES``, ``UNLABELLED``) and chosen by hash of the id; scoring
+The samples that the steps learn from are bounded (``POSITIVES``, ``UNLABELLED``) and chosen by
+hash of the id; features are chosen by the document counts of all unlabelled text, and scoring
 reads every whole text in Arrow batches. Null and empty texts have no features and get the
 score of the bias. Without positives, every text scores 0.
 """
@@ -124,13 +125,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+def _selected(positive: list[np.ndarray], counts: np.ndarray, n: int) -> np.ndarray:
     """Buckets whose share of the positives exceeds that of the unlabelled most clearly: by a
-    factor, and by standard deviations of a count at the unlabelled rate."""
+    factor, and by standard deviations of a count at the unlabelled rate. ``counts`` has the
+    number of the ``n`` unlabelled documents with each bucket."""
     p = np.bincount(np.concatenate(positive), minlength=BUCKETS).astype(float)
-    u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS).astype(float)
     some = np.flatnonzero(p >= LEAST_POSITIVES)
-    rate_p, rate_u = (p[some] + 0.5) / (len(positive) + 1), (u[some] + 0.5) / (len(unlabelled) + 1)
+    rate_p, rate_u = (p[some] + 0.5) / (len(positive) + 1), (counts[some] + 0.5) / (n + 1)
     expected = rate_u * len(positive)
     excess = (p[some] - expected) / np.sqrt(expected)
     clear = (rate_p >= LEAST_RATIO * rate_u) & (excess >= LEAST_EXCESS)
@@ -138,6 +139,29 @@ def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.nd
     return np.sort(some[clear][order])
 
 
+def _document_counts(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of documents with each of the ``wanted`` buckets (others 0), and of documents.
+
+    Counted within tasks first, so that at most one row a bucket and task is exchanged.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, _, offsets, data in text_blocks(batch.column(0)):
+                found += np.bincount(features(offsets, data)[1], minlength=BUCKETS)
+        some = wanted[found[wanted] > 0]
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(found[some], n))], ["bucket", "n"])
+
+    rows = texts.select("text").mapInArrow(step, "bucket long, n long")
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (sums.column(name).to_numpy() for name in ("bucket", "n"))
+    counts = np.zeros(BUCKETS)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return counts, int(n[bucket < 0].sum())
+
+
 def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """One linear classifier by the non-negative risk with the sigmoid loss (Adam steps).
 
@@ -179,7 +203,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Toxicity:
     if not toxic or rows.num_rows == 0 or other.num_rows == 0:
         return none
     positive, unlabelled = (_lists(x, "buckets") for x in (rows, other))
-    chosen = _selected(positive, unlabelled)
+    often = np.flatnonzero(np.bincount(np.concatenate(positive), minlength=BUCKETS) >= LEAST_POSITIVES)
+    chosen = _selected(positive, *_document_counts(id_text(docs).where(wanted), often))
     if not len(chosen):
         return none
     x_p, x_u = (

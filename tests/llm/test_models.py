@@ -164,3 +164,11 @@ def test_blocks_cover_all_rows():
         assert len(offsets) == b - a + 1 and offsets[-1] == len(data)
         found += np.diff(offsets).tolist()
     assert found == [*map(len, texts), 0]
+
+
+def test_features_follow_all_unlabelled_text(spark, monkeypatch):
+    """Which features are chosen does not depend on the sample that the steps learn from."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    whole = toxicity.fitted(docs, labels).buckets
+    monkeypatch.setattr(toxicity, "UNLABELLED", 60)
+    assert len(whole) and toxicity.fitted(docs, labels).buckets.tolist() == whole.tolist()
