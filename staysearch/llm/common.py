@@ -55,11 +55,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, wanted: Column) -> DataFrame:
-    """text and y of about ``bound`` labelled documents at most.
+    """label_id, text and y of about ``bound`` labelled documents at most, one row each.
 
     ``wanted`` says which rows of ``labels`` may be learned from. Of an id's repeated labels
     the largest holds; null labels and ids are no labels. The ids are chosen by their hash, so
-    the choice does not depend on how the rows are dealt out.
+    the choice does not depend on how the rows are dealt out. Of an id's repeated rows one text is
+    taken, that with the smallest hash.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & wanted)
@@ -70,7 +71,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, wanted:
     chosen = known.where(sampled(F.col("label_id"), share))
     # The choice is bounded, so that one scan of the documents finds its texts.
     return (
-        id_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "y")
+        id_text(docs)
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+        .groupBy("label_id", "y")
+        .agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+        .sortWithinPartitions("label_id")
+        .select("label_id", "least.text", "y")
     )
 
 

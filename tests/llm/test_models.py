@@ -14,13 +14,14 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
 import tables  # noqa: E402
 
 from staysearch.llm import quality_rff, quality_rules, toxicity  # noqa: E402
-from staysearch.llm.common import fold, table, text_blocks  # noqa: E402
+from staysearch.llm.common import fold, labelled, table, text_blocks  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
@@ -172,3 +173,11 @@ def test_features_follow_all_unlabelled_text(spark, monkeypatch):
     whole = toxicity.fitted(docs, labels).buckets
     monkeypatch.setattr(toxicity, "UNLABELLED", 60)
     assert len(whole) and toxicity.fitted(docs, labels).buckets.tolist() == whole.tolist()
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    texts = [(1, "one"), (2, "two"), (2, "too"), (3, None)] + [(4, "four")] * 50
+    rows = tables.labels(spark, [(k, 1, 1) for k in range(1, 5)])
+    found = labelled(tables.documents(spark, texts), rows, "toxic", 3000, F.lit(True)).collect()
+    assert sorted(r.label_id for r in found) == [1, 2, 3, 4]
+    assert {(r.label_id, r.text) for r in found} <= set(texts)
