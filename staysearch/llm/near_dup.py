@@ -402,12 +402,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, each once; rows without an id all stay."""
-    found = saved(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    nameless = docs.where("doc_id IS NULL")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(nameless)
+    """One row of each group of near duplicates, that of the smallest id.
+
+    Rows that share an id, or have none, are documents by their text: equal texts of one id give
+    one row (the smallest by all columns), different ones stand for themselves and come after all
+    other ids.
+    """
+    shared = saved(
+        docs.groupBy(F.col("doc_id").alias("shared")).count().where("count > 1 OR shared IS NULL").select("shared"),
+        "shared-ids",
+    )
+    if shared.isEmpty():
+        return docs.join(_gone(docs.select("doc_id", "text")), "doc_id", "left_anti").select(*docs.columns)
+    of_shared = F.col("doc_id").eqNullSafe(F.col("shared"))
+    texts = saved(
+        docs.join(shared, of_shared, "left_semi")
+        .groupBy("doc_id", "text")
+        .agg(F.min(F.struct("*")).alias("row"))
+        .select(F.col("row").alias("doc")),
+        "shared-texts",
+    )
+    several = texts.groupBy("doc.doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("shared"))
+    stood_for = F.lit(1 << 62) + F.shiftrightunsigned(
+        F.xxhash64("doc.doc_id", F.col("doc.doc_id").isNull(), "doc.text", F.col("doc.text").isNull()), 2
+    )
+    named = texts.join(several, F.col("doc.doc_id").eqNullSafe(F.col("shared")), "left").select(
+        "doc",
+        F.when(F.col("shared").isNotNull() | F.col("doc.doc_id").isNull(), stood_for)
+        .otherwise(F.col("doc.doc_id"))
+        .alias("unit"),
+    )
+    others = docs.join(shared, of_shared, "left_anti").select(F.struct("*").alias("doc"), F.col("doc_id").alias("unit"))
+    rows = others.unionByName(named)
+    gone = _gone(rows.select(F.col("unit").alias("doc_id"), "doc.text")).withColumnRenamed("doc_id", "unit")
+    return rows.join(gone, "unit", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def _gone(docs: DataFrame) -> DataFrame:
+    """The ids of documents that are not kept."""
+    return saved(near_duplicates(docs).where("NOT kept").select("doc_id"), "gone")

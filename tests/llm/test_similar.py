@@ -114,6 +114,14 @@ def test_one_of_each_keeps_whole_rows(spark):
     assert near_dup.one_of_each(tables.empty(docs)).count() == 0
 
 
+def test_one_of_each_keeps_every_text(spark):
+    """Unrelated texts of one id all stay, and copies without an id go."""
+    a, b, c, d = (tables.sentence(k, 40) for k in range(4))
+    rows = [(9, a), (9, b), (9, b), (3, a), (4, d), (None, c), (None, c), (None, d), (None, None), (None, None)]
+    kept = near_dup.one_of_each(tables.documents(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(9, b): 1, (3, a): 1, (4, d): 1, (None, c): 1, (None, None): 1}
+
+
 def test_posterior_bound():
     least = near_dup.least_matches()
     assert least == sorted(least) and least[0] < 24 < least[-1]
