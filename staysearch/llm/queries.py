@@ -8,6 +8,7 @@ from pathlib import Path
 import public_tokenizers
 
 from staysearch.llm import bpe, line_dedup, near_dup, packing, quality_rff, quality_rules, sharding, token_counts, topk, toxicity
+from staysearch.llm import turn_repair, url_filter, whitening
 from staysearch.llm.common import table
 
 
@@ -39,4 +40,10 @@ QUERIES["op6_fourier_quality"] = lambda spark, d: quality_rff.score_report(
 )
 QUERIES["op8_ball_tree_topk"] = lambda spark, d: topk.search_report(table(spark, d, "embeddings"))
 QUERIES["op2_bayes_minhash"] = lambda spark, d: near_dup.near_duplicates(table(spark, d, "documents"))
+QUERIES["op11_bloom_url_filter"] = lambda spark, d: url_filter.url_report(
+    table(spark, d, "pages"), table(spark, d, "labels")
+)
+QUERIES["op12_lightest_repair"] = lambda spark, d: turn_repair.repair_report(table(spark, d, "conversations"))
+QUERIES["op13_weighted_whitening"] = lambda spark, d: whitening.whitening_report(table(spark, d, "embeddings"))
 ORACLES = {"op5_site_line_dedup": line_dedup.ORACLE, "op8_ball_tree_topk": topk.ORACLE}
+ORACLES |= {"op11_bloom_url_filter": url_filter.ORACLE, "op12_lightest_repair": turn_repair.ORACLE}
