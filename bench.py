@@ -60,8 +60,8 @@ def drain(df) -> None:
 def stored(inv: Inventory) -> dict[str, float]:
     """Jobs and searches on stored tables, the way the engine is used."""
     store = registry._loaded(inv, "bench")
-    store.availability.compact()
-    store.prices.compact()
+    store.availability.fold()
+    store.prices.fold()
     out = {"stored_refresh": timed(lambda: jobs.refresh_search(store))}
     stay, at = registry.STAY, registry.STAY_AT
     part = (registry.PLACEMENT, registry.FROM, registry.TO)

@@ -173,7 +173,14 @@ class Inventory:
             "placement_variants": (self.variant_log, VARIANT_KEY),
         }
         rows, columns = logs[topic]
-        return to_records(rows, topic, columns, LOG_ORDER if ordered else None)
+        messages = to_records(rows, topic, columns, LOG_ORDER if ordered else None)
+        # As a topic deals them out to its partitions, whatever files the rows came from.
+        return messages if ordered else messages.repartition(self.spark.sparkContext.defaultParallelism)
+
+    def price_records(self, wanted: Column) -> DataFrame:
+        """Messages of the price log's rows that are wanted, with offsets of their own."""
+        rows = self.price_log.where(wanted).withColumn("price", F.col("price").cast("string"))
+        return to_records(rows, "prices_by_day", ["placement_id", "date", "price", "currency"], LOG_ORDER)
 
     @cached_property
     def event_records(self) -> DataFrame:

@@ -240,11 +240,12 @@ EDGE = {
             "latest_availability", "latest_by_update_time", "compact_equivalence",
             "decode_availability_events", "event_latest", "sample_days", "range_upsert",
             "insert_if_absent", "demo_availability", "stream_latest_availability", "stream_restart",
-            "latest_across_partitions", "stream_replay", "ingest_changes",
+            "latest_across_partitions", "stream_replay", "ingest_changes", "stream_state_latest",
+            "content_differences", "stream_redefine",
         ],
         _DATE,
     ),
-    **dict.fromkeys(["stay_totals", "stay_totals_stored", "stay_totals_open_delta", "stay_totals_by_hotel"], ("total_price",)),
+    **dict.fromkeys(["stay_totals", "stay_totals_stored", "stay_totals_open_delta", "stay_totals_by_hotel", "stay_totals_requests"], ("total_price",)),
     "change_receipts": ("first_day", "last_day"),
     **dict.fromkeys(
         [
@@ -254,7 +255,7 @@ EDGE = {
             "variants_by_adults", "search_by_adults_available", "normalized_ages", "rejected_changes",
             "unknown_placement_changes", "rekey_backfill", "rekey_first_placements", "demo_variants",
             "json_lines_load", "variant_sync", "repair_counts", "stream_variants", "stream_quarantine",
-            "stay_nested", "stay_totals_nested", "placement_variants_nested", "rejected_stays",
+            "stay_nested", "stay_totals_nested", "placement_variants_nested", "rejected_stays", "unique_placements", "diagnosis", "stream_progress",
         ],
         _NONE,
     ),
@@ -576,6 +577,63 @@ def oracle_sql() -> dict[str, str]:
                FROM availability_log l JOIN (SELECT placement_id, date, available FROM availability) a
                USING (placement_id, date) GROUP BY placement_id, date""",
         ),
+        "stay_totals_requests": _with(
+            _search() + """,
+            requests AS (
+                SELECT o_orderkey AS request_id,
+                       CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS placement_id,
+                       CAST(o_orderdate AS DATE) AS date_from,
+                       CAST(o_orderdate AS DATE) + CAST(o_custkey % 3 AS INTEGER) AS date_to,
+                       o_custkey % 5 AS adults,
+                       CASE o_orderstatus WHEN 'F' THEN '5,10' WHEN 'O' THEN '5' ELSE '' END AS children_ages
+                FROM orders)""",
+            """SELECT r.request_id, s.placement_id, CAST(SUM(s.price) AS DECIMAL(18,2)) AS total_price,
+                      CAST(MIN(s.available) AS BOOLEAN) AS available, MIN(s.currency) AS currency, COUNT(*) AS days_found
+               FROM requests r JOIN search s
+                 ON r.adults = s.adults AND r.children_ages = s.children_ages
+                AND s.date BETWEEN r.date_from AND r.date_to
+                AND (r.placement_id IS NULL OR r.placement_id = s.placement_id)
+               GROUP BY r.request_id, s.placement_id""",
+        ),
+        "search_refresh_ranges": _with(
+            _search() + "," + CHANGE_REQUESTS,
+            f"""SELECT {SEARCH_COLUMNS} FROM search SEMI JOIN (
+                    SELECT DISTINCT placement_id, date FROM change_days WHERE kind = 'availability') USING (placement_id, date)""",
+        ),
+        "content_differences": _with(
+            PRICES,
+            """SELECT placement_id, date, 'changed' AS reason FROM prices
+               WHERE date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND placement_id % 7 = 0
+               UNION ALL SELECT placement_id, date, 'missing' FROM prices
+               WHERE date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND placement_id % 7 = 1
+               UNION ALL SELECT -placement_id, date, 'surplus' FROM prices
+               WHERE date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND placement_id % 7 = 2""",
+        ),
+        "unique_placements": _with(
+            AVAILABILITY,
+            """SELECT year(date) AS period, COUNT(DISTINCT placement_id) AS placements, true AS near
+               FROM availability GROUP BY year(date)
+               UNION ALL SELECT 0, COUNT(DISTINCT placement_id), true FROM availability""",
+        ),
+        "diagnosis": _with(
+            _search(),
+            """SELECT 'variants_by_adults' AS part, concat_ws('|', adults, COUNT(*)) AS what FROM variants GROUP BY adults
+               UNION ALL (SELECT 'sample_days', concat_ws('|', strftime(date, '%Y-%m-%d'), available)
+                          FROM availability WHERE placement_id = 1 ORDER BY date LIMIT 3)
+               UNION ALL SELECT 'search_by_adults', concat_ws('|', adults, available, COUNT(*))
+                         FROM search WHERE placement_id = 1 GROUP BY adults, available""",
+        ),
+        "stream_redefine": _with(
+            PRICE_LOG,
+            """SELECT placement_id, date, CASE WHEN date < DATE '1997-03-01' THEN currency ELSE lower(currency) END AS currency,
+                      COUNT(*) AS changes
+               FROM price_log WHERE placement_id > 0 GROUP BY ALL""",
+        ),
+        "stream_progress": _with(
+            AVAILABILITY,
+            """SELECT 'progress' AS name, CAST((SELECT COUNT(*) FROM availability_log) AS BIGINT) AS input_rows,
+                      CAST((SELECT COUNT(*) FROM availability) AS BIGINT) AS state_rows""",
+        ),
         "stream_search": _with(
             _search("FULL"),
             "SELECT placement_id, date, adults, children_ages, available, price, currency FROM search",
@@ -588,5 +646,7 @@ def oracle_sql() -> dict[str, str]:
     queries["stay_totals_stored"] = queries["stay_totals_open_delta"] = queries["stay_totals"]
     queries["search_refresh_beside_stream"] = queries["search_refresh"]
     queries["latest_across_partitions"] = queries["stream_replay"] = queries["stream_latest_availability"]
+    queries["search_backfill_variants"] = queries["search_refresh"]
+    queries["stream_state_latest"] = queries["stream_latest_availability"]
     queries["ingest_changes"] = queries["range_upsert"]
     return {name: _at_edge(sql, *EDGE.get(name, ("date", "price"))) for name, sql in queries.items()}

@@ -80,18 +80,15 @@ def build_search_from_feeds(
     return fan_out(latest_by_key(days, DAY_KEY, "version", keep_version=True), variants, size)
 
 
-def recompute_days(
-    touched: DataFrame, availability: DataFrame, prices: DataFrame, variants: DataFrame, size: int | None = None
-) -> DataFrame:
-    """Search rows of the touched (placement, date) keys.
+def recompute_days(touched: DataFrame, availability: DataFrame, prices: DataFrame) -> DataFrame:
+    """State of the touched (placement, date) keys.
 
     ``availability`` and ``prices`` hold few rows per key, the latest among them, and are cut
-    down to what was touched before they are collapsed. ``variants`` holds each once and takes
-    ``size`` bytes on disk.
+    down to what was touched before they are collapsed.
     """
 
     def current(rows: DataFrame) -> DataFrame:
         hit = rows.join(touched, DAY_KEY, "left_semi")
         return latest_by_key(hit, DAY_KEY, "version", keep_version=True)
 
-    return build_search(variants, current(availability), current(prices), "full", size)
+    return day_state(current(availability), current(prices), "full")

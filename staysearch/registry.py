@@ -16,7 +16,7 @@ from staysearch.operators import changes as ch
 from staysearch.operators.latest import latest_by_key
 from staysearch.operators.rekey import first_placements, rekey_to_placement
 from staysearch.plans import hotels as hp
-from staysearch.plans import jobs, reports, search, stays
+from staysearch.plans import jobs, reports, search, stays, totals
 from staysearch.schemas import AVAILABILITY, DAY_KEY, PRICES, SEARCH_KEY, VARIANT_KEY, VARIANTS
 from staysearch.session import work_dir
 from staysearch.sources import cdc, demo, tabular
@@ -111,13 +111,13 @@ def _loaded(inv: Inventory, label: str) -> Store:
 
 @register
 def compact_equivalence(inv: Inventory) -> DataFrame:
-    """Appends with compactions in between read like the plain latest rows."""
+    """Appends with folds in between read like the plain latest rows."""
     table = _store(inv, "compact").availability
     log = _numbered(inv.availability_log)
     table.append(log.where(F.col("date") < FROM), "early")
-    table.compact()
+    table.fold()
     table.append(log.where(F.col("date") >= "1996-12-01"), "late")
-    table.compact()
+    table.fold()
     return _ms(table.latest()).drop("version")
 
 
@@ -126,19 +126,19 @@ def compact_equivalence(inv: Inventory) -> DataFrame:
 
 @register
 def decode_availability_events(inv: Inventory) -> DataFrame:
-    rows = cdc.usable(cdc.decode_availability(cdc.unwrap(inv.records("availability", ordered=False))))
+    rows = cdc.usable(cdc.decoded(inv.records("availability", ordered=False), "availability"))
     return rows.select(*DAY_KEY, "available")
 
 
 @register
 def decode_price_events(inv: Inventory) -> DataFrame:
-    rows = cdc.usable(cdc.decode_prices(cdc.unwrap(inv.records("prices_by_day", ordered=False))))
+    rows = cdc.usable(cdc.decoded(inv.records("prices_by_day", ordered=False), "prices_by_day"))
     return rows.select(*DAY_KEY, "price", "currency")
 
 
 @register
 def decode_variant_events(inv: Inventory) -> DataFrame:
-    return cdc.usable(cdc.decode_variants(cdc.unwrap(inv.records("placement_variants", ordered=False)))).select(*VARIANT_KEY)
+    return cdc.usable(cdc.decoded(inv.records("placement_variants", ordered=False), "placement_variants")).select(*VARIANT_KEY)
 
 
 @register
@@ -193,8 +193,8 @@ def event_quarantine(inv: Inventory) -> DataFrame:
 
 def _quarantine(inv: Inventory) -> DataFrame:
     parts = [
-        cdc.quarantined(decode(cdc.unwrap(inv.records(topic, ordered=False))))
-        for topic, decode in cdc.DECODERS.items()
+        cdc.quarantined(cdc.decoded(inv.records(topic, ordered=False), topic))
+        for topic in cdc.DECODERS
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -280,6 +280,32 @@ def search_refresh_partial(inv: Inventory) -> DataFrame:
     return _ms(store.search.latest()).select(*SEARCH_COLUMNS)
 
 
+@register
+def search_refresh_ranges(inv: Inventory) -> DataFrame:
+    """Every accepted availability change's range, rebuilt in one pass."""
+    store = _loaded(inv, "ranges")
+    wanted = _changes(inv, "availability").select(
+        "placement_id",
+        F.coalesce("date", "date_from").alias("date_from"),
+        F.coalesce("date", "date_to").alias("date_to"),
+    )
+    jobs.refresh_search_ranges(store, wanted, "ranges")
+    return _ms(store.search.latest()).select(*SEARCH_COLUMNS)
+
+
+@register
+def search_backfill_variants(inv: Inventory) -> DataFrame:
+    """Variants of three and four adults come after the rebuild; their days follow."""
+    store = _store(inv, "backfill")
+    store.availability.append(_numbered(inv.availability_log), "load")
+    store.prices.append(_numbered(inv.price_log.withColumn("currency", wire_currency(F.col("currency")))), "load")
+    variants = inv.variants.withColumn("updated_at", F.lit("1995-01-01").cast("timestamp"))
+    jobs.sync_variants(store, variants.where("adults < 3"), "load")
+    jobs.refresh_search(store)
+    jobs.add_variants(store, variants, "more")
+    return _ms(store.search.latest()).select(*SEARCH_COLUMNS)
+
+
 @register
 def search_incremental(inv: Inventory) -> DataFrame:
     return _ms(_search(inv, "full")).select(*SEARCH_COLUMNS)
@@ -358,7 +384,7 @@ def stay_totals_stored(inv: Inventory) -> DataFrame:
 
 @register
 def stay_totals_open_delta(inv: Inventory) -> DataFrame:
-    """The same with an append that no base holds yet."""
+    """The same with an append that is not folded yet."""
     store = _loaded(inv, "open")
     jobs.refresh_search(store)
     jobs.refresh_search_part(store, PLACEMENT, FROM, TO, "part")
@@ -428,6 +454,14 @@ def stay_requests_batch(inv: Inventory) -> DataFrame:
     return stays.stay_requests(_search(inv), stays.valid_stays(stays.checked_stays(inv.stay_requests)))
 
 
+@register
+def stay_totals_requests(inv: Inventory) -> DataFrame:
+    """Totals of all valid requests at once, from running sums."""
+    valid = stays.valid_stays(stays.checked_stays(inv.stay_requests))
+    days = search.day_state(*_versioned(inv), "left")
+    return totals.stay_totals_requests(days, inv.variants, valid)
+
+
 @register
 def rejected_stays(inv: Inventory) -> DataFrame:
     return stays.rejected_stays(stays.checked_stays(inv.stay_requests, inv.placements))
@@ -510,6 +544,36 @@ def reconciliation(inv: Inventory) -> DataFrame:
     return counts.select("entity", *shown)
 
 
+@register
+def content_differences(inv: Inventory) -> DataFrame:
+    """Prices of the source against a copy with a month's changes, gaps and surplus rows."""
+    source = inv.prices.select(*DAY_KEY, "price", "currency")
+    month = F.trunc("date", "MM") == F.lit(FROM)
+    changed = F.when(month & (F.col("placement_id") % 7 == 0), F.col("price") + 1).otherwise(F.col("price"))
+    copy = source.withColumn("price", changed.cast("decimal(12,2)"))
+    copy = copy.where(~(month & (F.col("placement_id") % 7 == 1)))
+    surplus = source.where(month & (F.col("placement_id") % 7 == 2)).withColumn("placement_id", -F.col("placement_id"))
+    return reports.content_differences(source, copy.unionByName(surplus), DAY_KEY)
+
+
+@register
+def unique_placements(inv: Inventory) -> DataFrame:
+    """Placements a year and in all: exact, and whether the merged sketches come near."""
+    year = F.year("date").cast("bigint")
+    sketches = reports.placement_sketches(inv.availability, year)
+    by_year = sketches.select("period", F.hll_sketch_estimate("sketch").alias("sketched"))
+    whole = reports.placements_in(sketches).select(F.lit(0).cast("bigint").alias("period"), F.col("placements").alias("sketched"))
+    exact = inv.availability.groupBy(year.alias("period")).agg(F.count_distinct("placement_id").alias("placements"))
+    exact = exact.unionByName(inv.availability.agg(F.lit(0).cast("bigint").alias("period"), F.count_distinct("placement_id").alias("placements")))
+    near = F.abs(F.col("sketched") - F.col("placements")) <= F.greatest(F.lit(1), 0.06 * F.col("placements"))
+    return by_year.unionByName(whole).join(exact, "period").select("period", "placements", near.alias("near"))
+
+
+@register
+def diagnosis(inv: Inventory) -> DataFrame:
+    return reports.diagnosis(inv.variants, inv.availability, _search(inv))
+
+
 @register
 def variant_profile(inv: Inventory) -> DataFrame:
     return reports.variant_profile(inv.variants)
@@ -687,7 +751,8 @@ def repair_counts(inv: Inventory) -> DataFrame:
 
 # -- streams ---------------------------------------------------------------------
 
-FILES = 4
+# A topic's messages lie in so many files; a micro-batch takes as many as it has partitions.
+FILES, FILES_A_BATCH = 16, 4
 
 
 def _feed(inv: Inventory, records: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -695,7 +760,7 @@ def _feed(inv: Inventory, records: DataFrame, path: str, mode: str = "errorifexi
 
 
 def _topic(inv: Inventory, topic: str, path: str) -> DataFrame:
-    return read_topic(inv.spark, topic, path, "json", streaming=True, maxFilesPerTrigger="1")
+    return read_topic(inv.spark, topic, path, "json", streaming=True, maxFilesPerTrigger=str(FILES_A_BATCH))
 
 
 def _run_final(inv: Inventory, store: Store, topic: str, feed: str, checkpoint: str) -> None:
@@ -767,9 +832,75 @@ def stream_replay(inv: Inventory) -> DataFrame:
     return store.availability.latest().select(*DAY_KEY, "available")
 
 
+@register
+def stream_redefine(inv: Inventory) -> DataFrame:
+    """A stream that is stopped and goes on, from its checkpoint, with another decoder."""
+    store = _store(inv, "redefine")
+    feed, checkpoint = f"{store.root}/feed", f"{store.root}/checkpoint"
+    early = F.col("date") < FROM
+
+    def marked(records: DataFrame, topic: str, generation: int) -> DataFrame:
+        rows = cdc.decoded(records, topic, generation)
+        return rows.withColumn("currency", F.lower("currency"))
+
+    for wanted, decode in ((early, cdc.decoded), (~early, marked)):
+        _feed(inv, inv.price_records(wanted), feed, "append")
+        pipeline.start_final_stream(
+            store, _topic(inv, "prices_by_day", feed), "prices_by_day", checkpoint, "prices", available_now=True, decode=decode
+        ).awaitTermination()
+    return store.prices.log().groupBy(*DAY_KEY, "currency").agg(F.count("*").alias("changes"))
+
+
+def _with_rocksdb(inv: Inventory, run: Callable[[], None]) -> None:
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = inv.spark.conf.get(key)
+    inv.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run()
+    finally:
+        inv.spark.conf.set(key, before)
+
+
+@register
+def stream_state_latest(inv: Inventory) -> DataFrame:
+    """The latest availability kept by the stream itself; replays and old rows end there."""
+    store = _store(inv, "state")
+    _feed(inv, inv.records("availability"), f"{store.root}/feed")
+
+    def run() -> None:
+        pipeline.start_state_stream(
+            store, _topic(inv, "availability", f"{store.root}/feed"), "availability", f"{store.root}/checkpoint", "state", available_now=True
+        ).awaitTermination()
+
+    _with_rocksdb(inv, run)
+    return store.availability.latest().select(*DAY_KEY, "available")
+
+
+@register
+def stream_progress(inv: Inventory) -> DataFrame:
+    """What the progress log keeps of a stream: rows read, and keys in its state."""
+    store = _store(inv, "progress")
+    _feed(inv, inv.records("availability"), f"{store.root}/feed")
+    log = reports.ProgressLog(inv.spark, f"{store.root}/progress")
+    inv.spark.streams.addListener(log)
+
+    def run() -> None:
+        query = pipeline.start_state_stream(
+            store, _topic(inv, "availability", f"{store.root}/feed"), "availability", f"{store.root}/checkpoint", "progress", available_now=True
+        )
+        query.awaitTermination()
+        inv.spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+
+    try:
+        _with_rocksdb(inv, run)
+    finally:
+        inv.spark.streams.removeListener(log)
+    return log.rows().groupBy("name").agg(F.sum("input_rows").alias("input_rows"), F.max("state_rows").alias("state_rows"))
+
+
 @register
 def stream_search(inv: Inventory) -> DataFrame:
-    """Both topics through the search stream, folded into base files afterwards."""
+    """Both topics through the search stream, folded afterwards."""
     store = _store(inv, "stream-search")
     stamped = inv.variants.withColumn("updated_at", F.lit(None).cast("timestamp"))
     jobs.sync_variants(store, stamped, "load")

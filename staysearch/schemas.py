@@ -83,6 +83,9 @@ SEARCH = T.StructType(
     ]
 )
 
+# Availability and price of a placement's day, which its search rows share.
+DAY_STATE = T.StructType([f for f in SEARCH.fields if f.name not in ("adults", "children_ages")])
+
 QUARANTINE = T.StructType(
     [
         T.StructField("source", T.StringType()),

@@ -5,6 +5,8 @@ An event is decoded once, right after it is read; nothing downstream parses JSON
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,16 @@ from staysearch.schemas import MAX_ADULTS
 
 FIELDS = ["placement_id", "date", "available", "price", "currency", "adults", "children_ages"]
 
-# All fields are read as text: the wire carries numbers, quoted numbers and dates alike.
-_ROW = ", ".join(f"{field} STRING" for field in FIELDS)
 _MESSAGE = "schema STRING, payload STRING, _corrupt STRING"
-_AFTER = f"after STRUCT<{_ROW.replace(' STRING', ': STRING')}>"
-_PAYLOAD = f"{_ROW}, op STRING, {_AFTER}, _corrupt STRING"
-# The whole message at once, for payloads that are objects.
-_NESTED = (
-    f"payload STRUCT<{_ROW.replace(' STRING', ': STRING')}, op: STRING, {_AFTER.replace(' STRUCT', ': STRUCT')}>, "
-    "_corrupt STRING"
-)
+
+
+def _payload(fields: Sequence[str]) -> str:
+    """A payload's members. All are read as text: the wire carries numbers, quoted numbers and
+    dates alike."""
+    row = ", ".join(f"{field}: STRING" for field in fields)
+    return f"{row}, op: STRING, after: STRUCT<{row}>"
+
+
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 GENERATION_BITS = 48
@@ -70,44 +72,49 @@ def _once(parsed: Column) -> Column:
     return F.explode(F.array(parsed))
 
 
-def unwrap(records: DataFrame, generation: int = 0) -> DataFrame:
+def unwrap(records: DataFrame, generation: int = 0, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
     """After-image of every message: the fields as text, ``payload`` and ``corrupt``.
 
     Accepts flat payloads and before/after envelopes. Tombstones and deletes are
-    dropped, as deletes do not reach the analytic side.
+    dropped, as deletes do not reach the analytic side. A topic's own ``fields`` make the
+    parse shorter; the others are then NULL.
     """
     timestamp = F.col("timestamp") if "timestamp" in records.columns else None
+    # The whole message at once, for payloads that are objects.
+    nested = f"payload STRUCT<{_payload(fields)}>, _corrupt STRING"
     message = records.where(F.col("value").isNotNull()).select(
         "topic",
         "value",
         event_version(F.col("offset"), generation, timestamp).alias("version"),
-        _once(F.from_json("value", _NESTED, _OPTIONS)).alias("whole"),
+        _once(F.from_json("value", nested, _OPTIONS)).alias("whole"),
     )
     # Quoted payloads and messages that do not fit are parsed again, step by step.
     fits = F.col("whole").isNotNull() & F.col("whole._corrupt").isNull() & F.col("whole.payload").isNotNull()
     text = F.from_json("value", _MESSAGE, _OPTIONS)
-    parsed = message.select(
+    quoted = F.from_json(text["payload"], f"STRUCT<{_payload(fields)}, _corrupt: STRING>", _OPTIONS)
+    rows = message.select(
         "topic",
         "value",
         "version",
         fits.alias("fits"),
         F.when(fits, F.col("whole.payload")).alias("object"),
-        _once(F.when(~fits, text)).alias("message"),
+        _once(F.when(~fits, F.struct(text.alias("message"), quoted.alias("row")))).alias("odd"),
     )
-    rows = parsed.select(
-        "*",
-        _once(F.when(~F.col("fits"), F.from_json("message.payload", _PAYLOAD, _OPTIONS))).alias("row"),
+    live = rows.where(F.coalesce(F.col("object.op"), F.col("odd.row.op"), F.lit("")) != "d")
+    broken = (
+        F.col("odd.message").isNull()
+        | F.col("odd.message._corrupt").isNotNull()
+        | F.col("odd.row._corrupt").isNotNull()
     )
-    live = rows.where(F.coalesce(F.col("object.op"), F.col("row.op"), F.lit("")) != "d")
-    broken = F.col("message").isNull() | F.col("message._corrupt").isNotNull() | F.col("row._corrupt").isNotNull()
+    sides = ("object", "object.after", "odd.row", "odd.row.after")
     return live.select(
         "topic",
         "version",
         # Only quarantined rows show their payload; others never compute it.
-        F.coalesce(F.when(F.col("fits"), text["payload"]).otherwise(F.col("message.payload")), "value").alias("payload"),
+        F.coalesce(F.when(F.col("fits"), text["payload"]).otherwise(F.col("odd.message.payload")), "value").alias("payload"),
         (~F.col("fits") & F.coalesce(broken, F.lit(False))).alias("corrupt"),
         *[
-            F.coalesce(*[F.col(f"{side}.{f}") for side in ("object", "object.after", "row", "row.after")]).alias(f)
+            (F.coalesce(*[F.col(f"{side}.{f}") for side in sides]) if f in fields else F.lit(None).cast("string")).alias(f)
             for f in FIELDS
         ],
     )
@@ -163,6 +170,13 @@ def decode_variants(events: DataFrame) -> DataFrame:
     )
 
 
+# What each topic's payload has.
+TOPIC_FIELDS = {
+    "availability": ("placement_id", "date", "available"),
+    "prices_by_day": ("placement_id", "date", "price", "currency"),
+    "placement_variants": ("placement_id", "adults", "children_ages"),
+}
+
 DECODERS = {
     "availability": decode_availability,
     "prices_by_day": decode_prices,
@@ -170,6 +184,11 @@ DECODERS = {
 }
 
 
+def decoded(records: DataFrame, topic: str, generation: int = 0) -> DataFrame:
+    """A topic's messages as typed rows, with a ``reason`` for those that are not usable."""
+    return DECODERS[topic](unwrap(records, generation, TOPIC_FIELDS[topic]))
+
+
 def usable(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("reason").isNull()).drop("source", "payload", "reason")
 

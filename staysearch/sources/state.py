@@ -1,52 +1,82 @@
-"""Versioned tables on plain Parquet: an append log, read as the latest row per key.
+"""Versioned tables on plain Parquet: appended changes, read as the latest row per key.
 
 Layout under the table's folder::
 
-    delta=<id>/           one append, in period= folders; the same id again replaces it
-    base=<n>-<unique>/    collapsed rows, in period= and bucket= folders
-    commit=<n>.json       which base holds each period, which deltas are folded in
+    changes/batch=<id>/period=<p>/            one append; the same id again replaces it
+    rows=<n>-<kind>-<unique>-<layout>/        one row per key, in period= and bucket= folders
 
-A commit is one small file that is created only if no other job took its number, and it is
-the last write of a compaction or a reload: readers go from the old state to the new one
-without a gap, and of two jobs that race one starts over. A commit removes the deltas that
-the commit before it had folded, so names do not pile up.
+Every write is one Spark job into a folder of its own, which counts from the moment Spark marks
+it as finished. Of a period's rows the newest finished folder that has the period holds; a
+folder of kind ``all`` replaces whatever is older. Folding writes the periods that open changes
+touch into a new folder and then removes those changes; if it stops in between, folding them
+again gives the same rows. A table has one maintenance job at a time; appends may go on beside
+it, as a job folds only what it listed before it read anything.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from staysearch.operators.latest import latest_by_key
 
 # Digits of yyyymmdd that name a period.
 PERIODS = {"year": 4, "month": 6, "day": 8}
 UNDATED = 0
-# Open rows up to this many bytes on disk are broadcast to the base they change.
+# Open changes up to this many bytes on disk are broadcast to the rows they change.
 BROADCAST_BYTES = 16 << 20
-
-
-class Conflict(RuntimeError):
-    """Another job published a commit in the meantime."""
+# Rows that a file should hold at most, and that it is worth a task of its own for.
+FILE_ROWS, LEAST_ROWS = 2_000_000, 100_000
 
 
 @dataclass(frozen=True)
-class Commit:
+class Held:
+    """Which folder holds each period's rows; ``period`` and ``buckets`` of those folders."""
+
     number: int = 0
     period: str = "month"
     buckets: int = 1
-    bases: dict[int, str] = field(default_factory=dict)
-    folded: frozenset[str] = frozenset()
+    folders: dict[int, str] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Where touched (placement_id, date) keys lie: folders of a layout, first and last date."""
+
+    period: str
+    buckets: int
+    folders: frozenset[tuple[int, int]]
+    dates: tuple[date, date] | None
+
+
+def scopes(touched: DataFrame, tables: Sequence[VersionedTable]) -> list[Scope]:
+    """The scope of the touched keys in each table; tables of one layout share a job.
+
+    Calendar values and bucket numbers: short lists however many keys there are.
+    """
+    found: dict[tuple[str, int], Scope] = {}
+    for layout in {(t.period, t.buckets) for t in tables}:
+        period, buckets = layout
+        rows = (
+            touched.groupBy(
+                period_of(F.col("date"), period).alias("period"),
+                VersionedTable._bucket(F.col("placement_id"), buckets).alias("bucket"),
+            )
+            .agg(F.min("date").alias("first"), F.max("date").alias("last"))
+            .collect()
+        )
+        dates = (min(r["first"] for r in rows), max(r["last"] for r in rows)) if rows else None
+        found[layout] = Scope(period, buckets, frozenset((r["period"], r["bucket"]) for r in rows), dates)
+    return [found[(t.period, t.buckets)] for t in tables]
 
 
 def period_of(day: Column, period: str) -> Column:
@@ -54,17 +84,14 @@ def period_of(day: Column, period: str) -> Column:
     return F.floor(number / F.lit(10 ** (8 - PERIODS[period]))).cast("int")
 
 
-def periods_in(rows: DataFrame, period: str) -> list[int]:
-    """Periods of the rows: calendar values, so a short list however many rows there are."""
-    found = rows.select(period_of(F.col("date"), period).alias("period")).distinct().collect()
-    return [row.period for row in found]
-
-
 def period_number(day: date | str, period: str) -> int:
     return int(str(day).replace("-", "")[: PERIODS[period]])
 
 
 class VersionedTable:
+    """``changes`` and ``expand`` are for tables whose changes are kept in a shorter form:
+    ``changes`` is their schema and key, ``expand`` makes rows of their latest ones."""
+
     def __init__(
         self,
         spark: SparkSession,
@@ -73,6 +100,8 @@ class VersionedTable:
         keys: Sequence[str],
         period: str = "month",
         buckets: int = 1,
+        changes: tuple[T.StructType, Sequence[str]] | None = None,
+        expand: Callable[[DataFrame], DataFrame] | None = None,
     ) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
@@ -81,6 +110,9 @@ class VersionedTable:
         self.period = period
         self.buckets = buckets
         self.dated = "date" in schema.fieldNames()
+        self.change_schema, change_keys = changes or (schema, keys)
+        self.change_keys = list(change_keys)
+        self.expand = expand or (lambda rows: rows)
         folders = [T.StructField("period", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
         self._stored = T.StructType([*schema.fields, *folders])
 
@@ -90,39 +122,35 @@ class VersionedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _glob(self, pattern: str) -> list:
-        fs, path = self._fs(pattern)
-        return [status.getPath() for status in fs.globStatus(path) or []]
-
-    def _finished(self, prefix: str) -> list[str]:
-        """Names after ``prefix`` of the subfolders whose write finished."""
-        marks = self._glob(f"{prefix}*/_SUCCESS")
-        return sorted(mark.getParent().getName()[len(prefix) :] for mark in marks)
+    def _names(self, pattern: str) -> list[str]:
+        """Names of the finished folders that match."""
+        fs, path = self._fs(f"{pattern}/_SUCCESS")
+        return sorted(status.getPath().getParent().getName() for status in fs.globStatus(path) or [])
 
     def _periods_in(self, folder: str) -> list[int]:
-        return [int(p.getName()[len("period=") :]) for p in self._glob(f"{folder}/period=*")]
-
-    def commit(self) -> Commit:
-        """The newest commit; a file that is still being written is not one yet."""
-        numbers = [int(p.getName()[len("commit=") : -len(".json")]) for p in self._glob("commit=*.json")]
-        for number in sorted(numbers, reverse=True):
-            lines = self.spark.read.text(f"{self.path}/commit={number}.json").collect()
-            if lines and lines[-1].value == "end":
-                row = json.loads(lines[0].value)
-                bases = {int(period): base for period, base in row["bases"].items()}
-                return Commit(number, row["period"], row["buckets"], bases, frozenset(row["folded"]))
-        return Commit(period=self.period, buckets=self.buckets)
-
-    def deltas(self, commit: Commit | None = None) -> list[str]:
-        """Finished appends that no base holds yet."""
-        folded = (commit or self.commit()).folded
-        return [d for d in self._finished("delta=") if d not in folded]
+        fs, path = self._fs(f"{folder}/period=*")
+        return [int(status.getPath().getName()[len("period=") :]) for status in fs.globStatus(path) or []]
+
+    def held(self) -> Held:
+        """The folders in use. Folders of another layout than the newest whole one's are older."""
+        found = sorted((int(name[len("rows=") :].split("-")[0]), name) for name in self._names("rows=*"))
+        if not found:
+            return Held(period=self.period, buckets=self.buckets)
+        whole = max([i for i, (_, name) in enumerate(found) if name.split("-")[1] == "all"], default=0)
+        folders = {p: name for _, name in found[whole:] for p in self._periods_in(name)}
+        *_, period, buckets = found[-1][1].split("-")
+        return Held(found[-1][0], period, int(buckets), folders)
+
+    def batches(self) -> list[str]:
+        """Finished appends that are not folded yet."""
+        return [name[len("batch=") :] for name in self._names("changes/batch=*")]
 
     def stored_bytes(self) -> int:
         """Bytes on disk of what a read of the whole table opens."""
-        commit = self.commit()
-        folders = [f"base={b}" for b in set(commit.bases.values())] + [f"delta={d}" for d in self.deltas(commit)]
-        return self._bytes(folders)
+        return self._bytes(sorted(set(self.held().folders.values()))) + self._change_bytes(self.batches())
+
+    def _change_bytes(self, batches: Sequence[str]) -> int:
+        return self._bytes([f"changes/batch={b}" for b in batches])
 
     def _bytes(self, folders: Sequence[str]) -> int:
         total = 0
@@ -133,73 +161,72 @@ class VersionedTable:
 
     # -- reading ---------------------------------------------------------------
 
-    def _base_rows(
+    def _held_rows(
         self,
-        commit: Commit,
+        held: Held,
         periods: Sequence[int],
         placement_id: int | None = None,
         buckets: Sequence[int] | None = None,
     ) -> DataFrame | None:
-        """Rows of the given periods and buckets. Only the periods' folders are listed, and
-        only the buckets' are read."""
-        by_base: dict[str, list[int]] = {}
+        """Folded rows of the given periods and buckets. Only the periods' folders are listed,
+        and only the buckets' are read."""
+        by_folder: dict[str, list[int]] = {}
         for period in periods:
-            if period in commit.bases:
-                by_base.setdefault(commit.bases[period], []).append(period)
+            if period in held.folders:
+                by_folder.setdefault(held.folders[period], []).append(period)
         frames = []
-        for base, held in sorted(by_base.items()):
-            root = f"{self.path}/base={base}"
+        for folder, own in sorted(by_folder.items()):
+            root = f"{self.path}/{folder}"
             rows = (
                 self.spark.read.schema(self._stored)
                 .option("basePath", root)
-                .parquet(*[f"{root}/period={p}" for p in sorted(held)])
+                .parquet(*[f"{root}/period={p}" for p in sorted(own)])
             )
-            if placement_id is not None and commit.buckets > 1:
+            if placement_id is not None and held.buckets > 1:
                 key = F.lit(placement_id).cast("bigint")
-                rows = rows.where(F.col("bucket") == self._bucket(key, commit.buckets))
-            elif buckets is not None and len(buckets) < commit.buckets:
+                rows = rows.where(F.col("bucket") == self._bucket(key, held.buckets))
+            elif buckets is not None and len(buckets) < held.buckets:
                 rows = rows.where(F.col("bucket").isin(list(buckets)))
             frames.append(rows.select(*self.schema.fieldNames()))
         return reduce(DataFrame.unionByName, frames) if frames else None
 
-    def _delta_rows(self, deltas: Sequence[str], periods: tuple[int, int] | None = None) -> DataFrame | None:
-        """Rows of deltas; ``periods`` (of this table's own kind) leaves other folders unread."""
-        if not deltas:
+    def _changes(self, batches: Sequence[str], periods: tuple[int, int] | None = None) -> DataFrame | None:
+        """Appended changes; ``periods`` (of this table's own kind) leaves other folders unread."""
+        if not batches:
             return None
         folder = T.StructField("period", T.IntegerType())
         rows = (
-            self.spark.read.schema(T.StructType([*self.schema.fields, folder]))
-            .option("basePath", self.path)
-            .parquet(*[f"{self.path}/delta={d}" for d in deltas])
+            self.spark.read.schema(T.StructType([*self.change_schema.fields, folder]))
+            .option("basePath", f"{self.path}/changes")
+            .parquet(*[f"{self.path}/changes/batch={b}" for b in batches])
         )
         if periods is not None:
             rows = rows.where(F.col("period").between(*periods))
-        return rows.select(*self.schema.fieldNames())
+        return rows.select(*self.change_schema.fieldNames())
 
     def _parts(
         self, dates: tuple[date | str, date | str] | None, placement_id: int | None
     ) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
-        """Wanted base rows, wanted open rows, and the open deltas."""
-        commit = self.commit()
-        periods = list(commit.bases)
-        wanted = F.lit(True)
+        """Wanted folded rows, wanted open changes, and the open batches.
+
+        The batches are listed first: what is folded meanwhile is then read twice, not never.
+        """
+        batches, held = self.batches(), self.held()
+        periods = list(held.folders)
+        wanted, bounds = F.lit(True), None
         if dates is not None and self.dated:
-            first, last = (period_number(d, commit.period) for d in dates)
+            first, last = (period_number(d, held.period) for d in dates)
             periods = [p for p in periods if first <= p <= last]
+            bounds = tuple(period_number(d, self.period) for d in dates)
             low, high = (F.lit(str(d)).cast("date") for d in dates)
             wanted = wanted & F.col("date").between(low, high)
         if placement_id is not None:
             wanted = wanted & (F.col("placement_id") == placement_id)
-        base = self._base_rows(commit, periods, placement_id)
-        bounds = None
-        if dates is not None and self.dated:
-            bounds = tuple(period_number(d, self.period) for d in dates)
-        deltas = self.deltas(commit)
-        open_rows = self._delta_rows(deltas, bounds)
+        rows, changes = self._held_rows(held, periods, placement_id), self._changes(batches, bounds)
         return (
-            None if base is None else base.where(wanted),
-            None if open_rows is None else open_rows.where(wanted),
-            deltas,
+            None if rows is None else rows.where(wanted),
+            None if changes is None else changes.where(wanted),
+            batches,
         )
 
     def _empty(self) -> DataFrame:
@@ -209,151 +236,186 @@ class VersionedTable:
         self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
         """All stored rows, superseded ones included."""
-        parts = [p for p in self._parts(dates, placement_id)[:2] if p is not None]
+        rows, changes, _ = self._parts(dates, placement_id)
+        parts = [p for p in (rows, None if changes is None else self.expand(changes)) if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
-    def candidates(self, touched: DataFrame) -> DataFrame:
+    def candidates(self, scope: Scope) -> DataFrame:
         """Rows that can be the latest of their key, at least those of the touched
-        (placement_id, date) keys.
+        (placement_id, date) keys that ``scope`` describes.
 
-        Base files of periods and buckets that no touched key lies in are not read, nor are
-        row groups outside the touched dates. Open rows are collapsed, so that a key changed
-        very often holds two rows at most.
+        Files of periods and buckets that no touched key lies in are not read, nor are row
+        groups outside the touched dates. Changes are collapsed, so that a key changed very
+        often holds two rows at most.
         """
-        commit = self.commit()
-        # Calendar values and bucket numbers: short lists however many keys there are.
-        where = touched.select(
-            period_of(F.col("date"), commit.period).alias("period"),
-            self._bucket(F.col("placement_id"), commit.buckets).alias("bucket"),
-        ).distinct().collect()
-        first, last = touched.agg(F.min("date"), F.max("date")).first()
-        if first is None:
+        if scope.dates is None:
             return self._empty()
-        dates = F.col("date").between(F.lit(first), F.lit(last))
-        periods = sorted({r.period for r in where} & set(commit.bases))
-        base = self._base_rows(commit, periods, buckets=sorted({r.bucket for r in where}))
-        base = None if base is None else base.where(dates)
-        bounds = (period_number(first, self.period), period_number(last, self.period))
-        open_rows = self._delta_rows(self.deltas(commit), bounds)
-        open_rows = None if open_rows is None else open_rows.where(dates)
-        parts = [base, None if open_rows is None else self._collapsed(None, open_rows)]
+        batches, held = self.batches(), self.held()
+        dates = F.col("date").between(*[F.lit(d) for d in scope.dates])
+        inside = scope.folders if (held.period, held.buckets) == (scope.period, scope.buckets) else None
+        periods = [p for p in held.folders if inside is None or p in {period for period, _ in inside}]
+        rows = self._held_rows(held, periods, buckets=inside and sorted({bucket for _, bucket in inside}))
+        changes = self._changes(batches, tuple(period_number(d, self.period) for d in scope.dates))
+        parts = [
+            None if rows is None else rows.where(dates),
+            None if changes is None else self._opened(changes.where(dates)),
+        ]
         parts = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
 
     def latest(
         self, dates: tuple[date | str, date | str] | None = None, placement_id: int | None = None
     ) -> DataFrame:
-        """One row per key. Without open deltas this is a plain scan of the base files."""
-        base, open_rows, deltas = self._parts(dates, placement_id)
-        if open_rows is None:
-            return self._empty() if base is None else base
-        if base is None or self._bytes([f"delta={d}" for d in deltas]) > BROADCAST_BYTES:
-            return self._collapsed(base, open_rows)
-        # Few open rows: the base, one row a key already, is neither shuffled nor sorted
-        # except for the keys they change.
-        changed = F.broadcast(open_rows.select(*self.keys).distinct())
-        rest = base.join(changed, self.keys, "left_anti").select(*self.schema.fieldNames())
-        hit = base.join(changed, self.keys, "left_semi").select(*self.schema.fieldNames())
-        return rest.unionByName(self._collapsed(hit, open_rows))
-
-    def _collapsed(self, base: DataFrame | None, open_rows: DataFrame) -> DataFrame:
-        rows = open_rows if base is None else base.unionByName(open_rows)
-        kept = latest_by_key(rows, self.keys, "version", keep_version=True)
-        return kept.select(*self.schema.fieldNames())
+        """One row per key. Without open changes this is a plain scan of the folded files."""
+        rows, changes, batches = self._parts(dates, placement_id)
+        if changes is None:
+            return self._empty() if rows is None else rows
+        if rows is None:
+            return self._opened(changes)
+        return self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES)
+
+    def _opened(self, changes: DataFrame) -> DataFrame:
+        """Rows of the latest change of each key."""
+        kept = latest_by_key(changes, self.change_keys, "version", keep_version=True)
+        return self.expand(kept.select(*self.change_schema.fieldNames())).select(*self.schema.fieldNames())
+
+    def _merged(self, rows: DataFrame, changes: DataFrame, few: bool) -> DataFrame:
+        """Folded rows and changes, one row per key. Rows of unchanged keys pass by: with few
+        changes they are neither shuffled nor sorted."""
+        changed = changes.select(*self.change_keys).distinct()
+        changed = F.broadcast(changed) if few else changed
+        rest = rows.join(changed, self.change_keys, "left_anti").select(*self.schema.fieldNames())
+        hit = rows.join(changed, self.change_keys, "left_semi").select(*self.schema.fieldNames())
+        both = latest_by_key(hit.unionByName(self._opened(changes)), self.keys, "version", keep_version=True)
+        return rest.unionByName(both.select(*self.schema.fieldNames()))
 
     # -- writing ---------------------------------------------------------------
 
-    def append(self, rows: DataFrame, delta: str) -> None:
-        """Add rows as one delta. The same ``delta`` again replaces the earlier write."""
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Add changes as one batch. The same ``batch`` again replaces the earlier write."""
         period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
-        rows = rows.select(*self._columns()).withColumn("period", period)
+        rows = rows.select(*_typed(self.change_schema)).withColumn("period", period)
         if self.dated:
             rows = rows.hint("rebalance", F.col("period"))
-        rows.write.mode("overwrite").partitionBy("period").parquet(f"{self.path}/delta={delta}")
+        rows.write.mode("overwrite").partitionBy("period").parquet(f"{self.path}/changes/batch={batch}")
+
+    def _foldered(self, rows: DataFrame) -> DataFrame:
+        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
+        bucket = self._bucket(F.col("placement_id"), self.buckets)
+        return rows.withColumn("period", period).withColumn("bucket", bucket)
 
     def arrange(self, rows: DataFrame) -> DataFrame:
-        """Put rows into the folders and order of the base files.
+        """Put rows into the folders and order of the files.
 
-        ``rows`` only need the placement and date. Rebalancing sizes the files and
-        splits a folder that one hot placement fills.
+        Rebalancing sizes the files and splits a folder that one hot placement fills.
         """
-        period = period_of(F.col("date"), self.period) if self.dated else F.lit(UNDATED)
         order = [k for k in self.keys if k in rows.columns]
+        placed = self._foldered(rows).hint("rebalance", F.col("period"), F.col("bucket"))
+        return placed.sortWithinPartitions("period", "bucket", *order)
+
+    def arrange_weighted(self, rows: DataFrame, keys: DataFrame, weights: DataFrame) -> DataFrame:
+        """Put rows that a later step multiplies into files of equal size *after* that step.
+
+        ``weights`` (placement_id, weight) says how many rows each row of a placement becomes,
+        ``keys`` has the rows' placements and dates and is cheaper to read. Every folder is
+        cut into ranges of placements of equal weight, one task and file each. A placement
+        that is heavier than a file spreads over several, by date.
+        """
+        counted = (
+            self._foldered(keys.select("placement_id", "date"))
+            .groupBy("period", "bucket", "placement_id")
+            .agg(F.count("*").alias("n"))
+            .join(weights, "placement_id")
+            .select("period", "bucket", "placement_id", (F.col("n") * F.col("weight")).alias("w"))
+        )
+        counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+        total = counted.agg(F.sum("w")).first()[0] or 0
+        tasks = self.spark.sparkContext.defaultParallelism
+        size = max(LEAST_ROWS, min(FILE_ROWS, -(-total // (2 * tasks))))
+        upto = F.sum("w").over(Window.partitionBy("period", "bucket").orderBy("placement_id"))
+        whole = F.sum("w").over(Window.partitionBy("period", "bucket"))
+        # How many borders lie below a number of rows; the folder's end is none.
+        borders = lambda x: F.floor(F.least(x, whole - 1) / size)
+        cuts = (
+            counted.select("period", "bucket", "placement_id", (borders(upto) - borders(upto - F.col("w"))).alias("k"))
+            .groupBy("period", "bucket")
+            .agg(
+                F.array_sort(
+                    F.flatten(F.collect_list(F.array_repeat("placement_id", F.greatest("k", F.lit(0)).cast("int"))))
+                ).alias("cuts")
+            )
+        )
+        # One row a folder, one number a file.
+        first, table = 0, []
+        for row in cuts.orderBy("period", "bucket").collect():
+            table.append((row.period, row.bucket, first, row.cuts))
+            first += len(row.cuts) + 1
+        counted.unpersist()
+        if not table:
+            return self.arrange(rows)
+        where = self.spark.createDataFrame(table, "period int, bucket int, first int, cuts array<bigint>")
+        low = F.size(F.filter("cuts", lambda c: c < F.col("placement_id")))
+        high = F.size(F.filter("cuts", lambda c: c <= F.col("placement_id")))
+        part = F.col("first") + low + F.pmod(F.xxhash64("date"), high - low + 1)
+        order = [k for k in self.keys if k in rows.columns]
+        # Rows of placements without weight come to nothing; they may have no folder.
+        placed = self._foldered(rows).join(F.broadcast(where), ["period", "bucket"])
+        placed = placed.withColumn("part", part.cast("int")).drop("first", "cuts")
         return (
-            rows.withColumn("period", period)
-            .withColumn("bucket", self._bucket(F.col("placement_id"), self.buckets))
-            .hint("rebalance", F.col("period"), F.col("bucket"))
+            placed.repartitionById(first, F.col("part"))
             .sortWithinPartitions("period", "bucket", *order)
+            .drop("part")
         )
 
-    def replace(self, rows: DataFrame, arranged: bool = False, before: Commit | None = None, deltas: Sequence[str] | None = None) -> None:
+    def replace(self, rows: DataFrame, arranged: bool = False, batches: Sequence[str] | None = None) -> None:
         """Reload the table; ``rows`` must hold one row per key.
 
-        ``deltas`` are the appends that the rows are known to contain, and ``before`` the
-        commit, both listed before anything that the rows were made from was read. Later
-        appends stay open. ``arranged`` rows come from :meth:`arrange` through steps that keep
-        order and partitions, and are written as they are. Raises :class:`Conflict` if another
-        job published first.
+        ``batches`` are the appends that the rows are known to contain, listed before anything
+        that the rows were made from was read; later ones stay open. ``arranged`` rows come
+        from one of the arranging methods through steps that keep order and partitions, and
+        are written as they are.
         """
-        commit = before or self.commit()
-        deltas = self.deltas(commit) if deltas is None else deltas
-        bases = self._write_base(rows if arranged else self.arrange(rows), commit.number + 1)
-        self._publish(commit, bases, deltas)
-
-    def compact(self, attempts: int = 5) -> None:
-        """Fold the open deltas into the base files of the periods they touch."""
-        for attempt in range(attempts):
-            try:
-                return self._compact_once()
-            except Conflict:
-                if attempt == attempts - 1:
-                    raise
-
-    def _compact_once(self) -> None:
-        commit = self.commit()
-        deltas = self.deltas(commit)
-        if not deltas:
-            return
-        if (commit.period, commit.buckets) != (self.period, self.buckets):
-            self.replace(self.latest(), before=commit, deltas=deltas)
+        batches = self.batches() if batches is None else batches
+        self._write(rows if arranged else self.arrange(rows), "all")
+        self._drop(batches)
+
+    def fold(self) -> None:
+        """Rewrite the periods that open changes touch, changes included."""
+        batches = self.batches()
+        if not batches:
             return
-        changed = self._delta_rows(deltas)
-        touched = periods_in(changed, self.period) if self.dated else [UNDATED]
-        base = self._base_rows(commit, touched)
-        rows = self.arrange(self._collapsed(base, changed))
-        self._publish(commit, {**commit.bases, **self._write_base(rows, commit.number + 1)}, deltas)
+        held, changes = self.held(), self._changes(batches)
+        if (held.period, held.buckets) != (self.period, self.buckets):
+            return self.replace(self.latest(), batches=batches)
+        periods = self._periods_in("changes/batch=*")
+        rows = self._held_rows(held, sorted(set(periods)))
+        if rows is None:
+            arranged = self.arranged_changes(changes)
+        else:
+            arranged = self.arrange(self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES))
+        self._write(arranged, "part")
+        self._drop(batches)
+
+    def arranged_changes(self, changes: DataFrame) -> DataFrame:
+        return self.arrange(self._opened(changes))
+
+    def _write(self, arranged: DataFrame, kind: str) -> None:
+        fs, path = self._fs("rows=*")
+        numbers = [int(s.getPath().getName()[len("rows=") :].split("-")[0]) for s in fs.globStatus(path) or []]
+        name = f"rows={max(numbers, default=0) + 1:08d}-{kind}-{uuid.uuid4().hex[:8]}-{self.period}-{self.buckets}"
+        folders = [F.col("period"), F.col("bucket")]
+        rows = arranged.select(*_typed(self.schema), *folders)
+        rows.write.partitionBy("period", "bucket").parquet(f"{self.path}/{name}")
 
-    def _columns(self) -> list[Column]:
-        return [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+    def _drop(self, batches: Sequence[str]) -> None:
+        for batch in batches:
+            fs, path = self._fs(f"changes/batch={batch}")
+            fs.delete(path, True)
 
     @staticmethod
     def _bucket(placement_id: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(placement_id), F.lit(buckets)).cast("int")
 
-    def _write_base(self, arranged: DataFrame, number: int) -> dict[int, str]:
-        """Write base files under a name of their own and return the periods they hold."""
-        name = f"{number}-{uuid.uuid4().hex[:12]}"
-        folders = [F.col("period"), F.col("bucket")]
-        (
-            arranged.select(*self._columns(), *folders)
-            .write.partitionBy("period", "bucket")
-            .parquet(f"{self.path}/base={name}")
-        )
-        return {p: name for p in self._periods_in(f"base={name}")}
-
-    def _publish(self, before: Commit, bases: dict[int, str], folded: Sequence[str]) -> None:
-        """Create the next commit; then drop the deltas that ``before`` had folded."""
-        number = before.number + 1
-        row = {"period": self.period, "buckets": self.buckets, "bases": bases, "folded": sorted(folded)}
-        fs, path = self._fs(f"commit={number}.json")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as taken:
-            raise Conflict(f"commit {number} of {self.path} exists") from taken
-        out.write(bytearray(f"{json.dumps(row)}\nend\n".encode()))
-        out.close()
-        if self.commit().number != number:
-            raise Conflict(f"a later commit than {number} exists in {self.path}")
-        for delta in before.folded:
-            _, old = self._fs(f"delta={delta}")
-            fs.delete(old, True)
+
+def _typed(schema: T.StructType) -> list[Column]:
+    return [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]

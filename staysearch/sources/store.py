@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from staysearch.operators.joins import BROADCAST_BYTES
+from staysearch.operators.latest import latest_by_key
+from staysearch.plans.search import fan_out
 from staysearch.schemas import (
     AVAILABILITY,
     DAY_KEY,
+    DAY_STATE,
     PRICES,
     QUARANTINE,
     SEARCH,
@@ -17,6 +22,41 @@ from staysearch.schemas import (
 from staysearch.sources.state import VersionedTable
 
 
+class SearchTable(VersionedTable):
+    """The search rows. Changes are kept as days: they meet the variants when they are read or
+    folded, so that a batch of a stream writes a row a day, not one a day and variant."""
+
+    def __init__(self, store: Store, period: str, buckets: int) -> None:
+        super().__init__(
+            store.spark,
+            f"{store.root}/search_by_variant",
+            SEARCH,
+            SEARCH_KEY,
+            period=period,
+            buckets=buckets,
+            changes=(DAY_STATE, DAY_KEY),
+            expand=self._expanded,
+        )
+        self.variants = store.variants
+
+    def _expanded(self, days: DataFrame) -> DataFrame:
+        return fan_out(days, self.variants.latest(), self.variants.stored_bytes())
+
+    def multiplied(self, days: DataFrame, keys: DataFrame) -> DataFrame:
+        """Days in the order of the files, then times the variants: the multiplied rows are
+        neither shuffled nor sorted. The variants must be few enough to be broadcast; ``keys``
+        has the days' placements and dates."""
+        variants = self.variants.latest()
+        weights = variants.where(F.col("adults") > 0).groupBy("placement_id").agg(F.count("*").alias("weight"))
+        return fan_out(self.arrange_weighted(days, keys, weights), variants, self.variants.stored_bytes())
+
+    def arranged_changes(self, changes: DataFrame) -> DataFrame:
+        if self.variants.stored_bytes() > BROADCAST_BYTES:
+            return super().arranged_changes(changes)
+        days = latest_by_key(changes, DAY_KEY, "version", keep_version=True)
+        return self.multiplied(days, days)
+
+
 class Store:
     """Finals, the search table and the quarantine log.
 
@@ -34,13 +74,7 @@ class Store:
             spark, f"{self.root}/availability_final", AVAILABILITY, DAY_KEY, period=period, buckets=buckets
         )
         self.prices = VersionedTable(spark, f"{self.root}/prices_by_day_final", PRICES, DAY_KEY, period=period, buckets=buckets)
-        self.search = VersionedTable(
-            spark,
-            f"{self.root}/search_by_variant",
-            SEARCH,
-            SEARCH_KEY,
-            period=period, buckets=buckets,
-        )
+        self.search = SearchTable(self, period, buckets)
         self.quarantine = VersionedTable(spark, f"{self.root}/quarantine", QUARANTINE, [])
 
     def final(self, topic: str) -> VersionedTable:

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -9,7 +10,7 @@ from staysearch.bindings import Inventory
 from staysearch.operators import joins
 from staysearch.operators.latest import latest_by_key
 from staysearch.plans import hotels as hp
-from staysearch.plans import jobs, reports, search, stays
+from staysearch.plans import jobs, reports, search, stays, totals
 from staysearch.schemas import SEARCH_KEY
 from staysearch.sources import tabular
 from staysearch.sources.demo import demo_inventory
@@ -91,13 +92,21 @@ def test_refresh_without_broadcast_is_the_same(store, monkeypatch):
 
 
 def test_refresh_does_not_shuffle_multiplied_rows(store):
-    variants = store.variants.latest()
-    days = search.day_state(store.availability.latest(), store.prices.latest(), "left")
-    plan = search.fan_out(store.search.arrange(days), variants, store.variants.stored_bytes())
-    plan = plan._jdf.queryExecution().executedPlan().toString()
+    availability = store.availability.latest()
+    days = search.day_state(availability, store.prices.latest(), "left")
+    plan = store.search.multiplied(days, availability)._jdf.queryExecution().executedPlan().toString()
     top = plan.index("BroadcastHashJoin")
-    assert "REBALANCE" not in plan[:top] and "Sort" not in plan[:top]
-    assert "REBALANCE" in plan[top:]
+    assert "Exchange" not in plan[:top] and "Sort" not in plan[:top]
+    assert "Exchange" in plan[top:]
+
+
+def test_refresh_writes_with_many_tasks(store, monkeypatch):
+    """The files follow from the multiplied rows, not from the days that are shuffled."""
+    monkeypatch.setattr("staysearch.sources.state.LEAST_ROWS", 200)
+    jobs.refresh_search(store)
+    files = store.search.latest().inputFiles()
+    assert len(files) >= store.spark.sparkContext.defaultParallelism
+    assert len(content(store.search.latest())) == 3600
 
 
 def test_repeated_syncs_do_not_change_the_plan(store, demo):
@@ -109,41 +118,52 @@ def test_repeated_syncs_do_not_change_the_plan(store, demo):
 
 
 def test_a_batch_beside_the_rebuild_is_not_lost(store, demo):
-    """The batch lands after the rebuild read the finals, and before it publishes."""
+    """The batch lands after the rebuild read the finals, and before it is published."""
     jobs.refresh_search(store)
     day = store.availability.latest(placement_id=1).where(F.col("date") == FIRST)
     change = day.withColumn("available", F.lit(5).cast("smallint")).withColumn("version", F.lit(99).cast("bigint"))
     change = store.spark.createDataFrame(change.collect(), change.schema)
-    publish = store.search._publish
+    write = store.search._write
 
     def landing(*args):
-        store.search._publish = publish
+        store.search._write = write
+        write(*args)
         store.availability.append(change, "batch")
         store.prices.append(store.prices.latest().limit(0), "batch")
         pipeline.write_search(store, "batch")
-        return publish(*args)
 
-    store.search._publish = landing
+    store.search._write = landing
     jobs.refresh_search(store)
     got = store.search.latest(placement_id=1).where(F.col("date") == FIRST).select("available").distinct().collect()
     assert got == [(5,)]
 
 
-def test_racing_rebuilds_start_over(store):
-    """A compaction that publishes first makes the rebuild read everything again."""
-    jobs.refresh_search(store)
-    jobs.refresh_search_part(store, 1, FIRST, FIRST, "part")
-    publish, other = store.search._publish, Store(store.spark, store.root).search
+def test_ranges_are_merged_and_rebuilt_together(spark, store):
+    def ranges(*rows):
+        days = [(p, FIRST + timedelta(days=a), FIRST + timedelta(days=b)) for p, a, b in rows]
+        return spark.createDataFrame(days, "placement_id bigint, date_from date, date_to date")
+
+    wanted = ranges((1, 0, 4), (1, 3, 9), (1, 10, 12), (1, 20, 22), (2, 5, 5), (2, 5, 5), (3, 9, 2), (99, 0, 3))
+    merged = sorted((r.placement_id, (r.date_from - FIRST).days, (r.date_to - FIRST).days) for r in jobs.merged_ranges(wanted).collect())
+    assert merged == [(1, 0, 12), (1, 20, 22), (2, 5, 5), (99, 0, 3)]
+    jobs.refresh_search_ranges(store, wanted, "ranges")
+    found = store.search.latest().groupBy("placement_id").count().collect()
+    assert {r.placement_id: r["count"] for r in found} == {1: 16 * 20, 2: 20}
+    jobs.refresh_search_ranges(store, wanted.limit(0), "none")
+    assert store.search.latest().count() == 17 * 20
 
-    def landing(*args):
-        store.search._publish = publish
-        other.compact()
-        return publish(*args)
 
-    store.search._publish = landing
+def test_added_variants_equal_a_rebuild(store, demo):
     jobs.refresh_search(store)
-    assert store.search.commit().number == 3
-    assert len(content(store.search.latest())) == 3600
+    stamp = F.lit("2026-01-03").cast("timestamp")
+    more = demo.variants.where("placement_id < 3").withColumn("adults", F.lit(7).cast("smallint")).distinct()
+    everything = demo.variants.unionByName(more).withColumn("updated_at", stamp)
+    jobs.add_variants(store, everything, "more")
+    appended = store.spark.read.parquet(f"{store.search.path}/changes/batch=more")
+    assert {r.placement_id for r in appended.select("placement_id").distinct().collect()} == {1, 2}
+    found = content(store.search.latest())
+    jobs.refresh_search(store)
+    assert found == content(store.search.latest()) and len(found) == 3600 + 2 * 5 * 30
 
 
 def test_ingest_writes_what_it_accepts(spark, store, demo):
@@ -183,7 +203,7 @@ def test_open_rows_leave_the_base_unshuffled(store):
 
 
 def test_partial_refresh_prunes_inputs(store):
-    store.availability.compact()
+    store.availability.fold()
     rows = store.availability.latest((FIRST, FIRST + timedelta(days=3)), 2)
     plan = executed(rows)
     assert "EqualTo(placement_id,2)" in plan and "GreaterThanOrEqual(date,2026-01-01)" in plan
@@ -304,6 +324,32 @@ def test_batch_requests_equal_single_searches(spark, searchable):
     )
 
 
+def test_batch_totals_equal_single_totals(spark, demo, searchable):
+    """Stays over month ends, before, within and after the calendar, with and without placement."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        start = FIRST + timedelta(days=rng.randrange(-40, 60))
+        rows.append((i, rng.choice([None, 1, 2, 3, 99]), start, start + timedelta(days=rng.randrange(0, 45)), rng.choice([1, 2, 9]), rng.choice(["", "5,10"])))
+    requests = spark.createDataFrame(rows, "request_id INT, placement_id BIGINT, date_from DATE, date_to DATE, adults INT, children_ages STRING")
+    one = F.lit(1).cast("bigint")
+    stamp = F.lit("2026-01-01").cast("timestamp")
+    gaps = "NOT (placement_id = 2 AND day(date) BETWEEN 5 AND 20)"
+    finals = [df.where(gaps).withColumn("updated_at", stamp).withColumn("version", one) for df in (demo.availability, demo.prices)]
+    days = search.day_state(*finals, "left").withColumn("currency", F.when(F.col("date") > "2026-01-11", "EUR").otherwise("RUB"))
+    table = search.fan_out(days, demo.variants).cache()
+    batch = totals.stay_totals_requests(days, demo.variants, requests)
+    got = sorted(tuple(r) for r in batch.collect())
+    wanted = []
+    for i, placement, start, end, adults, ages in rows:
+        stay = stays.Stay(start, end, adults, ages, placement)
+        wanted += [(i, r.placement_id, r.total_price, r.available, r.currency, r.days_found) for r in stays.stay_totals(table, stay).collect()]
+    assert got == sorted(wanted) and len(got) > 15
+    assert totals.stay_totals_requests(days, demo.variants, requests.limit(0)).count() == 0
+    months = executed(totals.running_months(days, F.lit(FIRST), ["RUB"]))
+    assert "Generate" in months and "sequence(date_from" not in executed(batch)
+
+
 def test_calendar_shows_missing_prices(demo):
     prices = demo.prices.where("date > '2026-01-02'")
     rows = stays.calendar(demo.availability, prices, 1, FIRST, FIRST + timedelta(days=3)).collect()

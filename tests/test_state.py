@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staysearch.schemas import AVAILABILITY, DAY_KEY
-from staysearch.sources.state import Commit, Conflict, VersionedTable, period_number
+from staysearch.sources.state import VersionedTable, period_number
 
 FIRST = date(2026, 1, 1)
 
@@ -28,22 +28,22 @@ def table(request, spark, work):
 
 def test_empty_table(table):
     assert table.latest().count() == 0 and table.log().count() == 0
-    table.compact()
-    assert table.commit().number == 0
+    table.fold()
+    assert table.held().number == 0
 
 
-def test_reads_do_not_depend_on_compaction(spark, table):
+def test_reads_do_not_depend_on_folds(spark, table):
     table.append(rows(spark, (1, 0, 1, 1), (1, 0, 0, 2), (2, 40, 1, 1)), "a")
     wanted = {(1, 0): (0, 2), (2, 40): (1, 1)}
     assert state(table.latest()) == wanted
-    table.compact()
-    assert table.deltas() == [] and state(table.latest()) == wanted
+    table.fold()
+    assert table.batches() == [] and state(table.latest()) == wanted
     # An older version that comes late must not win.
     table.append(rows(spark, (1, 0, 1, 1), (3, 400, 1, 1), (2, 40, 0, 5)), "b")
     wanted |= {(3, 400): (1, 1), (2, 40): (0, 5)}
     assert state(table.latest()) == wanted
-    table.compact()
-    table.compact()
+    table.fold()
+    table.fold()
     assert state(table.latest()) == wanted
     assert table.log().count() == len(wanted)
 
@@ -57,7 +57,7 @@ def test_append_again_replaces(spark, table):
 def test_pruned_reads(spark, table):
     everything = rows(spark, *[(p, d, 1, 1) for p in range(1, 6) for d in range(0, 120, 3)])
     table.append(everything, "a")
-    table.compact()
+    table.fold()
     table.append(rows(spark, (2, 30, 0, 2)), "b")
     dates = (FIRST + timedelta(days=20), FIRST + timedelta(days=70))
     got = state(table.latest(dates, placement_id=2))
@@ -67,17 +67,17 @@ def test_pruned_reads(spark, table):
 def test_only_touched_periods_are_rewritten(spark, work):
     table = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY)
     table.append(rows(spark, (1, 0, 1, 1), (1, 40, 1, 1)), "a")
-    table.compact()
+    table.fold()
     table.append(rows(spark, (1, 41, 1, 2)), "b")
-    table.compact()
-    bases = table.commit().bases
-    assert bases[202601].startswith("1-") and bases[202602].startswith("2-")
+    table.fold()
+    folders = table.held().folders
+    assert folders[202601].startswith("rows=00000001-") and folders[202602].startswith("rows=00000002-")
     assert len(state(table.latest())) == 3
     files = table.latest((FIRST, FIRST)).inputFiles()
     assert files and all("period=202601" in f for f in files)
 
 
-def test_replace_supersedes_open_deltas(spark, table):
+def test_replace_supersedes_open_changes(spark, table):
     table.append(rows(spark, (1, 0, 1, 1)), "a")
     table.replace(rows(spark, (2, 0, 1, 7)))
     assert state(table.latest()) == {(2, 0): (1, 7)}
@@ -85,39 +85,48 @@ def test_replace_supersedes_open_deltas(spark, table):
     assert len(state(table.latest())) == 2
 
 
-def test_racing_compactions_keep_both(spark, work):
-    """A job that finds its commit taken starts over from the other's."""
-    one, other = (VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY) for _ in range(2))
-    one.append(rows(spark, (1, 0, 1, 1)), "a")
-    publish = one._publish
+def test_batches_that_land_during_a_fold_stay_open(spark, work):
+    table = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY)
+    table.append(rows(spark, (1, 0, 1, 1)), "a")
+    write = table._write
 
     def landing(*args):
-        one._publish = publish
-        other.append(rows(spark, (2, 0, 1, 1)), "b")
-        other.compact()
-        return publish(*args)
+        table.append(rows(spark, (1, 0, 0, 2), (2, 0, 1, 1)), "b")
+        return write(*args)
 
-    one._publish = landing
-    one.compact()
-    assert state(one.latest()) == {(1, 0): (1, 1), (2, 0): (1, 1)}
-    with pytest.raises(Conflict):
-        one.replace(rows(spark, (3, 0, 1, 1)), before=Commit(), deltas=[])
+    table._write = landing
+    table.fold()
+    assert table.batches() == ["b"]
+    assert state(table.latest()) == {(1, 0): (0, 2), (2, 0): (1, 1)}
 
 
-def test_folded_deltas_go_with_the_next_commit(spark, work):
+def test_a_fold_that_stops_before_it_drops_changes_can_run_again(spark, work):
+    table = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY)
+    table.append(rows(spark, (1, 0, 1, 1), (1, 40, 1, 1)), "a")
+    table.fold()
+    table.append(rows(spark, (1, 0, 0, 2)), "b")
+    drop, table._drop = table._drop, lambda batches: None
+    table.fold()
+    wanted = {(1, 0): (0, 2), (1, 40): (1, 1)}
+    assert table.batches() == ["b"] and state(table.latest()) == wanted
+    table._drop = drop
+    table.fold()
+    assert table.batches() == [] and state(table.latest()) == wanted
+
+
+def test_folded_changes_are_dropped(spark, work):
     table = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY)
-    for n in range(4):
+    for n in range(3):
         table.append(rows(spark, (n, 0, 1, 1)), f"d{n}")
-        table.compact()
-        assert table.commit().folded == {f"d{n}"}
-    assert {p.name for p in Path(table.path).glob("delta=*")} == {"delta=d3"}
-    assert len(state(table.latest())) == 4
+        table.fold()
+    assert not list(Path(table.path).glob("changes/batch=*"))
+    assert len(state(table.latest())) == 3
 
 
 def test_unfinished_writes_are_not_read(spark, table):
     table.append(rows(spark, (1, 0, 1, 1)), "a")
     table.append(rows(spark, (1, 0, 0, 2)), "torn")
-    (Path(table.path) / "delta=torn" / "_SUCCESS").unlink()
+    (Path(table.path) / "changes/batch=torn" / "_SUCCESS").unlink()
     assert state(table.latest()) == {(1, 0): (1, 1)}
     table.append(rows(spark, (1, 0, 0, 2)), "torn")
     assert state(table.latest()) == {(1, 0): (0, 2)}
@@ -126,12 +135,12 @@ def test_unfinished_writes_are_not_read(spark, table):
 def test_folders_can_change(spark, work):
     old = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY, period="month", buckets=1)
     old.append(rows(spark, (1, 0, 1, 1), (2, 50, 1, 1)), "a")
-    old.compact()
+    old.fold()
     new = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY, period="year", buckets=3)
     assert len(state(new.latest((FIRST, FIRST + timedelta(days=90)), 2))) == 1
     new.append(rows(spark, (3, 50, 1, 1)), "b")
-    new.compact()
-    assert set(new.commit().bases) == {2026} and len(state(new.latest())) == 3
+    new.fold()
+    assert set(new.held().folders) == {2026} and len(state(new.latest())) == 3
 
 
 def test_a_hot_placement_spreads_over_files(spark, work):
@@ -155,3 +164,24 @@ def test_a_hot_placement_spreads_over_files(spark, work):
 def test_period_numbers():
     day = date(2026, 3, 9)
     assert [period_number(day, p) for p in ("year", "month", "day")] == [2026, 202603, 20260309]
+
+
+def test_weighted_arrangement_evens_out_what_rows_become(spark, work, monkeypatch):
+    """One placement has most days, another most weight per day: files come out alike."""
+    monkeypatch.setattr("staysearch.sources.state.LEAST_ROWS", 1000)
+    monkeypatch.setattr("staysearch.sources.state.FILE_ROWS", 4000)
+    table = VersionedTable(spark, f"{work}/t", AVAILABILITY, DAY_KEY, period="year", buckets=2)
+    days = spark.createDataFrame(
+        [(p, FIRST + timedelta(days=d)) for p in range(1, 41) for d in range(700 if p == 7 else 60)],
+        "placement_id bigint, date date",
+    )
+    weights = spark.createDataFrame([(p, 200 if p == 9 else 0 if p == 11 else 5) for p in range(1, 41)], "placement_id bigint, weight bigint")
+    placed = table.arrange_weighted(days, days, weights.where("weight > 0"))
+    sizes = [
+        r["n"]
+        for r in placed.join(weights, "placement_id").groupBy(F.spark_partition_id().alias("p"), "period", "bucket")
+        .agg(F.sum("weight").alias("n")).collect()
+    ]
+    total = 37 * 60 * 5 + 700 * 5 + 60 * 200
+    assert sum(sizes) == total and max(sizes) <= 1.6 * 4000 and len(sizes) >= total / 4000
+    assert placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("period", "bucket").alias("n")).where("n > 1").count() == 0

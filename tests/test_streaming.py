@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staysearch.plans import jobs
-from staysearch.plans.reports import stream_progress
+from staysearch.plans.reports import ProgressLog, stream_progress
 from staysearch.plans.search import build_search
 from staysearch.schemas import RECORD, SEARCH_KEY
 from staysearch.sources import cdc
@@ -100,14 +100,14 @@ def test_replayed_batch_changes_nothing(spark, work):
     store = new_store(spark, work)
     run(store, work)
     before = content(store.search.latest()), store.quarantine_log().count()
-    deltas = store.availability.deltas()
+    deltas = store.availability.batches()
     # The same batches again, as after a crash between the writes and the checkpoint.
     again = pipeline.start_search_stream(
         store, source(spark, work), f"{work}/other-checkpoint", "search", available_now=True
     )
     again.awaitTermination()
     assert (content(store.search.latest()), store.quarantine_log().count()) == before
-    assert store.availability.deltas() == deltas
+    assert store.availability.batches() == deltas
 
 
 def test_restart_goes_on_where_it_stopped(spark, work):
@@ -122,16 +122,40 @@ def test_restart_goes_on_where_it_stopped(spark, work):
     assert content(store.search.latest()) == expected(spark, store)
 
 
-def test_a_new_variant_waits_for_a_refresh(spark, work):
+def test_a_new_variant_waits_for_its_backfill(spark, work):
+    """Folded days do not look for new variants; adding them brings their rows."""
     feed(spark, work)
     store = new_store(spark, work)
     run(store, work)
+    pipeline.maintain(store)
     rows = store.search.latest().count()
     extra = spark.createDataFrame([(1, 9, "")], "placement_id BIGINT, adults INT, children_ages STRING")
-    jobs.sync_variants(store, extra.withColumn("updated_at", F.lit(None).cast("timestamp")), "extra")
+    extra = extra.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    jobs.sync_variants(store, extra, "extra")
     assert store.search.latest().count() == rows
-    jobs.refresh_search_part(store, 1, DAY0, DAY0 + timedelta(days=60), "backfill")
-    assert store.search.latest().where("adults = 9").count() == store.availability.latest(placement_id=1).count()
+    extra = extra.withColumn("adults", F.lit(8))
+    jobs.add_variants(store, extra, "backfill")
+    assert store.search.latest().where("adults = 8").count() == store.availability.latest(placement_id=1).count()
+
+
+def test_state_stream_hands_on_the_latest(spark, work):
+    feed(spark, work, (2, 0, 3, 1))
+    store = Store(spark, f"{work}/store")
+    records = read_topic(spark, "availability", f"{work}/availability", "json", streaming=True, maxFilesPerTrigger="1")
+    log = ProgressLog(spark, f"{work}/progress")
+    spark.streams.addListener(log)
+    pipeline.start_state_stream(
+        store, records, "availability", f"{work}/cp", "state", available_now=True
+    ).awaitTermination()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(log)
+    rows = spark.createDataFrame(messages("availability", len("availability")), RECORD)
+    wanted = latest_by_key(cdc.usable(cdc.decoded(rows, "availability")), ["placement_id", "date"], "version")
+    found = store.availability.latest()
+    key = ["placement_id", "date", "available"]
+    assert sorted(map(tuple, found.select(*key).collect())) == sorted(map(tuple, wanted.select(*key).collect()))
+    assert store.availability.log().count() < 300
+    assert log.rows().agg(F.sum("input_rows"), F.max("state_rows")).first() == (300, wanted.count())
 
 
 def test_single_topic_stream(spark, work):
