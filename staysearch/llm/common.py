@@ -81,8 +81,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, wanted:
 
 
 def sampled(key: Column, share: float) -> Column:
-    """Whether a row belongs to a sample of this share, chosen by its key's hash."""
-    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 20)) < F.lit(int(min(share, 1) * (1 << 20)))
+    """Whether a row belongs to a sample of this share, chosen by its key's hash (63 bits)."""
+    if share >= 1:
+        return key.isNotNull()
+    return F.shiftrightunsigned(F.xxhash64(F.lit(17), key), 1) < F.lit(int(share * (1 << 63)))
 
 
 def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str = "text") -> DataFrame:

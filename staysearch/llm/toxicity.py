@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; everything else, whether someone labelled it or
-not, is unlabelled text. Linear classifiers are trained in numpy on the risk
+Confirmed toxic documents are the positives; all text, whether someone labelled it or not, and the
+positives among it, is the unlabelled side, so its risk is that of the whole population. Linear classifiers are trained in numpy on the risk
 
     prior * R(positive as toxic) + max(0, R(unlabelled as clean) - prior * R(positive as clean))
 
@@ -195,10 +195,12 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Toxicity:
     wanted = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & wanted)
     n, toxic = usable.selectExpr("count(*)", "count_if(toxic = 1)").first()
-    total = docs.count()
+    total = id_text(docs).where(wanted).count()
     rows = _feature_rows(labelled(docs, labels.where("toxic = 1"), "toxic", POSITIVES, wanted)).toArrow()
     free = id_text(docs).where(wanted & sampled(F.col("doc_id"), UNLABELLED / max(total, 1)))
     other = _feature_rows(free.select("text", F.lit(0).alias("y"))).toArrow()
+    if toxic and total and not other.num_rows:
+        raise RuntimeError(f"none of {total} unlabelled documents was chosen")
     none = Toxicity(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([-30.0]))
     if not toxic or rows.num_rows == 0 or other.num_rows == 0:
         return none
