@@ -2,8 +2,9 @@
 
 A block of texts is one byte array with offsets. Words are maximal runs of bytes other
 than 0x20 and 0x09-0x0D, so they never break a UTF-8 sequence. Strings are identified by
-64-bit fingerprints: random byte values weighted by powers of an odd base, taken modulo
-2**64 from prefix sums, then mixed with the length.
+64-bit fingerprints: two polynomials of random byte values modulo the prime 2**31 - 1, each in
+a random base, taken from prefix sums, then mixed with the length. (A polynomial modulo a power
+of two would give some strings the same value in every base.)
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15
-VALUES = np.random.Generator(np.random.PCG64(20250101)).integers(1, 2**64, 256, dtype=np.uint64)
+PRIME = (1 << 31) - 1
+BASES = tuple(int(x) for x in np.random.Generator(np.random.PCG64(20250101)).integers(1 << 20, PRIME - 1, 2))
+VALUES = np.random.Generator(np.random.PCG64(20250103)).integers(1, PRIME, (2, 256), dtype=np.uint64)
 GRAM = np.random.Generator(np.random.PCG64(20250102)).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -30,33 +32,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 2**64)):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**63 modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for n positions at least."""
-    size = 1 << max(12, int(n).bit_length())
-    return _powers(size)
+def powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a base modulo the prime."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = reduced(out[:more] * np.uint64(pow(base, done, PRIME)))
+        done += more
+    return out
+
+
+@lru_cache(maxsize=1)
+def _block_powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    return tuple((powers(b, size).astype(np.uint32), powers(pow(b, -1, PRIME), size).astype(np.uint32)) for b in BASES)
+
+
+# Longer texts make tables of their own, which go when they are done.
+KEPT_POWERS = 1 << 21
 
 
 class Fingerprints:
     """Fingerprints of any spans of a block."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = VALUES):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:], dtype=np.uint64)
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        size = 1 << max(12, n.bit_length())
+        tables = _block_powers(size) if size <= KEPT_POWERS else _block_powers.__wrapped__(size)
+        self.parts = []
+        for values, (up, down) in zip(VALUES, tables, strict=True):
+            # Sums of fewer than 2**32 values below 2**31 fit.
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(reduced(values[data] * up[: n - 1]), out=sums[1:])
+            self.parts.append((sums, down))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mixed(raw + (ends - starts).astype(np.uint64) * GRAM[15])
+        low, high = (reduced(reduced(sums[ends] - sums[starts]) * down[starts]) for sums, down in self.parts)
+        return mixed((low | high << np.uint64(31)) + (ends - starts).astype(np.uint64) * GRAM[15])
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
