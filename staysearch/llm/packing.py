@@ -2,8 +2,8 @@
 
 Only lengths decide a packing, so the plan is made from the histogram of piece lengths, which
 has at most ``capacity`` entries however many pieces there are. Lengths are taken from the
-longest down; the gap that one leaves is filled exactly by a single length, a pair or a triple
-whose sum is the gap, as often as the counts allow. What has no complement is packed best fit
+longest down; the gap that one leaves is looked up in an index of the sums of single lengths,
+pairs and triples, and filled exactly as often as the counts allow. What has no complement is packed best fit
 decreasing, also by counts. The pieces then look their places up by (length, rank among the
 pieces of that length); ranks are counted in cells of bounded size, so a length that half of
 all pieces have is not numbered in one task.
@@ -31,6 +31,7 @@ from staysearch.llm.units import UnitEncoder
 CAPACITY = 2048
 END_ID = 0
 CELLS = 4096
+ENCODED_UNITS = 1000
 
 
 @lru_cache(maxsize=2)
@@ -44,10 +45,15 @@ def library_encoder(definition: str) -> UnitEncoder:
     tokenizer.no_padding()
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum())), lengths
+        flat, lengths = [np.zeros(0, np.int32)], []
+        # The library's results are large objects: a few units at a time.
+        for at in range(0, len(units), ENCODED_UNITS):
+            texts = [u.decode("utf-8", "replace") for u in units[at : at + ENCODED_UNITS]]
+            for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = e.ids
+                flat.append(np.array(ids, np.int32))
+                lengths.append(len(ids))
+        return np.concatenate(flat), np.array(lengths, np.int64)
 
     return UnitEncoder(encode)
 
@@ -82,33 +88,59 @@ def pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, with_ids:
     return id_text(docs).mapInArrow(step, schema)
 
 
-def _pair(counts: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two available lengths that sum up to ``total``; the longest possible one first."""
-    if total < 2:
+class SumIndex:
+    """Which available lengths add up to a sum: alone, in pairs and in triples.
+
+    For every sum the index points at the pair with the shortest member, and at the triple with
+    the longest member, that may still be available. Counts only fall while the index is used,
+    so a pointer only moves on: each pair is passed over once, however many gaps are asked for.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.tolist()
+        size = len(self.counts)
+        self.short = [1] * size  # of the pair for each sum
+        self.long = [size - 1] * size  # of the triple for each sum
+
+    def take(self, length: int, n: int) -> None:
+        self.counts[length] -= n
+
+    def _free(self, length: int, used: tuple[int, ...], times: int = 1) -> bool:
+        return self.counts[length] - used.count(length) >= times
+
+    def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        """Two lengths, the first the longest possible, beside the ``used`` ones."""
+        first = True
+        low = self.short[total]
+        while low <= total // 2:
+            high, times = total - low, 1 + (2 * low == total)
+            if self._free(low, used, times) and self._free(high, used, times):
+                return high, low
+            if first and self._free(low, (), times) and self._free(high, (), times):
+                first = False  # only the used ones are in its way
+            low += 1
+            if first:
+                self.short[total] = low
+        return None
+
+    def complement(self, gap: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill ``gap`` exactly, beside ``used``."""
+        if self._free(gap, used):
+            return (gap,)
+        if pair := self.pair(gap, used):
+            return pair
+        first = True
+        longest = min(self.long[gap], gap - 2)
+        while 3 * longest >= gap and longest > 0:
+            if self.counts[longest]:
+                if self._free(longest, used) and (pair := self.pair(gap - longest, (*used, longest))):
+                    return longest, *pair
+                if first and self.pair(gap - longest, ()):
+                    first = False
+            longest -= 1
+            if first:
+                self.long[gap] = longest
         return None
-    low = np.arange(1, total // 2 + 1)
-    fits = (counts[low] > 0) & (counts[total - low] > 0)
-    if total % 2 == 0:
-        fits[-1] = counts[total // 2] > 1
-    found = np.flatnonzero(fits)
-    return (total - int(low[found[0]]), int(low[found[0]])) if len(found) else None
-
-
-def _complement(counts: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that fill ``gap`` exactly."""
-    if counts[gap] > 0:
-        return [gap]
-    if pair := _pair(counts, gap):
-        return list(pair)
-    for longest in np.flatnonzero(counts[: gap - 1])[::-1].tolist():
-        if 3 * longest < gap:
-            break
-        counts[longest] -= 1
-        pair = _pair(counts, gap - longest)
-        counts[longest] += 1
-        if pair:
-            return [longest, *pair]
-    return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -120,20 +152,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     if counts[capacity]:
         patterns.append((int(counts[capacity]), [(capacity, 1)]))
         counts[capacity] = 0
+    index = SumIndex(counts)
     for length in range(capacity - 1, 0, -1):
-        while counts[length] > 0:
-            counts[length] -= 1
-            rest = _complement(counts, capacity - length)
-            counts[length] += 1
-            if not rest:
-                break
+        while index.counts[length] and (rest := index.complement(capacity - length, (length,))):
             items = [length, *rest]
             copies = [(x, items.count(x)) for x in sorted(set(items), reverse=True)]
-            times = min(int(counts[x]) // k for x, k in copies)
+            times = min(index.counts[x] // k for x, k in copies)
             for x, k in copies:
-                counts[x] -= k * times
+                index.take(x, k * times)
             patterns.append((times, copies))
-    return patterns + _best_fit(counts, capacity)
+    return patterns + _best_fit(np.array(index.counts, np.int64), capacity)
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
