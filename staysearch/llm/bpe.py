@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from staysearch.llm.common import id_text, text_blocks
+from staysearch.llm.common import freeing, id_text, text_blocks
 from staysearch.llm.units import UnitEncoder, gathered, letters
 
 # Fixed: the pre-tokenizer pattern of the byte-level vocabulary.
@@ -197,7 +197,7 @@ def encoded(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str
                     ["doc_id", "ids"],
                 )
 
-    return id_text(docs, doc_id, text).mapInArrow(step, "doc_id long, ids array<int>")
+    return id_text(docs, doc_id, text).mapInArrow(freeing(step), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, definition: str) -> DataFrame:
@@ -225,5 +225,5 @@ def round_trip(docs: DataFrame, definition: str) -> DataFrame:
                 )
 
     return id_text(docs).mapInArrow(
-        step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        freeing(step), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

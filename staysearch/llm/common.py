@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,7 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text: str
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at))))
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(freeing(step), docs.schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +132,43 @@ def blocks(offsets: np.ndarray, block_bytes: int = BLOCK_BYTES, rows: int = BLOC
         start = end
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    """glibc's function, where there is glibc."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except (OSError, TypeError):
+        return None
+
+
+def freed() -> None:
+    """Gives memory that this worker does not use back to the system.
+
+    Workers are kept from stage to stage; without this each holds the most that any stage took.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freeing(step: Step) -> Step:
+    """The step, with its memory given back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            freed()
+
+    return run
+
+
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, offsets, bytes) of each block of a text column."""
     offsets, data = text_buffers(column)
     for a, b in blocks(offsets):
         yield a, b, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+    freed()

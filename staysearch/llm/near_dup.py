@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import id_text, saved, text_blocks
+from staysearch.llm.common import freeing, id_text, saved, text_blocks
 from staysearch.llm.components import components
 from staysearch.llm.textbytes import GRAM, LOWER, Fingerprints, mixed, per_text, windows, words
 
@@ -129,7 +129,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
-    return id_text(docs).mapInArrow(step, schema)
+    return id_text(docs).mapInArrow(freeing(step), schema)
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -180,7 +180,7 @@ def likely(pairs: DataFrame, signature: DataFrame) -> DataFrame:
     joined = pairs.join(signature.selectExpr("rep AS a", "signature AS sa"), "a").join(
         signature.selectExpr("rep AS b", "signature AS sb"), "b"
     )
-    return joined.select("a", "b", "sa", "sb").mapInArrow(step, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(freeing(step), "a long, b long")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     [batch.column(0).slice(a, b - a), _lists(values.view(np.int64), sizes)], ["node", "shingles"]
                 )
 
-    return saved(texts.mapInArrow(step, "node long, shingles array<long>"), "shingles")
+    return saved(texts.mapInArrow(freeing(step), "node long, shingles array<long>"), "shingles")
 
 
 def similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -232,7 +232,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs.join(sets.selectExpr("node AS a", "shingles AS sa"), "a")
         .join(sets.selectExpr("node AS b", "shingles AS sb"), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(step, "a long, b long")
+        .mapInArrow(freeing(step), "a long, b long")
     )
 
 
@@ -353,12 +353,12 @@ def _across(docs: DataFrame, cells: DataFrame, signature: DataFrame) -> DataFram
     names = ["bucket", "band", "i", "j", "rep", "component", "signature"]
     key = "bucket long, band int, i long, j long"
     signed = _gathered(cells.join(signature.select("rep", "signature"), "rep"), "signature")
-    left = saved(signed.mapInArrow(narrowed, f"{key}, rep long, component long, signature binary"), "cells")
+    left = saved(signed.mapInArrow(freeing(narrowed), f"{key}, rep long, component long, signature binary"), "cells")
     sets = full_sets(docs, left.selectExpr("rep AS node"))
     whole = left.join(sets.withColumnRenamed("node", "rep"), "rep").selectExpr(
         "bucket", "band", "struct(i, j) AS cell", "rep", "component", "signature", "shingles"
     )
-    return _gathered(whole, "signature", "shingles").mapInArrow(joined, "a long, b long").where("a <> b").distinct()
+    return _gathered(whole, "signature", "shingles").mapInArrow(freeing(joined), "a long, b long").where("a <> b").distinct()
 
 
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import id_text, saved, text_blocks
+from staysearch.llm.common import freeing, id_text, saved, text_blocks
 from staysearch.llm.units import UnitEncoder
 
 CAPACITY = 2048
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, with_ids:
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return id_text(docs).mapInArrow(step, schema)
+    return id_text(docs).mapInArrow(freeing(step), schema)
 
 
 class SumIndex:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import fold, id_text, saved, text_blocks
+from staysearch.llm.common import fold, freeing, id_text, saved, text_blocks
 from staysearch.llm.quality_rules import SYMBOL, measures
 from staysearch.llm.textbytes import SPACE, Fingerprints, code_points, mixed, per_text, words
 from staysearch.llm.toxicity import with_verdict
@@ -99,7 +99,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return id_text(docs).mapInArrow(step, schema)
+    return id_text(docs).mapInArrow(freeing(step), schema)
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
             yield _as_rows(np.array(list(sums)), np.array(list(sums.values())))
 
     schema = "i int, sums array<double>"
-    parts = rows.mapInArrow(partial, schema).repartition(8, "i").mapInArrow(merged, schema)
+    parts = rows.mapInArrow(freeing(partial), schema).repartition(8, "i").mapInArrow(merged, schema)
     total = np.zeros((size, size + 1))
     for row in parts.collect():
         total[row.i] = row.sums
@@ -207,7 +207,7 @@ def fitted(stats: DataFrame, labels: DataFrame, wanted: Column) -> Quality:
 
     counted = (
         rows.where(calibrates)
-        .mapInArrow(scored, "bin long, y long")
+        .mapInArrow(freeing(scored), "bin long, y long")
         .groupBy("bin")
         .agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
         .collect()
@@ -226,4 +226,4 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array(model.scores(_rows(batch)))], ["doc_id", "score"])
 
-    return with_verdict(stats.mapInArrow(step, "doc_id long, score double"), FOLDS, HELD_OUT)
+    return with_verdict(stats.mapInArrow(freeing(step), "doc_id long, score double"), FOLDS, HELD_OUT)

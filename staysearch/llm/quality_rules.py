@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import id_text, kept_rows, labelled, text_blocks
+from staysearch.llm.common import freeing, id_text, kept_rows, labelled, text_blocks
 from staysearch.llm.textbytes import (
     GRAM,
     LOWER,
@@ -219,7 +219,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gram
                 )
 
     found = labelled(docs, labels, "quality", fit_rows, F.lit(True)).select("text", "label_id", "y")
-    rows = found.mapInArrow(step, "label_id long, y int, buckets array<short>, shares array<float>").toArrow()
+    rows = found.mapInArrow(freeing(step), "label_id long, y int, buckets array<short>, shares array<float>").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return GramModel(None)
@@ -272,7 +272,7 @@ def rule_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join(f"{name} long" for name in ("doc_id", *MEASURES))
-    return id_text(docs).mapInArrow(step, f"{schema}, base_failed boolean, probability double, kept boolean")
+    return id_text(docs).mapInArrow(freeing(step), f"{schema}, base_failed boolean, probability double, kept boolean")
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:

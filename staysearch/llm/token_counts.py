@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staysearch.llm.bpe import coder
-from staysearch.llm.common import saved, text_blocks
+from staysearch.llm.common import freeing, saved, text_blocks
 
 SPAN = 1024
 
@@ -34,7 +34,7 @@ def lengths(docs: DataFrame, definition: str) -> DataFrame:
                 length, n = np.unique(np.concatenate(counts), return_counts=True)
                 yield pa.record_batch([pa.array(length), pa.array(n.astype(np.int64))], ["length", "n_docs"])
 
-    return docs.select("text").mapInArrow(step, "length long, n_docs long")
+    return docs.select("text").mapInArrow(freeing(step), "length long, n_docs long")
 
 
 def histogram(docs: DataFrame, definition: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import fold, id_text, kept_rows, labelled, sampled, text_blocks
+from staysearch.llm.common import fold, freeing, id_text, kept_rows, labelled, sampled, text_blocks
 from staysearch.llm.textbytes import LOWER, Fingerprints, owners
 from staysearch.llm.units import letters
 
@@ -96,7 +96,7 @@ def _feature_rows(texts: DataFrame) -> DataFrame:
                     ["y", "buckets", "counts"],
                 )
 
-    return texts.select("text", "y").mapInArrow(step, "y int, buckets array<int>, counts array<int>")
+    return texts.select("text", "y").mapInArrow(freeing(step), "y int, buckets array<int>, counts array<int>")
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def _document_counts(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray,
         some = wanted[found[wanted] > 0]
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(found[some], n))], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(step, "bucket long, n long")
+    rows = texts.select("text").mapInArrow(freeing(step), "bucket long, n long")
     sums = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = (sums.column(name).to_numpy() for name in ("bucket", "n"))
     counts = np.zeros(BUCKETS)
@@ -241,7 +241,7 @@ def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
 
-    return with_verdict(id_text(docs).mapInArrow(step, "doc_id long, score double"), FOLDS, HELD_OUT)
+    return with_verdict(id_text(docs).mapInArrow(freeing(step), "doc_id long, score double"), FOLDS, HELD_OUT)
 
 
 def with_verdict(scored: DataFrame, folds: int, held_out: int) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import small_batches
+from staysearch.llm.common import freeing, small_batches
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": ASSISTANT}, ASSISTANT: {"u": USER}}
@@ -303,7 +303,7 @@ def reported(rows: DataFrame) -> DataFrame:
         if done:
             yield _table(done, REPORT)
 
-    return _arranged(rows).mapInArrow(step, REPORT)
+    return _arranged(rows).mapInArrow(freeing(step), REPORT)
 
 
 REPAIRED = "conv_id long, turn long, role string, text string"
@@ -334,7 +334,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     def numbered(now: Report, done: Iterator[tuple[str, str]]) -> list[tuple]:
         return [(now.conv_id, now.written - 1, role, text) for role, text in done]
 
-    return _arranged(rows).mapInArrow(step, REPAIRED)
+    return _arranged(rows).mapInArrow(freeing(step), REPAIRED)
 
 
 KINDS = {"long": pa.int64(), "string": pa.string()}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import saved
+from staysearch.llm.common import freeing, saved
 
 SCALE, SHIFT = 1024, 100_000
 LIMIT = 1 << 40
@@ -75,7 +75,7 @@ def sums(distinct: DataFrame, dim: int) -> tuple[int, np.ndarray]:
         if n:
             yield pa.record_batch([pa.array(np.arange(-1, dim)), pa.array(np.append(n, total))], ["cell", "value"])
 
-    rows = distinct.select("x", "weight").mapInArrow(step, "cell long, value long")
+    rows = distinct.select("x", "weight").mapInArrow(freeing(step), "cell long, value long")
     found = rows.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(dim + 1, np.int64)
     out[found.column("cell").to_numpy() + 1] = found.column("value").to_numpy()
@@ -116,7 +116,7 @@ def covariance(rows: DataFrame, dim: int, n: int, read) -> np.ndarray:
         if some:
             yield pa.record_batch([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["cell", "value"])
 
-    found = rows.mapInArrow(step, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    found = rows.mapInArrow(freeing(step), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(dim * dim)
     out[found.column("cell").to_numpy()] = found.column("value").to_numpy()
     out = out.reshape(dim, dim) / n
@@ -171,7 +171,7 @@ def whitened(distinct: DataFrame, fit: Whitening) -> DataFrame:
                 ["x", "weight", "white", "deviation"],
             )
 
-    return distinct.select("x", "weight").mapInArrow(step, "x array<long>, weight long, white array<double>, deviation long")
+    return distinct.select("x", "weight").mapInArrow(freeing(step), "x array<long>, weight long, white array<double>, deviation long")
 
 
 def identity_error(rows: DataFrame, fit: Whitening) -> float:
