@@ -7,7 +7,7 @@ pairs of higher rank, so a round may merge every occurrence at once.
 
 Nulls and empty texts have no ids. A special token's string in a text becomes its id, as the
 tokenizers library does by default. Decoding joins the tokens' bytes; bytes that are not
-UTF-8 become U+FFFD. A task's memory is a multiple of its block: 1 MB or the longest text.
+UTF-8 become U+FFFD. A task's memory is a multiple of its block: 256 KB or the longest text.
 """
 
 from __future__ import annotations

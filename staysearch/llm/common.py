@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from staysearch.session import work_dir, work_root
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BLOCK_ROWS = 2048
 # Rows that Spark sends to Python at a time. Texts and sets are wide: Spark's own 10 000 rows
 # would be tens of megabytes, held several times on both sides.

@@ -7,7 +7,7 @@ compared with fixed thresholds on the probability.
 
 Labels for fitting come from a sample of ``FIT_ROWS`` rows at most, chosen by hash of the id.
 Null texts count as empty; texts without words fail the base rules. Without labels of both
-kinds the model accepts everything. A task's memory is a multiple of a block: 1 MB or the
+kinds the model accepts everything. A task's memory is a multiple of a block: 256 KB or the
 longest text.
 """
 
