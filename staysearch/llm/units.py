@@ -16,7 +16,7 @@ import numpy as np
 
 from staysearch.llm.textbytes import Fingerprints, owners
 
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 72 << 20
 
 
 ASCII_LETTER = np.zeros(256, bool)
