@@ -10,15 +10,20 @@ unlabelled (the class prior) and kept from becoming negative. The prior is the s
 rows among the labels that may be learned from. Features are hashed letter runs and their
 beginnings, which generalise over inflected words.
 
-The samples that the steps learn from are bounded (``POSITIVES``, ``UNLABELLED``) and chosen by
-hash of the id; features are chosen by the document counts of all unlabelled text, and scoring
-reads every whole text in Arrow batches. Null and empty texts have no features and get the
-score of the bias. Without positives, every text scores 0.
+Features are chosen by the document counts of all unlabelled text. Steps are made on bounded samples
+(``POSITIVES`` labelled rows, ``UNLABELLED`` others, chosen by hash), but follow the risk of all
+unlabelled text: before each of ``PASSES`` turns, its slope at the present weights is summed over the
+partitions of all documents, and the turn's steps take the sample's slope plus the difference between
+the two at the turn's start (variance reduction). The weights of the least risk over all unlabelled
+text, measured so, are kept. Scoring reads every whole text in Arrow batches.
+
+Null and empty texts have no features and get the score of the bias. Repeated rows count as often as
+they occur in the counts and slopes, once in the sample. Without positives, every text scores 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staysearch.llm.common import fold, freeing, id_text, kept_rows, labelled, sampled, text_blocks
+from staysearch.llm.common import fold, freeing, id_text, kept_rows, labelled, sampled, saved, text_blocks
 from staysearch.llm.textbytes import LOWER, Fingerprints, owners
 from staysearch.llm.units import letters
 
@@ -38,6 +43,8 @@ SELECTED = 1500
 LEAST_POSITIVES, LEAST_RATIO, LEAST_EXCESS = 3, 2.0, 3.0
 MEMBERS = 3
 ROUNDS, RATE, DECAY = 300, 0.05, 2e-4
+PASSES, STEPS = 6, 60
+UNIT = 1 << 20
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -79,24 +86,24 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key // BUCKETS, key % BUCKETS, count
 
 
-def _feature_rows(texts: DataFrame) -> DataFrame:
-    """y and the buckets and counts of each text; the text itself is not carried on."""
+def _hit_rows(texts: DataFrame, chosen: np.ndarray, empty: bool) -> DataFrame:
+    """Each text's features among the ``chosen`` ones: their places there and their values.
+
+    ``empty`` says whether texts without any get a row.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, offsets, data in text_blocks(batch.column(0)):
                 text, bucket, count = features(offsets, data)
-                edges = pa.array(np.searchsorted(text, np.arange(b - a + 1)), pa.int32())
-                yield pa.record_batch(
-                    [
-                        batch.column(1).slice(a, b - a),
-                        pa.ListArray.from_arrays(edges, pa.array(bucket, pa.int32())),
-                        pa.ListArray.from_arrays(edges, pa.array(np.minimum(count, 100), pa.int32())),
-                    ],
-                    ["y", "buckets", "counts"],
-                )
+                at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1)
+                hit = chosen[at] == bucket
+                rows = np.arange(b - a) if empty else np.unique(text[hit])
+                edges = pa.array(np.append(np.searchsorted(text[hit], rows), hit.sum()), pa.int32())
+                columns = pa.array(at[hit], pa.int32()), pa.array(np.log1p(count[hit]), pa.float32())
+                yield pa.record_batch([pa.ListArray.from_arrays(edges, c) for c in columns], ["at", "value"])
 
-    return texts.select("text", "y").mapInArrow(freeing(step), "y int, buckets array<int>, counts array<int>")
+    return texts.select("text").mapInArrow(freeing(step), "at array<int>, value array<float>")
 
 
 @dataclass(frozen=True)
@@ -125,15 +132,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _selected(positive: list[np.ndarray], counts: np.ndarray, n: int) -> np.ndarray:
+def _selected(positive: np.ndarray, n_positive: int, counts: np.ndarray, n: int) -> np.ndarray:
     """Buckets whose share of the positives exceeds that of the unlabelled most clearly: by a
-    factor, and by standard deviations of a count at the unlabelled rate. ``counts`` has the
-    number of the ``n`` unlabelled documents with each bucket."""
-    p = np.bincount(np.concatenate(positive), minlength=BUCKETS).astype(float)
-    some = np.flatnonzero(p >= LEAST_POSITIVES)
-    rate_p, rate_u = (p[some] + 0.5) / (len(positive) + 1), (counts[some] + 0.5) / (n + 1)
-    expected = rate_u * len(positive)
-    excess = (p[some] - expected) / np.sqrt(expected)
+    factor, and by standard deviations of a count at the unlabelled rate. ``positive`` and
+    ``counts`` have the numbers of the ``n_positive`` and ``n`` documents with each bucket."""
+    some = np.flatnonzero(positive >= LEAST_POSITIVES)
+    rate_p, rate_u = (positive[some] + 0.5) / (n_positive + 1), (counts[some] + 0.5) / (n + 1)
+    expected = rate_u * n_positive
+    excess = (positive[some] - expected) / np.sqrt(expected)
     clear = (rate_p >= LEAST_RATIO * rate_u) & (excess >= LEAST_EXCESS)
     order = np.argsort(-excess[clear], kind="stable")[:SELECTED]
     return np.sort(some[clear][order])
@@ -162,75 +168,158 @@ def _document_counts(texts: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray,
     return counts, int(n[bucket < 0].sum())
 
 
-def train(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+def _slope(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Gradient of the mean of the sigmoids ``s`` of the rows."""
+    steep = (s * (1 - s)).astype(np.float32)
+    return np.append(x.T @ steep, steep.sum()) / len(x)
+
+
+def train(
+    x_p: np.ndarray,
+    x_u: np.ndarray,
+    prior: float,
+    seed: int,
+    start: tuple[np.ndarray, float] | None = None,
+    whole: tuple[np.ndarray, float] | None = None,
+    rounds: int = ROUNDS,
+    rate: float = RATE,
+) -> tuple[np.ndarray, float]:
     """One linear classifier by the non-negative risk with the sigmoid loss (Adam steps).
 
     Each member sees its own four fifths of the rows. If the clean class's risk estimate is
-    negative, the step ascends it instead.
+    negative, the step ascends it instead. ``whole`` has the slope and the mean of the sigmoids
+    of all unlabelled rows at ``start``; the sample's are shifted by what they differ there.
     """
     rng = np.random.default_rng(seed)
     x_p, x_u = (x[rng.random(len(x)) < 0.8] if len(x) > 50 else x for x in (x_p, x_u))
-    w, b = np.zeros(x_p.shape[1], np.float32), np.log(prior / (1 - prior))
+    w, b = start or (np.zeros(x_p.shape[1], np.float32), np.log(prior / (1 - prior)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-
-    def slope(x: np.ndarray, s: np.ndarray) -> np.ndarray:
-        # Gradient of the mean of the sigmoids.
-        steep = (s * (1 - s)).astype(np.float32)
-        return np.append(x.T @ steep, steep.sum()) / len(x)
-
-    for t in range(1, ROUNDS + 1):
+    tilt, lift = 0.0, 0.0
+    if whole:
+        s_u = _sigmoid(x_u @ w + b)
+        tilt, lift = whole[0] - _slope(x_u, s_u), whole[1] - s_u.mean()
+    for t in range(1, rounds + 1):
         s_p, s_u = _sigmoid(x_p @ w + b), _sigmoid(x_u @ w + b)
-        up_p, up_u = slope(x_p, s_p), slope(x_u, s_u)
+        up_p, up_u = _slope(x_p, s_p), _slope(x_u, s_u) + tilt
         part = up_u - prior * up_p
-        grad = part - prior * up_p if s_u.mean() >= prior * s_p.mean() else -part
+        grad = part - prior * up_p if s_u.mean() + lift >= prior * s_p.mean() else -part
         grad[:-1] += DECAY * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, float(b)
 
 
+def risk(x_p: np.ndarray, member: tuple[np.ndarray, float], mean: float, prior: float) -> float:
+    """The non-negative risk, given the mean of the sigmoids of all unlabelled rows."""
+    s_p = _sigmoid(x_p @ member[0] + member[1]).mean()
+    return prior * (1 - s_p) + max(0.0, mean - prior * s_p)
+
+
+def turned(
+    x_p: np.ndarray,
+    x_u: np.ndarray,
+    prior: float,
+    members: list[tuple[np.ndarray, float]],
+    slopes: Callable[[list[tuple[np.ndarray, float]]], list[tuple[np.ndarray, float]]],
+) -> list[tuple[np.ndarray, float]]:
+    """The members after ``PASSES`` turns; ``slopes`` measures them on all unlabelled rows.
+
+    Each turn starts from the member's least risk so far; one that does not lower it halves the rate.
+    """
+    best: list[tuple[float, tuple[np.ndarray, float], tuple[np.ndarray, float]] | None] = [None] * len(members)
+    rates = [RATE / 2] * len(members)
+    for turn in range(PASSES + 1):
+        for k, (member, whole) in enumerate(zip(members, slopes(members), strict=True)):
+            now = risk(x_p, member, whole[1], prior)
+            if best[k] is None or now < best[k][0]:
+                best[k] = now, member, whole
+            else:
+                rates[k] /= 2
+        if turn < PASSES:
+            members = [
+                train(x_p, x_u, prior, k, member, whole, STEPS, rates[k]) for k, (_, member, whole) in enumerate(best)
+            ]
+    return [member for _, member, _ in best]
+
+
+def whole_slopes(
+    hits: DataFrame, n: int, members: list[tuple[np.ndarray, float]]
+) -> list[tuple[np.ndarray, float]]:
+    """For each classifier the slope and mean of the sigmoids of all ``n`` texts.
+
+    ``hits`` has a row for each text with a feature; the others only have the bias. Sums are
+    made within tasks, then added as whole numbers of 2**-20, so their order does not matter.
+    """
+    weights, bias = np.array([w for w, _ in members]), np.array([b for _, b in members])
+    size = weights.shape[1]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((len(bias), size + 2)), 0
+        for batch in batches:
+            rows += batch.num_rows
+            places, values = batch.column(0), batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            at, value = places.flatten().to_numpy(), values.flatten().to_numpy()
+            for w, b, sums in zip(weights, bias, total, strict=True):
+                s = _sigmoid(np.bincount(row, w[at] * value, batch.num_rows) + b)
+                steep = s * (1 - s)
+                sums[:size] += np.bincount(at, value * steep[row], size)
+                sums[size] += steep.sum()
+                sums[size + 1] += s.sum()
+        parts = np.append(np.rint(total.ravel() * UNIT).astype(np.int64), rows)
+        some = np.flatnonzero(parts)
+        yield pa.record_batch([pa.array(some), pa.array(parts[some])], ["slot", "part"])
+
+    sums = hits.mapInArrow(freeing(step), "slot long, part long").groupBy("slot").agg(F.sum("part").alias("n")).toArrow()
+    flat = np.zeros(len(bias) * (size + 2) + 1)
+    flat[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
+    total, bare = flat[:-1].reshape(len(bias), size + 2) / UNIT, _sigmoid(bias)
+    rest = n - flat[-1]
+    total[:, size] += rest * bare * (1 - bare)
+    total[:, size + 1] += rest * bare
+    return [(sums[: size + 1] / n, float(sums[size + 1] / n)) for sums in total]
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """Learns from the labels outside the held-out fold and from unlabelled text."""
+    """Learns from the labels outside the held-out fold and from all text outside it."""
     wanted = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & wanted)
     n, toxic = usable.selectExpr("count(*)", "count_if(toxic = 1)").first()
-    total = id_text(docs).where(wanted).count()
-    rows = _feature_rows(labelled(docs, labels.where("toxic = 1"), "toxic", POSITIVES, wanted)).toArrow()
-    free = id_text(docs).where(wanted & sampled(F.col("doc_id"), UNLABELLED / max(total, 1)))
-    other = _feature_rows(free.select("text", F.lit(0).alias("y"))).toArrow()
-    if toxic and total and not other.num_rows:
-        raise RuntimeError(f"none of {total} unlabelled documents was chosen")
     none = Toxicity(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([-30.0]))
-    if not toxic or rows.num_rows == 0 or other.num_rows == 0:
+    if not toxic:
         return none
-    positive, unlabelled = (_lists(x, "buckets") for x in (rows, other))
-    often = np.flatnonzero(np.bincount(np.concatenate(positive), minlength=BUCKETS) >= LEAST_POSITIVES)
-    chosen = _selected(positive, *_document_counts(id_text(docs).where(wanted), often))
+    confirmed = labelled(docs, labels.where("toxic = 1"), "toxic", POSITIVES, wanted).select("text")
+    confirmed = saved(confirmed, "confirmed")
+    positive, n_positive = _document_counts(confirmed, np.arange(BUCKETS))
+    if not n_positive:
+        return none
+    texts = id_text(docs).where(wanted)
+    counts, total = _document_counts(texts, np.flatnonzero(positive >= LEAST_POSITIVES))
+    chosen = _selected(positive, n_positive, counts, total)
     if not len(chosen):
         return none
-    x_p, x_u = (
-        _matrix(buckets, _lists(x, "counts"), chosen) for buckets, x in ((positive, rows), (unlabelled, other))
-    )
+    # One row of each text of an id, so that a frequent row does not come to the driver as often.
+    key = F.xxhash64("doc_id", "text")
+    sample = texts.where(sampled(key, UNLABELLED / total)).groupBy(key).agg(F.first("text").alias("text"))
+    x_p, x_u = (_matrix(_hit_rows(x, chosen, True).toArrow(), len(chosen)) for x in (confirmed, sample))
+    if not len(x_u):
+        raise RuntimeError(f"none of {total} unlabelled documents was chosen")
     prior = min(max(toxic / n, 0.001), 0.9)
     members = [train(x_p, x_u, prior, seed) for seed in range(MEMBERS)]
+    hits = saved(_hit_rows(texts, chosen, False), "toxicity-hits")
+    members = turned(x_p, x_u, prior, members, lambda now: whole_slopes(hits, total, now))
     return Toxicity(chosen, np.array([w for w, _ in members]), np.array([b for _, b in members]))
 
 
-def _lists(rows: pa.Table, name: str) -> list[np.ndarray]:
-    column = rows.column(name).combine_chunks()
-    values = column.values.to_numpy()
-    edges = column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _matrix(buckets: list[np.ndarray], counts: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(buckets), len(chosen)), np.float32)
-    for row, (found, count) in enumerate(zip(buckets, counts, strict=True)):
-        at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
-        hit = chosen[at] == found
-        out[row, at[hit]] = np.log1p(count[hit])
-    return out
+def _matrix(rows: pa.Table, size: int) -> np.ndarray:
+    """Rows of places and values as a dense matrix, in an order that only depends on the rows."""
+    out = np.zeros((rows.num_rows, size), np.float32)
+    places, values = (rows.column(name).combine_chunks() for name in ("at", "value"))
+    lengths = places.value_lengths().to_numpy()
+    out[np.repeat(np.arange(rows.num_rows), lengths), places.flatten().to_numpy()] = values.flatten().to_numpy()
+    order = sorted(range(len(out)), key=lambda i: out[i].tobytes())
+    return out[order]
 
 
 def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -87,6 +87,69 @@ def test_non_negative_risk_learns_a_planted_word():
     assert (scores[:200] > 0).all() and (scores[200:] < 0).all()
 
 
+def one_pass(x, w, b):
+    s = 1 / (1 + np.exp(-(x @ w + b)))
+    return np.append(x.T @ (s * (1 - s)), (s * (1 - s)).sum()) / len(x), s.mean()
+
+
+def test_slopes_over_all_texts_equal_one_pass(spark):
+    texts = [t for _, t in tables.edge_texts()] * 3
+    docs = tables.documents(spark, list(enumerate(texts)))
+    chosen = toxicity.features(*next(text_blocks(pa.array([tables.sentence(1, 12)])))[2:])[1]
+    hits = toxicity._hit_rows(docs.repartition(5), chosen, False)
+    x = toxicity._matrix(toxicity._hit_rows(docs, chosen, True).toArrow(), len(chosen))
+    assert len(x) == len(texts) and 0 < hits.count() < len(texts)
+    rng = np.random.default_rng(5)
+    members = [(rng.normal(size=len(chosen)).astype(np.float32), b) for b in (-3.0, 0.5)]
+    for (slope, mean), (w, b) in zip(toxicity.whole_slopes(hits, len(texts), members), members, strict=True):
+        wanted = one_pass(x.astype(float), w, b)
+        np.testing.assert_allclose(slope, wanted[0], atol=1e-5)
+        assert abs(mean - wanted[1]) < 1e-5
+    # No text has a feature: only the bias is left.
+    (slope, mean), *_ = toxicity.whole_slopes(tables.empty(hits), 7, members[:1])
+    bare = 1 / (1 + np.exp(3))
+    np.testing.assert_allclose([*slope, mean], [0.0] * len(chosen) + [bare * (1 - bare), bare], atol=1e-12)
+
+
+@pytest.mark.parametrize("rare", [0.0, 0.05])
+def test_turns_follow_all_text_where_the_sample_differs(rare):
+    """The sample lacks a harmless word that half of all text and half of the positives have, or has
+    little of it; the turns lower the risk over all text."""
+    rng = np.random.default_rng(3)
+    x_p, everything = rng.random((300, 4)) * 0.1, rng.random((20000, 4)) * 0.1
+    x_p[:, 1], everything[:2000, 1] = 1, 1
+    x_p[:150, 2], everything[10000:, 2] = 1, 1
+    x_p, everything = x_p.astype(np.float32), everything.astype(np.float32)
+    common, prior = int(1000 * rare), 0.1
+    sample = np.concatenate([everything[:2000:20], everything[2000 : 2900 - common], everything[10000 : 10000 + common]])
+
+    def measured(member):
+        return toxicity.risk(x_p, member, one_pass(everything, *member)[1], prior)
+
+    start = toxicity.train(x_p, sample, prior, 0)
+    (member,) = toxicity.turned(x_p, sample, prior, [start], lambda now: [one_pass(everything, *m) for m in now])
+    best = toxicity.train(x_p, everything, prior, 0)
+    assert measured(best) < measured(start) - 0.005
+    assert measured(member) < measured(best) + 0.4 * (measured(start) - measured(best))
+    s_p, s_u = (1 / (1 + np.exp(-(x @ member[0] + member[1]))) for x in (x_p, everything))
+    by_hand = prior * (1 - s_p).mean() + max(0, s_u.mean() - prior * s_p.mean())
+    assert abs(measured(member) - by_hand) < 1e-5
+
+
+def test_toxicity_of_edge_rows(spark):
+    """Nulls, repeated rows, a hot id of many texts, empty tables."""
+    rows = [(i, tables.sentence(i, 30) + (" vilest" * 3 if i % 5 == 0 else "")) for i in range(200)]
+    hot = [(7, tables.sentence(1000 + k, 20)) for k in range(150)] + [(8, "the same row")] * 150
+    docs = tables.documents(spark, rows + hot + tables.edge_texts())
+    labels = tables.labels(spark, [(i, None, int(i % 5 == 0)) for i in range(200)] + [(None, 1, 1), (3, 1, None)])
+    found = toxicity.score_report(docs, labels).collect()
+    check_scores([r for r in found if r.doc_id is not None], docs.where("doc_id IS NOT NULL").count(), 5, 0)
+    got = {r.doc_id: r.predicted for r in found if r.doc_id is not None and r.doc_id >= 30}
+    assert got == {i: int(i % 5 == 0) for i in range(30, 200)}
+    assert toxicity.score_report(tables.empty(docs), labels).count() == 0
+    assert {r.score < 0.01 for r in toxicity.score_report(docs, tables.empty(labels)).collect()} == {True}
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     rows = quality_rff.score_report(docs, labels).collect()
