@@ -20,6 +20,7 @@ BLOCK_ROWS = 2048
 # Rows that Spark sends to Python at a time. Texts and sets are wide: Spark's own 10 000 rows
 # would be tens of megabytes, held several times on both sides.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -27,6 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
