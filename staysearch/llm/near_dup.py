@@ -364,9 +364,10 @@ def _across(docs: DataFrame, cells: DataFrame, signature: DataFrame) -> DataFram
 def links(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a and b of links that connect all components of the classes' smallest ids."""
     reps = saved(
-        rows.join(classes, ["d1", "d2", "n_shingles"])
-        .where(F.col("doc_id") == F.col("rep"))
-        .select("rep", "bands", "signature"),
+        # The id is a key, so that a group's copies and their signatures do not meet in one task.
+        rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2", "n_shingles"]).select(
+            F.col("doc_id").alias("rep"), "bands", "signature"
+        ),
         "representatives",
     )
     signature = reps.select("rep", "signature")
