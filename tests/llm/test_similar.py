@@ -265,3 +265,28 @@ def test_sql_twins(spark, sf_dir, name):
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search_report(df).count() == 0
+
+
+def test_regions_bound_their_scores_and_are_dropped(spark, monkeypatch):
+    """Distant clusters and one vector that half of the rows have: few shards are searched."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 400, (16, 8))
+    points = np.concatenate([np.repeat(centres, 20, axis=0) + rng.normal(0, 5, (320, 8)), np.repeat(centres[:1], 320, axis=0)])
+    known = topk.Regions.of(points[::2], 16)
+    region = known.place(points)
+    radii = np.array([np.sqrt(((points[region == r] - c) ** 2).sum(axis=1)).max(initial=0) for r, c in enumerate(known.centres)])
+    assert (points @ points.T <= known.reaches(points, radii)[:, region]).all()
+
+    sent = []
+    real = topk._elsewhere
+    monkeypatch.setattr(topk, "_elsewhere", lambda *given: sent.append((real(*given), given[1])) or sent[-1][0])
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points / 1024)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(df)
+    asked = vectors.where("vec_id % 100 = 0")
+    found = topk.top_k(vectors, asked, shard_rows=40)
+    assert {tuple(r) for r in found.collect()} == brute_top(rows)
+    pairs, shards = sent[0]
+    parts = shards.parts[8]
+    assert parts.max() >= 8
+    assert 0 < pairs.count() < asked.count() * (parts.sum() - 1) / 2
