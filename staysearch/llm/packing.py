@@ -45,15 +45,15 @@ def library_encoder(definition: str) -> UnitEncoder:
     tokenizer.no_padding()
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, lengths = [np.zeros(0, np.int32)], []
-        # The library's results are large objects: a few units at a time.
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        # Each unit of a list is normalized and encoded by itself, into one result that says which
+        # unit an id is of. Results are large objects: some units at a time.
         for at in range(0, len(units), ENCODED_UNITS):
             texts = [u.decode("utf-8", "replace") for u in units[at : at + ENCODED_UNITS]]
-            for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                ids = e.ids
-                flat.append(np.array(ids, np.int32))
-                lengths.append(len(ids))
-        return np.concatenate(flat), np.array(lengths, np.int64)
+            found = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(found.ids, np.int32))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts)))
+        return np.concatenate(flat), np.concatenate(lengths)
 
     return UnitEncoder(encode)
 
