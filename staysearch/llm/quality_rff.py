@@ -127,11 +127,13 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
     size = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total, any_rows = np.zeros((size, size + 1)), False
         for batch in batches:
+            any_rows |= batch.num_rows > 0
             z = kernel.features(_rows(batch))
             total += z.T @ np.column_stack([z, batch.column("y").to_numpy().astype(float)])
-        yield _as_rows(np.arange(size), total)
+        if any_rows:
+            yield _as_rows(np.arange(size), total)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -142,7 +144,7 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
             yield _as_rows(np.array(list(sums)), np.array(list(sums.values())))
 
     schema = "i int, sums array<double>"
-    parts = rows.mapInArrow(freeing(partial), schema).repartition(8, "i").mapInArrow(merged, schema)
+    parts = rows.mapInArrow(freeing(partial), schema).repartition("i").mapInArrow(merged, schema)
     total = np.zeros((size, size + 1))
     for row in parts.collect():
         total[row.i] = row.sums
