@@ -50,6 +50,20 @@ def latest_by_key(
     return _top(needed, keys, [F.col(c).desc() for c in order]).select(*keys, *values)
 
 
+def latest_in_parts(df: DataFrame, keys: Sequence[str], version: str, parts: int) -> DataFrame:
+    """:func:`latest_by_key`, versions kept, in tasks that hold about one of ``parts`` of the rows.
+
+    The plans above hold all rows (or all keys) of a map task's input at once, and stored rows
+    take a tenth of the bytes that they take in memory. Here rows are dealt out by key and
+    version before anything holds them, and what is left of them by key, so that memory does
+    not follow the size of the scan's tasks, and a key that holds much of the log reaches its
+    reducer as one row per part.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(version), F.lit(parts))).repartition(parts, *keys, "_part")
+    some = latest_by_key(dealt, [*keys, "_part"], version, keep_version=True).drop("_part")
+    return latest_by_key(some.repartition(parts, *keys), keys, version, keep_version=True)
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One whole row per key: the first in ``order``."""
     return _top(df, keys, [F.col(c) for c in order])

@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from staysearch.operators.latest import latest_by_key
+from staysearch.operators.latest import latest_by_key, latest_in_parts
 
 # Digits of yyyymmdd that name a period.
 PERIODS = {"year": 4, "month": 6, "day": 8}
 UNDATED = 0
 # Open changes up to this many bytes on disk are broadcast to the rows they change.
 BROADCAST_BYTES = 16 << 20
+# Open changes that a task should hold at once, in bytes on disk: some two million rows.
+TASK_BYTES = 16 << 20
 # Rows that a file should hold at most, and that it is worth a task of its own for.
 FILE_ROWS, LEAST_ROWS = 2_000_000, 100_000
 
@@ -149,14 +151,27 @@ class VersionedTable:
         """Bytes on disk of what a read of the whole table opens."""
         return self._bytes(sorted(set(self.held().folders.values()))) + self._change_bytes(self.batches())
 
-    def _change_bytes(self, batches: Sequence[str]) -> int:
-        return self._bytes([f"changes/batch={b}" for b in batches])
+    def _change_bytes(self, batches: Sequence[str], periods: tuple[int, int] | None = None) -> int:
+        folders = [f"changes/batch={b}" for b in batches]
+        if periods is not None:
+            fs, path = self._fs("changes/batch=*/period=*")
+            found = {status.getPath().getName() for status in fs.globStatus(path) or []}
+            # Days without a date lie in a folder without a number.
+            numbers = {name: int(name[len("period=") :]) for name in found if name[len("period=") :].isdigit()}
+            folders = [f"{f}/{name}" for f in folders for name, n in numbers.items() if periods[0] <= n <= periods[1]]
+        return self._bytes(folders)
+
+    def _change_tasks(self, batches: Sequence[str], periods: tuple[int, int] | None = None) -> int:
+        """Tasks that open changes are dealt out to before they are collapsed; 1 leaves them to
+        the tasks of their scan, which Spark makes smaller only while there are idle cores."""
+        size = self._change_bytes(batches, periods)
+        return 1 if size <= TASK_BYTES * self.spark.sparkContext.defaultParallelism else -(-size // TASK_BYTES)
 
     def _bytes(self, folders: Sequence[str]) -> int:
         total = 0
         for folder in folders:
             fs, path = self._fs(folder)
-            total += fs.getContentSummary(path).getLength()
+            total += fs.getContentSummary(path).getLength() if fs.exists(path) else 0
         return total
 
     # -- reading ---------------------------------------------------------------
@@ -204,6 +219,10 @@ class VersionedTable:
             rows = rows.where(F.col("period").between(*periods))
         return rows.select(*self.change_schema.fieldNames())
 
+    def _bounds(self, dates: tuple[date | str, date | str] | None) -> tuple[int, int] | None:
+        """First and last period of the dates, in folders of changes."""
+        return tuple(period_number(d, self.period) for d in dates) if dates is not None and self.dated else None
+
     def _parts(
         self, dates: tuple[date | str, date | str] | None, placement_id: int | None
     ) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
@@ -213,11 +232,10 @@ class VersionedTable:
         """
         batches, held = self.batches(), self.held()
         periods = list(held.folders)
-        wanted, bounds = F.lit(True), None
+        wanted, bounds = F.lit(True), self._bounds(dates)
         if dates is not None and self.dated:
             first, last = (period_number(d, held.period) for d in dates)
             periods = [p for p in periods if first <= p <= last]
-            bounds = tuple(period_number(d, self.period) for d in dates)
             low, high = (F.lit(str(d)).cast("date") for d in dates)
             wanted = wanted & F.col("date").between(low, high)
         if placement_id is not None:
@@ -255,10 +273,11 @@ class VersionedTable:
         inside = scope.folders if (held.period, held.buckets) == (scope.period, scope.buckets) else None
         periods = [p for p in held.folders if inside is None or p in {period for period, _ in inside}]
         rows = self._held_rows(held, periods, buckets=inside and sorted({bucket for _, bucket in inside}))
-        changes = self._changes(batches, tuple(period_number(d, self.period) for d in scope.dates))
+        bounds = self._bounds(scope.dates)
+        changes = self._changes(batches, bounds)
         parts = [
             None if rows is None else rows.where(dates),
-            None if changes is None else self._opened(changes.where(dates)),
+            None if changes is None else self._opened(changes.where(dates), self._change_tasks(batches, bounds)),
         ]
         parts = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, parts) if parts else self._empty()
@@ -270,23 +289,31 @@ class VersionedTable:
         rows, changes, batches = self._parts(dates, placement_id)
         if changes is None:
             return self._empty() if rows is None else rows
+        # One placement's changes are few, whatever files they lie in.
+        tasks = 1 if placement_id is not None else self._change_tasks(batches, self._bounds(dates))
         if rows is None:
-            return self._opened(changes)
-        return self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES)
+            return self._opened(changes, tasks)
+        return self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES, tasks)
+
+    def _collapsed(self, changes: DataFrame, tasks: int) -> DataFrame:
+        """The latest change of each key."""
+        if tasks > 1:
+            return latest_in_parts(changes, self.change_keys, "version", tasks)
+        return latest_by_key(changes, self.change_keys, "version", keep_version=True)
 
-    def _opened(self, changes: DataFrame) -> DataFrame:
+    def _opened(self, changes: DataFrame, tasks: int) -> DataFrame:
         """Rows of the latest change of each key."""
-        kept = latest_by_key(changes, self.change_keys, "version", keep_version=True)
+        kept = self._collapsed(changes, tasks)
         return self.expand(kept.select(*self.change_schema.fieldNames())).select(*self.schema.fieldNames())
 
-    def _merged(self, rows: DataFrame, changes: DataFrame, few: bool) -> DataFrame:
+    def _merged(self, rows: DataFrame, changes: DataFrame, few: bool, tasks: int) -> DataFrame:
         """Folded rows and changes, one row per key. Rows of unchanged keys pass by: with few
         changes they are neither shuffled nor sorted."""
-        changed = changes.select(*self.change_keys).distinct()
+        changed = self._collapsed(changes.select(*self.change_keys, "version"), tasks).select(*self.change_keys)
         changed = F.broadcast(changed) if few else changed
         rest = rows.join(changed, self.change_keys, "left_anti").select(*self.schema.fieldNames())
         hit = rows.join(changed, self.change_keys, "left_semi").select(*self.schema.fieldNames())
-        both = latest_by_key(hit.unionByName(self._opened(changes)), self.keys, "version", keep_version=True)
+        both = latest_by_key(hit.unionByName(self._opened(changes, tasks)), self.keys, "version", keep_version=True)
         return rest.unionByName(both.select(*self.schema.fieldNames()))
 
     # -- writing ---------------------------------------------------------------
@@ -388,16 +415,17 @@ class VersionedTable:
         if (held.period, held.buckets) != (self.period, self.buckets):
             return self.replace(self.latest(), batches=batches)
         periods = self._periods_in("changes/batch=*")
-        rows = self._held_rows(held, sorted(set(periods)))
+        rows, tasks = self._held_rows(held, sorted(set(periods))), self._change_tasks(batches)
         if rows is None:
-            arranged = self.arranged_changes(changes)
+            arranged = self.arranged_changes(changes, tasks)
         else:
-            arranged = self.arrange(self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES))
+            few = self._change_bytes(batches) <= BROADCAST_BYTES
+            arranged = self.arrange(self._merged(rows, changes, few, tasks))
         self._write(arranged, "part")
         self._drop(batches)
 
-    def arranged_changes(self, changes: DataFrame) -> DataFrame:
-        return self.arrange(self._opened(changes))
+    def arranged_changes(self, changes: DataFrame, tasks: int = 1) -> DataFrame:
+        return self.arrange(self._opened(changes, tasks))
 
     def _write(self, arranged: DataFrame, kind: str) -> None:
         fs, path = self._fs("rows=*")

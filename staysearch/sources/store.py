@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staysearch.operators.joins import BROADCAST_BYTES
-from staysearch.operators.latest import latest_by_key
 from staysearch.plans.search import fan_out, take_options, with_options
 from staysearch.schemas import (
     AVAILABILITY,
@@ -53,8 +52,8 @@ class SearchTable(VersionedTable):
             return fan_out(self.arrange_weighted(days, keys, weights), variants, size)
         return take_options(self.arrange_weighted(with_options(days, variants, size, keys), keys, weights))
 
-    def arranged_changes(self, changes: DataFrame) -> DataFrame:
-        days = latest_by_key(changes, DAY_KEY, "version", keep_version=True)
+    def arranged_changes(self, changes: DataFrame, tasks: int = 1) -> DataFrame:
+        days = self._collapsed(changes, tasks)
         return self.multiplied(days, days, BROADCAST_BYTES)
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staysearch.operators import changes as ch
 from staysearch.operators.joins import hot_keys, lookup_join
-from staysearch.operators.latest import latest_by_key
+from staysearch.operators.latest import latest_by_key, latest_in_parts
 from staysearch.operators.nest import page_of
 from staysearch.operators.rekey import default_placements, first_placements
 
@@ -46,6 +47,20 @@ def test_latest_reduces_before_the_shuffle(spark):
     assert "SortAggregate" not in ranked
 
 
+@pytest.mark.parametrize("value", ["v", "n"])
+def test_latest_in_parts_is_the_latest(spark, value):
+    rows = [*log_rows(), (None, 1, "x", 1), (None, 1, None, 2), (3, None, "y", 5), (2, None, "z", None)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame([(k, d, v, d, i) for k, d, v, i in rows], "k INT, d INT, v STRING, n INT, i BIGINT")
+    df = df.select("k", "d", value, "i")
+    got = latest_in_parts(df, ["k", "d"], "i", 7)
+    assert got.columns == ["k", "d", value, "i"]
+    wanted = latest_by_key(df, ["k", "d"], "i", keep_version=True)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    # Nothing holds rows in the tasks of the scan.
+    assert not {"WindowGroupLimit", "Aggregate", "Sort"} & set(re.findall(r"WindowGroupLimit|Aggregate|Sort", plan(got).split("Exchange")[-1]))
+
+
 def test_latest_keeps_null_values_of_the_last_row(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, None, 2)], "k INT, n INT, i INT")
     assert latest_by_key(df, ["k"], "i").collect() == [(1, None)]

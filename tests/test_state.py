@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from staysearch.schemas import AVAILABILITY, DAY_KEY
+from staysearch.schemas import AVAILABILITY, DAY_KEY, PRICES
 from staysearch.sources.state import VersionedTable, period_number
 
 FIRST = date(2026, 1, 1)
@@ -161,6 +161,51 @@ def test_a_hot_placement_spreads_over_files(spark, work):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
+@pytest.mark.parametrize("schema", [PRICES, AVAILABILITY])
+def test_many_open_changes_are_dealt_out_before_they_are_collapsed(spark, work, monkeypatch, schema):
+    """One key holds a third of the log; no task holds what its part of the scan has."""
+    monkeypatch.setattr("staysearch.sources.state.TASK_BYTES", 1500, raising=False)
+    table = VersionedTable(spark, f"{work}/t", schema, DAY_KEY, period="year")
+    values = {"available": F.col("version") % 2, "price": F.col("version") / 4, "currency": F.concat(F.lit("c"), "version")}
+    log = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500).cast("bigint").alias("placement_id"),
+        F.date_add(F.lit(FIRST), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 800).cast("int")).alias("date"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+        F.pmod(F.col("id") * 7919, F.lit(6007)).alias("version"),
+    ).select("*", *[v.alias(k) for k, v in values.items()])
+    wanted = {}
+    for r in log.collect():
+        if r.version > wanted.get((r.placement_id, r.date), -1):
+            wanted[r.placement_id, r.date] = r.version
+
+    def latest(df):
+        own = [f for f in ("available", "currency") if f in df.columns]
+        got = df.select(*DAY_KEY, "version", *own).collect()
+        assert all(r[3] in (r.version % 2, f"c{r.version}") for r in got)
+        assert len(got) == len({(r.placement_id, r.date) for r in got})
+        return {(r.placement_id, r.date): r.version for r in got}
+
+    parts = [log.where(F.col("version") % 3 == n) for n in range(3)]
+    table.append(parts[0], "a")
+    table.append(parts[1].unionByName(parts[2]), "b")
+    plan = table.latest()._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange")[-1]
+    assert "Scan parquet" in below and "WindowGroupLimit" not in below and "Aggregate" not in below
+    assert latest(table.latest()) == wanted
+    year = (date(2027, 1, 1), date(2027, 12, 31))
+    assert latest(table.latest(year)) == {k: v for k, v in wanted.items() if k[1].year == 2027}
+    # The same beside folded rows, and folded.
+    other = VersionedTable(spark, f"{work}/o", schema, DAY_KEY, period="year")
+    other.append(parts[1], "a")
+    other.fold()
+    other.append(parts[0], "b")
+    other.append(parts[2], "c")
+    assert latest(other.latest()) == wanted
+    for each in (table, other):
+        each.fold()
+        assert each.batches() == [] and latest(each.latest()) == wanted
+
+
 def test_period_numbers():
     day = date(2026, 3, 9)
     assert [period_number(day, p) for p in ("year", "month", "day")] == [2026, 202603, 20260309]
