@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Of Parquet on disk; a few times as much in memory.
+# Of rows in memory, which the driver holds several times while it makes the broadcast.
 BROADCAST_BYTES = 8 << 20
+# What a short row of a broadcast takes there. Sorted keys take a twentieth of it on disk.
+ROW_BYTES = 64
 SALTS = 32
 
 
@@ -31,7 +33,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a lookup table on ``key``.
 
-    ``size`` is what the lookup takes on disk, where that is known. Up to ``BROADCAST_BYTES``
+    ``size`` is what the lookup takes in memory, where that is known. Up to ``BROADCAST_BYTES``
     the lookup is broadcast and the facts are not shuffled. Beyond that both sides shuffle
     on the key; only the hot keys, counted over ``keys`` (a frame with the facts' keys that
     is cheaper to read than the facts), are spread over salts, and only their lookup rows are

@@ -46,7 +46,7 @@ def fan_out(
     """Every day of a placement times every variant of that placement.
 
     Runs last, on collapsed and joined days, so that no shuffle sees the multiplied
-    rows. ``size`` is what the variants take on disk; ``keys`` has the days' placements.
+    rows. ``size`` is what the variants take in memory; ``keys`` has the days' placements.
     """
     options = variants.where(F.col("adults") > 0).select("placement_id", "adults", "children_ages")
     rows = lookup_join(days, options, "placement_id", ["date"], size=size, keys=keys)

@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from staysearch.operators.joins import ROW_BYTES
 from staysearch.operators.latest import latest_by_key, latest_in_parts
 
 from staysearch.session import shuffles_removed
 # Digits of yyyymmdd that name a period.
 PERIODS = {"year": 4, "month": 6, "day": 8}
 UNDATED = 0
-# Open changes up to this many bytes on disk are broadcast to the rows they change.
+# Open changes up to this many bytes, on disk and in memory, are broadcast to the rows they change.
 BROADCAST_BYTES = 16 << 20
 # Open changes that a task should hold at once, in bytes on disk: some two million rows.
 TASK_BYTES = 16 << 20
@@ -152,6 +153,12 @@ class VersionedTable:
         """Bytes on disk of what a read of the whole table opens."""
         return self._bytes(sorted(set(self.held().folders.values()))) + self._change_bytes(self.batches())
 
+    def stored_rows(self) -> int:
+        """Stored rows, superseded ones included; files keep that number in their footers."""
+        batches, held = self.batches(), self.held()
+        parts = (self._held_rows(held, list(held.folders)), self._changes(batches))
+        return sum(rows.count() for rows in parts if rows is not None)
+
     def _change_bytes(self, batches: Sequence[str], periods: tuple[int, int] | None = None) -> int:
         folders = [f"changes/batch={b}" for b in batches]
         if periods is not None:
@@ -168,6 +175,13 @@ class VersionedTable:
         size = self._change_bytes(batches, periods)
         return 1 if size <= TASK_BYTES * self.spark.sparkContext.defaultParallelism else -(-size // TASK_BYTES)
 
+    def _few(self, batches: Sequence[str], periods: tuple[int, int] | None = None) -> bool:
+        """Whether open changes may be broadcast. Sorted keys take two bytes a row on disk, so
+        the rows count, which files keep in their footers."""
+        if self._change_bytes(batches, periods) > BROADCAST_BYTES:
+            return False
+        return self._changes(batches, periods).count() * ROW_BYTES <= BROADCAST_BYTES
+
     def _bytes(self, folders: Sequence[str]) -> int:
         total = 0
         for folder in folders:
@@ -294,7 +308,7 @@ class VersionedTable:
         tasks = 1 if placement_id is not None else self._change_tasks(batches, self._bounds(dates))
         if rows is None:
             return self._opened(changes, tasks)
-        return self._merged(rows, changes, self._change_bytes(batches) <= BROADCAST_BYTES, tasks)
+        return self._merged(rows, changes, self._few(batches, self._bounds(dates)), tasks)
 
     def _collapsed(self, changes: DataFrame, tasks: int) -> DataFrame:
         """The latest change of each key."""
@@ -421,8 +435,7 @@ class VersionedTable:
         if rows is None:
             arranged = self.arranged_changes(changes, tasks)
         else:
-            few = self._change_bytes(batches) <= BROADCAST_BYTES
-            arranged = self.arrange(self._merged(rows, changes, few, tasks))
+            arranged = self.arrange(self._merged(rows, changes, self._few(batches), tasks))
         self._write(arranged, "part")
         self._drop(batches)
 

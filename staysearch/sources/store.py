@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staysearch.operators.joins import BROADCAST_BYTES
+from staysearch.operators.joins import BROADCAST_BYTES, ROW_BYTES
 from staysearch.plans.search import fan_out, take_options, with_options
 from staysearch.schemas import (
     AVAILABILITY,
@@ -38,15 +38,18 @@ class SearchTable(VersionedTable):
         )
         self.variants = store.variants
 
+    def _variants_size(self) -> int:
+        return max(self.variants.stored_bytes(), ROW_BYTES * self.variants.stored_rows())
+
     def _expanded(self, days: DataFrame) -> DataFrame:
-        return fan_out(days, self.variants.latest(), self.variants.stored_bytes())
+        return fan_out(days, self.variants.latest(), self._variants_size())
 
     def multiplied(self, days: DataFrame, keys: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
         """Days in the order of the files, then times the variants: the multiplied rows are
-        neither shuffled nor sorted. Variants of more than ``most`` bytes are not broadcast but
+        neither shuffled nor sorted. Variants of more than ``most`` bytes in memory are not broadcast but
         come to the days as a list, before the days are put in order. ``keys`` has the days'
         placements and dates."""
-        variants, size = self.variants.latest(), self.variants.stored_bytes()
+        variants, size = self.variants.latest(), self._variants_size()
         weights = variants.where(F.col("adults") > 0).groupBy("placement_id").agg(F.count("*").alias("weight"))
         if size <= most:
             return fan_out(self.arrange_weighted(days, keys, weights), variants, size)
